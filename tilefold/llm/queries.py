@@ -1,7 +1,19 @@
 """All queries of this subpackage and their SQL, by name."""
 
-from tilefold.llm import op2_decontamination, op3_simhash, op5_content_store, op6_secrets, op7_compression_bands, op8_quality, op9_packing, op10_token_counts
+import corpus_pipeline
+from tilefold.llm import (
+    op1_url_model,
+    op2_decontamination,
+    op3_simhash,
+    op4_suffix_dedup,
+    op5_content_store,
+    op6_secrets,
+    op7_compression_bands,
+    op8_quality,
+    op9_packing,
+    op10_token_counts,
+)
 
-MODULES = [op2_decontamination, op3_simhash, op5_content_store, op6_secrets, op7_compression_bands, op8_quality, op9_packing, op10_token_counts]
-QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
-ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+MODULES = [op1_url_model, op2_decontamination, op3_simhash, op4_suffix_dedup, op5_content_store, op6_secrets, op7_compression_bands, op8_quality, op9_packing, op10_token_counts]
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
