@@ -7,14 +7,16 @@ used again in the next step (8 and 8 give 16, 16 and 16 give 32, 32 and 16 and t
 their bucket are finished and are not sorted again.
 
 To let buckets be refined in many tasks, each 50-byte window goes with its anchor, the 20-byte string of least hash in
-it: equal windows have equal anchors. Consecutive windows of one anchor travel as one unit of bytes.
-
-1. Each batch of documents sends the sorted hashes of its anchors, dealt by ranges of hashes; a range's task counts the
-   documents of each. The outcome is a bitmap of fixed size (2**28 bits) of anchors that stand in several documents, and
-   one of those that stand in more than HOT. Cells that chance shares only cost time.
-2. Units of shared anchors are dealt by anchor, each distinct one once a batch, with its least document there. An anchor
-   in more than HOT documents would gather too much in one task: its windows are dealt one by one by their own content.
-   Tasks read their units in order of the key and refine the buckets of some MB at a time.
+it: equal windows have equal anchors. Consecutive windows of one anchor are a unit.
+
+1. Each batch of documents sends hashes of its distinct (anchor, unit) pairs, dealt by ranges of anchor hashes; a
+   range's task counts the documents and the distinct units of each anchor. The outcome are bitmaps of fixed size (2**28
+   bits) of anchors that stand in several documents (shared), that have several units (mixed) and that stand in more
+   than HOT documents (hot). Cells that two anchors share by chance only cost time.
+2. Units of shared anchors are dealt by anchor and sorted by unit and document. Where an anchor has one unit, buckets
+   need no bytes: all but its least document's lose its windows. Mixed units bring their bytes, once a batch, and the
+   buckets of their windows are refined, some MB at a time. A hot and mixed anchor would gather too much in one task:
+   its windows are dealt one by one by their own content.
 3. Window runs found to start in a smaller document go back to their document, which is cut.
 
 Cases: null doc_ids count as larger than all others and as equal to each other, so they lose what others have and take
@@ -46,6 +48,7 @@ BLOCK = 4 << 20
 SLICE = 1 << 25
 NO_ID = (1 << 63) - 1
 _POS = np.uint64((1 << 28) - 1)
+_BASE = 0x5851F42D4C957F2D
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -55,11 +58,11 @@ def words8(buf: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(buf.view(np.uint8), (len(buf) - 7, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
 
 
-def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window + 1, anchor hash) of each run of windows that have one anchor; leftmost of equal hashes."""
+def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window + 1, anchor hash) of each run of windows that have one anchor, leftmost of equal hashes; and sums of 8-byte strings for unit_hashes()."""
     n = len(buf) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     x = words8(buf)
     with np.errstate(over="ignore"):
         h = x[: -(k - 8)] * np.uint64(0x9E3779B97F4A7C15)
@@ -82,7 +85,33 @@ def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.
         mixed = h[at[first]] * np.uint64(0x9E3779B97F4A7C15)  # the least hashes crowd together: spread them
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return first, np.append(first[1:], n), mixed
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= _powers(len(x))[0]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
+    return first, np.append(first[1:], n), mixed, sums
+
+
+_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if not _kept or len(_kept[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            _kept[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _kept[0][:n], _kept[1][:n]
+
+
+def unit_hashes(sums: np.ndarray, first: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of the bytes [first, end + length - 1) of each unit, wherever it stands."""
+    stop = end + length - 1 - 7
+    with np.errstate(over="ignore"):
+        u = (sums[stop] - sums[first]) * _powers(len(sums))[1][first] + (end - first).astype(np.uint64)
+        u ^= u >> np.uint64(32)
+        u *= np.uint64(0xD6E8FEB86659FD93)
+        return u ^ u >> np.uint64(32)
 
 
 class Batch:
@@ -94,8 +123,8 @@ class Batch:
             if len(t) >= LENGTH:
                 self.parts += [(d, a, t[a : a + SLICE + LENGTH - 1]) for a in range(0, len(t) - LENGTH + 1, SLICE)]
 
-    def runs(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bytes, first, end, hash, document, place of document) of the runs, some MB at a time."""
+    def runs(self) -> Iterator[tuple]:
+        """(bytes, first, end, anchor hash, unit hash, document, place of document) of the runs, some MB at a time."""
         at = 0
         while at < len(self.parts):
             stop, size = at, 0
@@ -105,7 +134,7 @@ class Batch:
             some = self.parts[at:stop]
             at = stop
             raw = b"".join(p[2] for p in some)
-            first, end, h = anchors(np.frombuffer(raw, np.uint8))
+            first, end, h, sums = anchors(np.frombuffer(raw, np.uint8))
             ends = np.cumsum([len(p[2]) for p in some])
             starts = ends - [len(p[2]) for p in some]
             # windows that cross from one part into the next are none: cut the runs at the parts' last windows
@@ -121,7 +150,7 @@ class Batch:
             q = q[ok]
             docs = np.array([p[0] for p in some])[q]
             offsets = np.array([p[1] for p in some])[q] - starts[q]
-            yield raw, f[ok], e[ok], x[ok], docs, offsets
+            yield raw, f[ok], e[ok], x[ok], unit_hashes(sums, f[ok], e[ok]), docs, offsets
 
 
 def place(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,58 +166,66 @@ def _bytes(b: pa.RecordBatch) -> list[bytes]:
     return [t.encode() for t in b.column("text").to_pylist()]
 
 
-def shared_anchors(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the anchors that stand in several documents and in more than HOT, put together range by range."""
+def classed_anchors(docs: DataFrame, ranges: int) -> np.ndarray:
+    """Three bitmaps, put together range by range: anchors in several documents, with several units, in more than HOT documents."""
     cells = (1 << CELL_BITS) // ranges // 8 * 8
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for _, _, _, h, d, _ in Batch(_bytes(b)).runs():
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                found.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])] if len(h) else h)
+            found = [(h, u, d) for _, _, _, h, u, d, _ in Batch(_bytes(b)).runs()]
             if not found:
                 continue
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+            h, u, d = (np.concatenate(c) for c in zip(*found))
+            u &= np.uint64((1 << 48) - 1)
+            order = np.lexsort((d, u, h))
+            h, u, d = h[order], u[order], d[order]
+            pair = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
+            document = pair | np.concatenate([[True], d[1:] != d[:-1]])
+            first = np.flatnonzero(pair)
+            n = np.minimum(np.add.reduceat(document.astype(np.int64), first), 255).astype(np.uint8)
+            h, u = h[first], u[first]
             r, low = place(h, ranges)
-            n = np.minimum(n, 65535).astype(np.uint16)
             cuts = np.searchsorted(r, np.arange(ranges + 1))
-            rows = [(k, low[a:z].tobytes(), n[a:z].tobytes()) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-            yield from C.record_batches(rows, pa.schema([("r", pa.int64()), ("low", pa.binary()), ("n", pa.binary())]))
+            u_low, u_high = u.astype(np.uint32), (u >> np.uint64(32)).astype(np.uint16)
+            rows = [(k, *(x[a:z].tobytes() for x in (low, u_low, u_high, n))) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+            yield from C.record_batches(rows, pa.schema([("r", pa.int64()), *((c, pa.binary()) for c in ("low", "u_low", "u_high", "n"))]))
+
+    def close(columns: list[list[bytes]]) -> list[bytes]:
+        low, u_low, u_high, n = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint32, np.uint32, np.uint16, np.uint8)))
+        u = u_low.astype(np.uint64) | u_high.astype(np.uint64) << np.uint64(32)
+        order = np.argsort(low, kind="stable")
+        low, u, n = low[order], u[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        documents = np.add.reduceat(n, first)
+        several = np.maximum.reduceat(u, first) != np.minimum.reduceat(u, first)
+        out = []
+        for on in (documents > 1, several & (documents > 1), documents > HOT):
+            bits = np.zeros(cells, bool)
+            bits[cell(low[first[on]], cells)] = True
+            out.append(zlib.compress(np.packbits(bits).tobytes(), 1))
+        return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(r, low, n):
-            low, n = np.frombuffer(b"".join(low), np.uint32), np.frombuffer(b"".join(n), np.uint16).astype(np.int64)
-            u, inv = np.unique(low, return_inverse=True)
-            total = np.bincount(inv, n, len(u))
-            out = []
-            for most in (1, HOT):
-                bits = np.zeros(cells, bool)
-                bits[cell(u[total > most], cells)] = True
-                out.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-            return r, *out
-
-        schema, now, low, n = pa.schema([("r", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]), None, [], []
+        schema, now, held = pa.schema([("r", pa.int64()), *((c, pa.binary()) for c in ("shared", "mixed", "hot"))]), None, [[], [], [], []]
         for b in batches:
-            for r, x, k in zip(*(c.to_pylist() for c in b.columns)):
-                if r != now and low:
-                    yield from C.record_batches([close(now, low, n)], schema)
-                    low, n = [], []
+            for r, *columns in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now and held[0]:
+                    yield from C.record_batches([(now, *close(held))], schema)
+                    held = [[], [], [], []]
                 now = r
-                low.append(x)
-                n.append(k)
-        if low:
-            yield from C.record_batches([close(now, low, n)], schema)
+                for into, x in zip(held, columns):
+                    into.append(x)
+        if held[0]:
+            yield from C.record_batches([(now, *close(held))], schema)
 
     C.tune(docs.sparkSession)
-    sent = docs.select("text").mapInArrow(emit, "r bigint, low binary, n binary")
-    counted = sent.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(count, "r bigint, shared binary, hot binary")
-    shared, hot = (np.zeros(ranges * cells // 8, np.uint8) for _ in range(2))
-    for row in counted.collect():  # one row a range; 2**28 bits in all, and fewer packed
-        for into, packed in ((shared, row["shared"]), (hot, row["hot"])):
+    sent = docs.select("text").mapInArrow(emit, "r bigint, low binary, u_low binary, u_high binary, n binary")
+    counted = sent.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(count, "r bigint, shared binary, mixed binary, hot binary")
+    bitmaps = np.zeros((3, ranges * cells // 8), np.uint8)
+    for row in counted.collect():  # one row a range; 2**28 bits a bitmap, and fewer packed
+        for into, packed in zip(bitmaps, row[1:]):
             into[row["r"] * cells // 8 : (row["r"] + 1) * cells // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return shared, hot
+    return bitmaps
 
 
 def is_set(bitmap: np.ndarray, h: np.ndarray, ranges: int) -> np.ndarray:
@@ -198,48 +235,45 @@ def is_set(bitmap: np.ndarray, h: np.ndarray, ranges: int) -> np.ndarray:
     return bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
 
 
-UNITS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("unit", pa.binary()), ("at", pa.binary())])
-RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("runs", pa.binary())])
+UNITS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64()), ("mixed", pa.bool_()), ("unit", pa.binary())])
+#: A run of windows in one number: its start times WIDEST and its length, which an anchor keeps below that.
+WIDEST = 64
+RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64())])
 
 
-def _units(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, ranges: int) -> DataFrame:
-    """Distinct units of shared anchors with their least document of the batch; of the other documents the window runs (unit null)."""
-    bitmaps = docs.sparkSession.sparkContext.broadcast((shared, hot))
+def _units(docs: DataFrame, bitmaps: np.ndarray, ranges: int) -> DataFrame:
+    """All units of shared anchors: where they stand and, of mixed ones, the bytes of one of each kind in a batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        def rows(ids, ths, texts):
-            met: dict[bytes, dict[int, list[int]]] = {}
-            keys: dict[bytes, int] = {}
-            for raw, f, e, h, d, o in Batch(texts).runs():
-                on = is_set(bitmaps.value[0], h, ranges)
-                f, e, h, d, o = (x[on] for x in (f, e, h, d, o))
-                single = is_set(bitmaps.value[1], h, ranges)
-                for a, z, k, i, p, s in zip(f.tolist(), e.tolist(), h.view(np.int64).tolist(), d.tolist(), o.tolist(), single.tolist()):
-                    for a, z in [(a, z)] if not s else [(w, w + 1) for w in range(a, z)]:
-                        unit = raw[a : z + LENGTH - 1]
-                        met.setdefault(unit, {}).setdefault(i, []).append(a + p)
-                        if s:
-                            k = xxh64_intdigest(unit) - (1 << 63)
-                        keys[unit] = k
-            known: dict[int, list[np.ndarray]] = {}
-            for unit, where in met.items():
-                least = min(ids[i] for i in where)
-                for i, at in where.items():
-                    at = np.array(at, np.int64)
-                    if ids[i] > least:
-                        known.setdefault(i, []).append(np.stack([at, at + len(unit) - LENGTH + 1], 1))
-                    else:
-                        yield keys[unit], ids[i], ths[i], unit, at.tobytes()
-            for i, found in known.items():
-                yield ths[i], ids[i], ths[i], None, merged(np.concatenate(found)).tobytes()
-
+        shared, mixed, hot = sent.value
         for b in batches:
-            yield from C.record_batches(rows(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), _bytes(b)), UNITS)
+            ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
+            for raw, f, e, h, u, d, o in Batch(_bytes(b)).runs():
+                on = is_set(shared, h, ranges)
+                f, e, h, u, d, o = (x[on] for x in (f, e, h, u, d, o))
+                several = is_set(mixed, h, ranges)
+                single = several & is_set(hot, h, ranges)
+                if single.any():  # each window alone, by its content
+                    n = (e - f)[single]
+                    w = np.repeat(f[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    own = np.array([xxh64_intdigest(raw[x : x + LENGTH]) for x in w.tolist()], np.uint64)
+                    rest = ~single
+                    f, e, h, u, several = np.concatenate([f[rest], w]), np.concatenate([e[rest], w + 1]), np.concatenate([h[rest], own]), np.concatenate([u[rest], own]), np.concatenate([several[rest], np.zeros(len(w), bool)])
+                    d, o = np.concatenate([d[rest], np.repeat(d[single], n)]), np.concatenate([o[rest], np.repeat(o[single], n)])
+                least = np.lexsort((ids[d], u, h))
+                lead = np.concatenate([[True], (h[least][1:] != h[least][:-1]) | (u[least][1:] != u[least][:-1])])[: len(h)]
+                bring = np.zeros(len(h), bool)
+                bring[least[lead]] = True
+                bring &= several
+                units = [raw[x : y + LENGTH - 1] if k else None for x, y, k in zip(f.tolist(), e.tolist(), bring.tolist())]
+                columns = [h.view(np.int64), u.view(np.int64), ids[d], ths[d], (f + o) * WIDEST + (e - f), several]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(units, pa.binary())], schema=UNITS)
 
     C.tune(docs.sparkSession)
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "key bigint, doc_id bigint, th bigint, unit binary, at binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "key bigint, u bigint, doc_id bigint, th bigint, run bigint, mixed boolean, unit binary")
 
 
 def merged(runs: np.ndarray) -> np.ndarray:
@@ -291,70 +325,73 @@ def _refine(ids: np.ndarray, offsets: list[int], at: np.ndarray, later: list[np.
     return out
 
 
-def _repeats(units: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, th, window runs) of units whose windows start in a smaller document; units are (doc_id, th, bytes, places)."""
-    least: dict[bytes, int] = {}
-    for i, _, unit, _ in units:
-        least[unit] = min(least.get(unit, NO_ID), i)
-    runs: dict[bytes, np.ndarray] = {}
-    if len(least) > 1:
-        texts = list(least)
-        sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(sizes) - sizes
-        n = sizes - LENGTH + 1
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner]
-        found = buckets(np.frombuffer(b"".join(texts), np.uint8), at)
-        doc = np.array(list(least.values()), np.int64)[owner]
-        order = np.argsort(found, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], found[order][1:] != found[order][:-1]]))
-        lowest = np.empty(len(found), np.int64)
-        lowest[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
-        on = lowest < doc
-        edge = np.concatenate([[True], (owner[1:] != owner[:-1]) | (on[1:] != on[:-1])])
-        spots = np.flatnonzero(edge)
-        stops = np.append(spots[1:], len(on))
-        for s, z in zip(spots[on[spots]].tolist(), stops[on[spots]].tolist()):
-            w = owner[s]
-            runs.setdefault(texts[w], []).append((at[s] - starts[w], at[z - 1] - starts[w] + 1))
-    for i, th, unit, places in units:
-        own = [(0, len(unit) - LENGTH + 1)] if i > least[unit] else runs.get(unit)
-        if own is not None:
-            places = np.frombuffer(places, np.int64)
-            yield i, th, (np.array(own)[None] + places[:, None, None]).reshape(-1, 2).tobytes()
+def _repeats(units: list[tuple[bytes, int, list[tuple[int, int]]]]) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, th, run) of windows that start in a smaller document; units are (bytes, least doc_id, its (th, start) places), each once."""
+    if len(units) < 2:
+        return
+    sizes = np.array([len(t) for t, _, _ in units])
+    starts = np.cumsum(sizes) - sizes
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(units)), n)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner]
+    found = buckets(np.frombuffer(b"".join(t for t, _, _ in units), np.uint8), at)
+    doc = np.array([i for _, i, _ in units], np.int64)[owner]
+    order = np.argsort(found, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], found[order][1:] != found[order][:-1]]))
+    lowest = np.empty(len(found), np.int64)
+    lowest[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    on = lowest < doc
+    spots = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (on[1:] != on[:-1])]))
+    stops = np.append(spots[1:], len(on))
+    for s, z in zip(spots[on[spots]].tolist(), stops[on[spots]].tolist()):
+        w = owner[s]
+        for th, start in units[w][2]:
+            yield int(doc[s]), th, (start + int(at[s] - starts[w])) * WIDEST + z - s
 
 
 def _refined(units: DataFrame) -> DataFrame:
+    """Window runs that start in a smaller document, from units in order of (key, u, doc_id), bytes before none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held: dict[tuple[int, int], tuple[bytes, int, list[tuple[int, int]]]] = {}
+        size, last = 0, (None, None, None)  # last: the key, unit and least document of the group that a batch may cut
         for b in batches:
-            passed = []
-            for k, i, th, unit, at in zip(*(c.to_pylist() for c in b.columns)):
-                if unit is None:
-                    passed.append((i, th, at))
-                    continue
-                if size >= BLOCK and k != last:
-                    yield from C.record_batches(_repeats(held), RUNS)
-                    held, size = [], 0
-                held.append((i, th, unit, at))
-                size += len(unit)
-                last = k
-            yield from C.record_batches(passed, RUNS)
-        if held:
-            yield from C.record_batches(_repeats(held), RUNS)
-
-    return units.mapInArrow(run, "doc_id bigint, th bigint, runs binary")
+            if not b.num_rows:
+                continue
+            key, u, doc, th, where = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "doc_id", "th", "run"))
+            first = np.concatenate([[(key[0], u[0]) != last[:2]], (key[1:] != key[:-1]) | (u[1:] != u[:-1])])
+            group = np.cumsum(first) - (1 if first[0] else 0)
+            least = np.concatenate([np.array([] if first[0] else [last[2]], np.int64), doc[first]])[group]
+            last = (key[-1], u[-1], least[-1])
+            on = doc > least
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (doc, th, where)], schema=RUNS)
+            several = np.flatnonzero(b.column("mixed").to_numpy(zero_copy_only=False) & ~on)
+            if not len(several):
+                continue
+            bytes_ = b.column("unit").take(pa.array(several)).to_pylist()
+            for k, v, i, t, w, unit in zip(key[several].tolist(), u[several].tolist(), doc[several].tolist(), th[several].tolist(), where[several].tolist(), bytes_):
+                if (k, v) not in held:
+                    if size >= BLOCK and k != now:
+                        yield from C.record_batches(_repeats(list(held.values())), RUNS)
+                        held, size = {}, 0
+                    held[k, v] = (unit, i, [])
+                    size += len(unit)
+                now = k
+                held[k, v][2].append((t, w // WIDEST))
+        yield from C.record_batches(_repeats(list(held.values())), RUNS)
+
+    return units.mapInArrow(run, "doc_id bigint, th bigint, run bigint")
 
 
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def spans(runs: list[bytes] | None) -> np.ndarray:
+def spans(runs: list[int] | None) -> np.ndarray:
     """Maximal removed (start, end) byte spans of window runs."""
     if not runs:
         return np.zeros((0, 2), np.int64)
-    found = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 2)
-    return merged(found + np.array([0, LENGTH - 1]))
+    start, n = np.divmod(np.array(runs, np.int64), WIDEST)
+    return merged(np.stack([start, start + n + LENGTH - 1], 1))
 
 
 def kept(raw: bytes, cut: np.ndarray) -> bytes:
@@ -370,9 +407,9 @@ def with_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranges = C.parts(spark)
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    shared, hot = shared_anchors(keyed, ranges)
-    found = _refined(_units(keyed, shared, hot, ranges).repartition(ranges, "key").sortWithinPartitions("key"))
-    by_document = found.groupBy("doc_id", "th").agg(F.collect_list("runs").alias("runs"))
+    units = _units(keyed, classed_anchors(keyed, ranges), ranges)
+    found = _refined(units.repartition(ranges, "key").sortWithinPartitions("key", "u", "doc_id", F.col("unit").isNull()))
+    by_document = found.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
     return keyed.join(by_document, ["doc_id", "th"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "runs")
 
 
