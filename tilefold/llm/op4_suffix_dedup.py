@@ -10,10 +10,11 @@ To let buckets be refined in many tasks, each 50-byte window goes with its ancho
 it: equal windows have equal anchors. Consecutive windows of one anchor are a unit.
 
 1. Each batch of documents sends hashes of its distinct (anchor, unit) pairs, dealt by ranges of anchor hashes; a
-   range's task counts the documents and the distinct units of each anchor. The outcome are bitmaps of fixed size (2**28
-   bits) of anchors that stand in several documents (shared), that have several units (mixed) and that stand in more
+   range's task counts the documents and the distinct units of each anchor. The outcome are bitmaps of fixed size (20 MB
+   in all) of anchors that stand in several documents (shared), that have several units (mixed) and that stand in more
    than HOT documents (hot). Cells that two anchors share by chance only cost time.
-2. Units of shared anchors are dealt by anchor and sorted by unit and document. Where an anchor has one unit, buckets
+2. Units of shared anchors are dealt by anchor and sorted by unit and document; those that a smaller document of the
+   same batch has too are known to go, and travel as merged runs. Where an anchor has one unit, buckets
    need no bytes: all but its least document's lose its windows. Mixed units bring their bytes, once a batch, and the
    buckets of their windows are refined, some MB at a time. A hot and mixed anchor would gather too much in one task:
    its windows are dealt one by one by their own content.
@@ -39,7 +40,8 @@ from tilefold.llm import common as C
 
 LENGTH = 50
 ANCHOR = 20
-CELL_BITS = 28
+#: Bits of the bitmaps of shared, mixed and hot anchors, as powers of two.
+CELL_BITS = (27, 25, 22)
 #: Documents of an anchor beyond which its windows are dealt singly.
 HOT = 4096
 #: Bytes of units whose buckets are refined at once, at least; a block ends where the key changes.
@@ -158,6 +160,11 @@ def place(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def cells_of(ranges: int) -> list[int]:
+    """Cells of one range in each bitmap, whole bytes."""
+    return [max(8, (1 << b) // ranges // 8 * 8) for b in CELL_BITS]
+
+
 def cell(low: np.ndarray, cells: int) -> np.ndarray:
     return (low.astype(np.uint64) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
@@ -166,9 +173,9 @@ def _bytes(b: pa.RecordBatch) -> list[bytes]:
     return [t.encode() for t in b.column("text").to_pylist()]
 
 
-def classed_anchors(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Three bitmaps, put together range by range: anchors in several documents, with several units, in more than HOT documents."""
-    cells = (1 << CELL_BITS) // ranges // 8 * 8
+def classed_anchors(docs: DataFrame, ranges: int) -> list[bytes]:
+    """Three packed bitmaps, put together range by range: anchors in several documents, with several units, in more than HOT documents."""
+    cells = cells_of(ranges)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,9 +206,9 @@ def classed_anchors(docs: DataFrame, ranges: int) -> np.ndarray:
         documents = np.add.reduceat(n, first)
         several = np.maximum.reduceat(u, first) != np.minimum.reduceat(u, first)
         out = []
-        for on in (documents > 1, several & (documents > 1), documents > HOT):
-            bits = np.zeros(cells, bool)
-            bits[cell(low[first[on]], cells)] = True
+        for on, n_cells in zip((documents > 1, several & (documents > 1), documents > HOT), cells):
+            bits = np.zeros(n_cells, bool)
+            bits[cell(low[first[on]], n_cells)] = True
             out.append(zlib.compress(np.packbits(bits).tobytes(), 1))
         return out
 
@@ -221,34 +228,37 @@ def classed_anchors(docs: DataFrame, ranges: int) -> np.ndarray:
     C.tune(docs.sparkSession)
     sent = docs.select("text").mapInArrow(emit, "r bigint, low binary, u_low binary, u_high binary, n binary")
     counted = sent.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(count, "r bigint, shared binary, mixed binary, hot binary")
-    bitmaps = np.zeros((3, ranges * cells // 8), np.uint8)
-    for row in counted.collect():  # one row a range; 2**28 bits a bitmap, and fewer packed
-        for into, packed in zip(bitmaps, row[1:]):
-            into[row["r"] * cells // 8 : (row["r"] + 1) * cells // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return bitmaps
+    bitmaps = [np.zeros(ranges * c // 8, np.uint8) for c in cells]
+    for row in counted.collect():  # one row a range; of fixed size together
+        for into, c, packed in zip(bitmaps, cells, row[1:]):
+            into[row["r"] * c // 8 : (row["r"] + 1) * c // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return [zlib.compress(x.tobytes(), 1) for x in bitmaps]
 
 
 def is_set(bitmap: np.ndarray, h: np.ndarray, ranges: int) -> np.ndarray:
-    cells = (1 << CELL_BITS) // ranges // 8 * 8
+    cells = len(bitmap) * 8 // ranges
     r, low = place(h, ranges)
     at = r * cells + cell(low, cells)
     return bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
 
 
 UNITS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64()), ("mixed", pa.bool_()), ("unit", pa.binary())])
-#: A run of windows in one number: its start times WIDEST and its length, which an anchor keeps below that.
-WIDEST = 64
+#: A run of windows in one number: its start times WIDEST and its length, which SLICE keeps below that.
+WIDEST = 1 << 26
 RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64())])
 
 
-def _units(docs: DataFrame, bitmaps: np.ndarray, ranges: int) -> DataFrame:
-    """All units of shared anchors: where they stand and, of mixed ones, the bytes of one of each kind in a batch."""
+def _units(docs: DataFrame, bitmaps: list[bytes], ranges: int) -> DataFrame:
+    """Units of shared anchors: where they stand and, of mixed ones, the bytes of one of each kind in a batch.
+
+    Rows with `mixed` null are merged runs that a smaller document of the batch is known to have.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        shared, mixed, hot = sent.value
+        shared, mixed, hot = (np.frombuffer(zlib.decompress(x), np.uint8) for x in sent.value)
         for b in batches:
             ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
             for raw, f, e, h, u, d, o in Batch(_bytes(b)).runs():
@@ -263,13 +273,23 @@ def _units(docs: DataFrame, bitmaps: np.ndarray, ranges: int) -> DataFrame:
                     rest = ~single
                     f, e, h, u, several = np.concatenate([f[rest], w]), np.concatenate([e[rest], w + 1]), np.concatenate([h[rest], own]), np.concatenate([u[rest], own]), np.concatenate([several[rest], np.zeros(len(w), bool)])
                     d, o = np.concatenate([d[rest], np.repeat(d[single], n)]), np.concatenate([o[rest], np.repeat(o[single], n)])
-                least = np.lexsort((ids[d], u, h))
-                lead = np.concatenate([[True], (h[least][1:] != h[least][:-1]) | (u[least][1:] != u[least][:-1])])[: len(h)]
-                bring = np.zeros(len(h), bool)
-                bring[least[lead]] = True
-                bring &= several
+                if not len(h):
+                    continue
+                order = np.lexsort((ids[d], u, h))
+                f, e, h, u, d, o, several = (x[order] for x in (f, e, h, u, d, o, several))
+                lead = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
+                known = ids[d] > ids[d[lead]][np.cumsum(lead) - 1]
+                at = np.flatnonzero(known)
+                at = at[np.argsort(d[at], kind="stable")]
+                for own in np.split(at, np.flatnonzero(np.diff(d[at])) + 1) if len(at) else []:
+                    i, runs = d[own[0]], merged(np.stack([f[own] + o[own], e[own] + o[own]], 1))
+                    n = len(runs)
+                    columns = [np.full(n, ths[i]), np.zeros(n, np.int64), np.full(n, ids[i]), np.full(n, ths[i]), runs[:, 0] * WIDEST + runs[:, 1] - runs[:, 0]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], schema=UNITS)
+                bring = lead & several
+                f, e, h, u, d, o, several, bring = (x[~known] for x in (f, e, h, u, d, o, several, bring))
                 units = [raw[x : y + LENGTH - 1] if k else None for x, y, k in zip(f.tolist(), e.tolist(), bring.tolist())]
-                columns = [h.view(np.int64), u.view(np.int64), ids[d], ths[d], (f + o) * WIDEST + (e - f), several]
+                columns = [h.view(np.int64), np.where(several, u, np.uint64(0)).view(np.int64), ids[d], ths[d], (f + o) * WIDEST + (e - f), several]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(units, pa.binary())], schema=UNITS)
 
     C.tune(docs.sparkSession)
@@ -356,6 +376,10 @@ def _refined(units: DataFrame) -> DataFrame:
         held: dict[tuple[int, int], tuple[bytes, int, list[tuple[int, int]]]] = {}
         size, last = 0, (None, None, None)  # last: the key, unit and least document of the group that a batch may cut
         for b in batches:
+            known = b.column("mixed").is_null()
+            if known.true_count:
+                yield pa.RecordBatch.from_arrays([b.filter(known).column(c) for c in RUNS.names], schema=RUNS)
+                b = b.filter(b.column("mixed").is_valid())
             if not b.num_rows:
                 continue
             key, u, doc, th, where = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "doc_id", "th", "run"))
@@ -402,24 +426,41 @@ def kept(raw: bytes, cut: np.ndarray) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The texts compressed, to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([compress(t) for t in _bytes(b)], pa.binary())], names=["doc_id", "th", "packed"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, packed binary")
+
+
 def with_runs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the window runs that start in a smaller document, as packed pairs."""
+    """doc_id, packed (the text's bytes by zstandard) and the window runs that start in a smaller document."""
     spark = docs.sparkSession
     ranges = C.parts(spark)
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     units = _units(keyed, classed_anchors(keyed, ranges), ranges)
     found = _refined(units.repartition(ranges, "key").sortWithinPartitions("key", "u", "doc_id", F.col("unit").isNull()))
     by_document = found.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
-    return keyed.join(by_document, ["doc_id", "th"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "runs")
+    return _packed(keyed).join(by_document, ["doc_id", "th"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "packed", "runs")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def rows(b):
-            for i, raw, runs in zip(b.column("doc_id").to_pylist(), _bytes(b), b.column("runs").to_pylist()):
-                cut = spans(runs)
+            for i, packed, runs in zip(*(c.to_pylist() for c in b.columns)):
+                raw, cut = unpack(packed), spans(runs)
                 yield i, len(raw), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept(raw, cut)).hexdigest()
 
         for b in batches:
