@@ -71,13 +71,13 @@ def language_models(grams: DataFrame) -> DataFrame:
         levels.append(level)
     shorter = None
     for k, level in enumerate(reversed(levels)):
-        context = F.substr("gram", F.lit(1), F.lit(k)) if k else F.lit("")
-        level = level.withColumn("context", context)
-        totals = level.groupBy("context").agg(F.sum("allowed").alias("all_allowed"), F.sum("blocked").alias("all_blocked"))
-        joined = level.join(totals, "context")
-        if shorter is None:
-            joined = joined.withColumns({"s_allowed": F.lit(1 / ALPHABET), "s_blocked": F.lit(1 / ALPHABET)})
+        sums = (F.sum("allowed").alias("all_allowed"), F.sum("blocked").alias("all_blocked"))
+        if shorter is None:  # one context, the empty one: one row of totals
+            both = level.agg(*sums).first()
+            joined = level.withColumns({"all_allowed": F.lit(both[0] or 0), "all_blocked": F.lit(both[1] or 0), "s_allowed": F.lit(1 / ALPHABET), "s_blocked": F.lit(1 / ALPHABET)})
         else:
+            level = level.withColumn("context", F.substr("gram", F.lit(1), F.lit(k)))
+            joined = level.join(level.groupBy("context").agg(*sums), "context")
             joined = joined.withColumn("suffix", F.substr("gram", F.lit(2))).join(shorter.select(F.col("gram").alias("suffix"), F.col("p_allowed").alias("s_allowed"), F.col("p_blocked").alias("s_blocked")), "suffix")
         p = {f"p_{c}": (F.col(c) + BACKOFF * F.col(f"s_{c}")) / (F.col(f"all_{c}") + BACKOFF) for c in ("allowed", "blocked")}
         shorter = joined.select("gram", *(e.alias(n) for n, e in p.items()))
