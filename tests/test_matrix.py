@@ -189,3 +189,63 @@ def test_classifier(spark, tmp_path):
     (tmp_path / "flat").mkdir()
     (tmp_path / "flat" / "COO.txt").write_text("1\n" + samples[0][0] + " extra\n0101\n")
     assert rows(read_tiles(spark, str(tmp_path / "flat")), "bits", "label") == [(samples[0][0], "COO")]
+
+
+def test_tiled_product(spark):
+    from tilefold.operators import tiled
+
+    rng = np.random.default_rng(2)
+    m = [(int(i), int(j), float(rng.integers(-2, 3))) for i in range(40) for j in range(40) if rng.random() < 0.4]
+    a = spark.createDataFrame(m, "i bigint, j bigint, v double")
+    want = rows(M.spgemm(a, a), "i", "j", "v")
+    assert rows(tiled.spgemm(a, a), "i", "j", "v") == want == rows(products.spgemm(a, a), "i", "j", "v")
+    assert tiled.spgemm(a.limit(0), a).isEmpty()
+
+
+def test_encodings(spark):
+    from tilefold.operators import tiled
+
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0), (1, 1, 3.0), (2, 0, 4.0), (2, 2, 5.0), (2, 4, 6.0), (3, 3, 7.0), (4, 2, 8.0), (4, 4, 9.0)], "i bigint, j bigint, v double")
+    t = M.tile_values(a)
+    got = {f: tiled.encode(t, f).first() for f in B.FORMATS}
+    assert got["COO"]["codes"] == [8, 0, 2, 17, 32, 34, 36, 51, 66, 68] and got["COO"]["slots"] == [float(k) for k in range(1, 10)]
+    assert got["CSR"]["codes"] == [0, 2, 3, 6, 7] + [9] * 12 + [0, 2, 1, 0, 2, 4, 3, 2, 4]
+    assert got["ELL"]["codes"][:10] == [2, 0, 2, 0, 1, 0, 0, 0, 2, 4] and got["ELL"]["slots"][:6] == [1, 2, 0, 3, 0, 0]
+    assert got["HYB"]["codes"][:2] == [0, 4] and got["HYB"]["codes"][-4:] == [2, 34, 36, 68] and got["HYB"]["slots"][-4:] == [2, 5, 6, 9]
+    assert got["DRW"]["codes"] == [4, 0, 1, 2, 3, 4] and len(got["DRW"]["slots"]) == 80
+    assert got["DCL"]["codes"] == [4, 0, 1, 2, 3, 4] and got["DCL"]["slots"][:3] == [1, 0, 4]
+    assert got["DNS"]["codes"] == [] and sum(got["DNS"]["slots"]) == 45
+
+
+def test_solvers(spark):
+    from tilefold.operators import solvers
+
+    n = 12
+    d = np.diag(np.full(n, 4.0)) + np.diag(np.full(n - 1, -1.0), 1) + np.diag(np.full(n - 1, -1.0), -1)
+    a = spark.createDataFrame([(int(i), int(j), float(d[i, j])) for i, j in zip(*np.nonzero(d))], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(k, float(k % 3)) for k in range(n)], "i bigint, x double")
+    want = np.linalg.solve(d, [k % 3 for k in range(n)])
+    for x, within in ((solvers.conjugate_gradients(a, b), 1e-8), (solvers.jacobi(a, b, 12), 1e-2)):
+        assert np.allclose([v for _, v in rows(x, "i", "x")], want, atol=within)
+
+
+def test_graphs(spark):
+    from tilefold.operators import graph
+
+    rng = np.random.default_rng(4)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 30, (90, 2)) if a != b} | {(0, k) for k in range(31, 60)}
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    colour = dict(rows(graph.colouring(edges), "node", "colour"))
+    assert colour.keys() == near.keys() and all(colour[a] != colour[b] for a, b in pairs) and max(colour.values()) <= max(map(len, near.values()))
+    want = {a: sum(len(near[a] & near[b]) for b in near[a]) // 2 for a in near}
+    assert dict(rows(graph.triangles(edges), "node", "triangles")) == {a: n for a, n in want.items() if n}
+    level, front, k = {0: 0}, {0}, 0
+    while front:
+        k += 1
+        front = {b for a in front for b in near[a]} - level.keys()
+        level |= dict.fromkeys(front, k)
+    assert dict(rows(graph.levels(edges, 0), "node", "level")) == level

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from tilefold.functions import bits as B
 from tilefold.operators import matrix as M
+from tilefold.operators import graph as G
 from tilefold.operators import records as R
+from tilefold.operators import solvers as V
+from tilefold.operators import tiled
+from tilefold.plans import products as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +120,12 @@ def spgemm_aat(spark, d):
 
 @query(ctes("s") + "SELECT p.i, q.j, CAST(sum(p.v * q.v) AS DOUBLE) AS v FROM s p JOIN s q ON p.j = q.i GROUP BY p.i, q.j")
 def spgemm_square(spark, d):
+    s = square(spark, d)
+    return P.spgemm(s, s)
+
+
+@query(ORACLES["spgemm_square"])
+def spgemm_elementwise(spark, d):
     s = square(spark, d)
     return M.spgemm(s, s)
 
@@ -352,3 +362,52 @@ def tile_intersection(spark, d):
 
     a = a_sp(spark, d)
     return keys(a).intersect(keys(a.where("v > 50")))
+
+
+def _slots(sql: str) -> str:
+    return _tile_rows("a") + ", " + _FIGURES + sql
+
+
+@query(_slots(" SELECT ti, tj, z AS coo, z AS csr, longest * 16 AS ell, 16 * width + tail AS hyb, 16 * rows AS drw, 16 * cols AS dcl, 256 AS dns FROM f"))
+def encoded_slots(spark, d):
+    """Value slots that the seven encoders really fill."""
+    t = M.tile_values(a_sp(spark, d)).repartition(F.col("ti"), F.col("tj"))
+    out = None
+    for n in B.FORMATS:
+        one = tiled.encode(t, n).select("ti", "tj", F.size("slots").alias(n.lower()))
+        out = one if out is None else out.join(one, ["ti", "tj"])
+    return out
+
+
+_EDGES_SQL = "e AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM s WHERE i <> j AND v > 45), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+def _graph(spark, d):
+    return G.of_matrix(square(spark, d).where("v > 45"))
+
+
+@query(ctes("s", more=_EDGES_SQL) + "SELECT src AS node, CAST(count(*) AS BIGINT) AS degree FROM b GROUP BY 1")
+def graph_degrees(spark, d):
+    return G.degrees(_graph(spark, d))
+
+
+@query(ctes("s", more=_EDGES_SQL) + "SELECT x.src AS node, CAST(count(*) // 2 AS BIGINT) AS triangles FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src GROUP BY 1")
+def graph_triangles(spark, d):
+    return G.triangles(_graph(spark, d))
+
+
+@query(ctes("s", more=_EDGES_SQL).replace("WITH", "WITH RECURSIVE") + ", l AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS level UNION SELECT b.dst, level + 1 FROM l JOIN b ON b.src = l.node WHERE level < 40) SELECT node, CAST(min(level) AS INT) AS level FROM l GROUP BY 1")
+def graph_levels(spark, d):
+    return G.levels(_graph(spark, d), 5)
+
+
+@query(ctes("a") + "SELECT CAST(sum(y) AS DOUBLE) AS one, CAST(max(y) AS DOUBLE) AS largest, CAST(sum(y * y) AS DOUBLE) AS squares FROM (SELECT i, sum(v) AS y FROM a GROUP BY i)")
+def vector_norms(spark, d):
+    n = V.norms(M.row_sums(a_sp(spark, d)).select("i", F.col("y").alias("x")))
+    return n.select("one", "largest", F.round(F.col("two") * F.col("two")).alias("squares"))
+
+
+@query(ctes("a", "x") + "SELECT j AS i, CAST(2 * coalesce(t, 0) - coalesce(x, 0) AS DOUBLE) AS x FROM (SELECT j, sum(v) AS t FROM a GROUP BY j) FULL JOIN x USING (j)")
+def vector_sum(spark, d):
+    t = M.row_sums(M.transpose(a_sp(spark, d))).select("i", F.col("y").alias("x"))
+    return V.axpby(2.0, t, -1.0, vector(spark, d).select(F.col("j").alias("i"), "x"))
