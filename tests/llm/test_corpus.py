@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 import corpus_pipeline
 from tests.llm.helpers import odd_documents, ordered
 from tilefold.llm import common as C
-from tilefold.llm import components, op2_decontamination, op3_simhash, op4_suffix_dedup, op5_content_store, op6_secrets, op8_quality, op9_packing
+from tilefold.llm import near_copies, components, op2_decontamination, op3_simhash, op4_suffix_dedup, op5_content_store, op6_secrets, op8_quality, op9_packing
 from tilefold.llm.bpe_words import Encoder
 
 
@@ -223,6 +223,41 @@ def test_near_copies(spark):
     assert {10 * k for k in range(60)} <= kept and len(kept) <= 66  # 114 of 120 near copies at least
 
 
+def test_near_copies_verify_as_exact_similarity():
+    """The estimate from minima against the exact similarity of shingle sets, at sizes below and above the bins."""
+    import random
+
+    r = random.Random(3)
+    for n in (1, 4, 6, 40, 2000):
+        words = [str(r.randrange(10_000)) for _ in range(n)]
+        for changed in (0, 1, n // 50, n):
+            other = [f"x{w}" if k in set(r.sample(range(n), min(n, changed))) else w for k, w in enumerate(words)]
+            a, b = ({tuple(w[k : k + 5]) for k in range(max(1, n - 4))} for w in (words, other))
+            exact = len(a & b) / len(a | b)
+            x, y = (np.frombuffer(near_copies.sketch(" ".join(w))[1], np.uint8)[None] for w in (words, other))
+            if abs(exact - near_copies.SIMILARITY) > 0.07:
+                assert near_copies.alike(x, y)[0] == (exact > near_copies.SIMILARITY)
+    empty = np.frombuffer(near_copies.sketch("")[1], np.uint8)[None]
+    assert not near_copies.alike(empty, empty)[0]
+
+
+def test_near_copies_group_of_one_source(spark):
+    """Copies that are alike to their source, though less so to each other, join it."""
+    import random
+
+    r = random.Random(11)
+    base = [str(r.randrange(5000)) for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, 80):
+        other = list(base)
+        for at in r.sample(range(200), 3):
+            other[at] = f"new{c}"
+        rows.append((c, " ".join(other)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {x["doc_id"] for x in op3_simhash.keep_first(df).collect()}
+    assert 0 in kept and len(kept) <= 5
+
+
 def test_pipeline(spark, sf):
     """run() against the same decisions taken one document at a time."""
     docs = C.read(spark, sf, "documents")

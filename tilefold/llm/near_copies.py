@@ -1,10 +1,14 @@
-"""Near copies at five-word shingle similarity 0.8, with candidates by the ball hashing of SimHash fingerprints.
+"""Classes of near-duplicates: SimHash links and near copies at five-word shingle similarity 0.8, by one ball hashing.
 
 Majority bits over shingles drift apart by 3 to 11 bits at that similarity, beyond any ball that can be emitted. Bits
-over words, each weighted by the root of its count, drift far less. So each distinct text has TABLES fingerprints of
-BITS bits over words from independent hashes; those within 2 bits in one table are candidates, and a candidate pair is
-verified by the similarity of its five-word shingles, estimated from one-permutation minima in BINS bins (standard
-error 0.018 at 0.8). Copies of a text are one node throughout.
+over words, each weighted by the root of its count, drift far less. So each distinct text has, beside the 64 bits of
+op3 (table 0), TABLES fingerprints of BITS bits over words from independent hashes. All fingerprints of all tables emit
+their balls of half the radius in one shuffle. Table 0 links by its bits alone; what meets in another table is a
+candidate, verified by the similarity of its five-word shingles, estimated from one-permutation minima in BINS bins of
+8 bits (standard error 0.018 at 0.8).
+
+A node is a distinct text, named by its least doc_id, so copies cost one row a document. What meets is linked to the
+earliest document there: copies are mostly alike to what they were made from, less so to each other.
 """
 
 from __future__ import annotations
@@ -16,25 +20,28 @@ from pyspark.sql import functions as F
 
 from tilefold.llm import common as C
 from tilefold.llm.components import connected_components
-from tilefold.llm.op3_simhash import links
+from tilefold.llm.op3_simhash import RADIUS, fingerprint_of, words_of
 
-TABLES, BITS, BINS, WORDS, SIMILARITY = 4, 48, 512, 5, 0.8
+TABLES, BITS, BINS, WORDS, SIMILARITY = 6, 44, 512, 5, 0.8
+#: A bin's value if it is empty; others are below.
+EMPTY = 255
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
 
 def sketch(text: str) -> tuple[list[int], bytes]:
-    """The word fingerprints and the shingle minima of a whole text."""
+    """The fingerprint over shingles, those over words, and the shingle minima of a whole text."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
+    words = words_of(text)
     if not words:
-        return [0] * TABLES, np.full(BINS, _NONE).tobytes()
+        return [0] * (1 + TABLES), bytes([EMPTY]) * BINS
     own = {w: xxh64_intdigest(w) for w in set(words)}
     h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
     u, n = np.unique(h, return_counts=True)
     weight = np.sqrt(n).astype(np.float32)
-    fps = []
+    fp = fingerprint_of(words)
+    fps = [fp - (1 << 64) if fp >> 63 else fp]
     with np.errstate(over="ignore"):
         for m in _MULTIPLIERS:
             x = u * m
@@ -50,10 +57,43 @@ def sketch(text: str) -> tuple[list[int], bytes]:
         s = (s ^ s >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
     least = np.full(BINS, _NONE)
     np.minimum.at(least, (s >> np.uint64(55)).astype(np.int64), (s >> np.uint64(16)).astype(np.uint32) & np.uint32(0xFFFFFFFE))
-    return fps, least.tobytes()
+    return fps, np.where(least == _NONE, EMPTY, (least >> np.uint32(1)) % np.uint32(EMPTY)).astype(np.uint8).tobytes()
 
 
-SKETCH = pa.schema([("node", pa.int64()), ("fps", pa.list_(pa.int64())), ("minima", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fps", pa.list_(pa.int64())), ("minima", pa.binary())])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, hash of the text, its fingerprints by table, its minima."""
+
+    def run(batches):
+        for b in batches:
+            rows = ((i, h, *sketch(t)) for i, h, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "hash", "text"))))
+            yield from C.record_batches(rows, SKETCH)
+
+    C.tune(docs.sparkSession)
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, hash bigint, fps array<bigint>, minima binary")
+
+
+def balls(first: DataFrame) -> DataFrame:
+    """Edges (t, fp, u, v) that join the documents (first) of all fingerprints (fp) of one table (t) within 2 bits; fp is u's.
+
+    A ball's values are sent with the number of the flipped bit, not with the fingerprint, to halve what is shuffled.
+    """
+    flips = F.when(F.col("t") == 0, F.sequence(F.lit(-1), F.lit(63))).otherwise(F.sequence(F.lit(-1), F.lit(BITS - 1)))
+    mask = F.expr("CASE WHEN bit < 0 THEN 0L ELSE shiftleft(1L, bit) END")
+    emitted = first.select("t", "fp", "first", F.explode(flips).alias("bit")).select("t", F.col("fp").bitwiseXOR(mask).alias("value"), F.col("bit").cast("tinyint").alias("bit"), "first")
+    met = emitted.withColumn("least", F.min(F.struct("first", "bit")).over(Window.partitionBy("t", "value"))).where("first <> least.first")
+    apart = F.expr("bit_count((CASE WHEN bit < 0 THEN 0L ELSE shiftleft(1L, bit) END) ^ (CASE WHEN least.bit < 0 THEN 0L ELSE shiftleft(1L, least.bit) END))")
+    return met.where(apart <= RADIUS).select("t", F.col("value").bitwiseXOR(mask).alias("fp"), F.col("first").alias("u"), F.col("least.first").alias("v"))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of minima, whether the estimated shingle similarity is high enough; values that agree by chance are allowed for."""
+    either = ((a != EMPTY) | (b != EMPTY)).sum(1)
+    both = ((a != EMPTY) & (b != EMPTY)).sum(1)
+    same = ((a == b) & (a != EMPTY)).sum(1)
+    return ((same * EMPTY - both) >= SIMILARITY * either * (EMPTY - 1)) & (either > 0)
 
 
 def verified(edges: DataFrame, minima: DataFrame) -> DataFrame:
@@ -62,33 +102,31 @@ def verified(edges: DataFrame, minima: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("a", "b"))
-            either = ((x != _NONE) | (y != _NONE)).sum(1)
-            same = ((x == y) & (x != _NONE)).sum(1)
-            on = pa.array((same >= SIMILARITY * either) & (either > 0))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(on)
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(alike(x, y)))
 
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, root) of documents (doc_id, text): node stands for the text, root for its class of near copies."""
-    node = F.xxhash64("text")
-    ids, _ = C.stage(docs.select("doc_id", node.alias("node")), "texts")
-
-    def run(batches):
-        for b in batches:
-            rows = [(n, *sketch(t)) for n, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist())]
-            yield from C.record_batches(rows, SKETCH)
-
-    C.tune(docs.sparkSession)
-    sketches, _ = C.stage(docs.select(node.alias("node"), "text").mapInArrow(run, "node bigint, fps array<bigint>, minima binary"), "sketches")
-    tagged = sketches.select("node", F.posexplode("fps").alias("t", "fp")).select("node", F.col("fp").bitwiseOR(F.shiftleft(F.col("t").cast("bigint"), 56)).alias("fp")).distinct()
-    first = tagged.groupBy("fp").agg(F.min("node").alias("first"))
-    first, _ = C.stage(first, "first")
-    alike = tagged.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    near = links(first.select("fp"), BITS)
-    near = near.join(first.select(F.col("fp").alias("u"), F.col("first").alias("nu")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("nv")), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    edges = alike.unionByName(near).where("u <> v").distinct()
-    roots = connected_components(verified(edges, sketches.dropDuplicates(["node"])))
-    return ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    """(doc_id, root) of documents (doc_id, text): root is the least doc_id of the class.
+
+    No doc_id may be null. Rows of one doc_id with several texts count as one document. Texts without words are linked
+    by table 0, where their fingerprint is zero.
+    """
+    made, _ = C.stage(sketches(docs), "sketches")
+    texts = made.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"))
+    nodes, _ = C.stage(texts, "nodes")
+    tagged = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
+    first, _ = C.stage(tagged.groupBy("t", "fp").agg(F.min("node").alias("first")), "first")
+    near, _ = C.stage(balls(first), "met")
+    # What shares a fingerprint is linked to its own first and to the earliest that the fingerprint met.
+    centres = first.unionByName(near.groupBy("t", "fp").agg(F.min("v").alias("first")))
+    shared = tagged.join(centres, ["t", "fp"]).where("node <> first").select("t", F.col("node").alias("u"), F.col("first").alias("v"))
+    # Two documents may meet in several tables and values.
+    edges, _ = C.stage(shared.unionByName(near.select("t", "u", "v")).groupBy("u", "v").agg(F.min("t").alias("t")), "candidates")
+    minima = made.groupBy(F.col("doc_id").alias("node")).agg(F.max("minima").alias("minima"))
+    sure = edges.where("t = 0").select("u", "v")
+    roots = connected_components(sure.unionByName(verified(edges.where("t > 0").select("u", "v"), minima)))
+    named = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
+    return made.select("doc_id", "hash").join(named, "hash").select("doc_id", "root")

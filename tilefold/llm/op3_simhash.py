@@ -30,9 +30,16 @@ _BLOCK = 1 << 15
 
 def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the XXH64 hashes of all word shingles, repeats included; A-Z are lower-cased first."""
+    return fingerprint_of(words_of(text), size, seed)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()  # of bytes, both know ASCII alone
+
+
+def fingerprint_of(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> int:
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()  # of bytes, both know ASCII alone
     n = len(words)
     if not n:
         return 0
@@ -67,9 +74,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return C.map_documents(docs, make, "doc_id bigint, fp bigint", SCHEMA)
 
 
-def links(distinct: DataFrame, bits: int = 64) -> DataFrame:
-    """Verified edges (u, v) between distinct fingerprints (fp) that join all at 2 of the lower `bits` bits or fewer, the higher ones being equal."""
-    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(bits)))
+def links(distinct: DataFrame) -> DataFrame:
+    """Verified edges (u, v) between distinct fingerprints (fp) that join all at 2 bits or fewer."""
+    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)))
     emitted = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     met = emitted.withColumn("least", F.min("fp").over(Window.partitionBy("value"))).where("fp <> least")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS).select(F.col("fp").alias("u"), F.col("least").alias("v"))
@@ -90,17 +97,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns: classes join documents that are linked by fingerprints or are
     near copies by five-word shingles (near_copies); the one of the least doc_id stays, and rows that repeat its doc_id.
 
-    Rows without a doc_id cannot be told apart and are kept.
+    Rows of one doc_id are one document. Rows without a doc_id cannot be told apart and are kept.
     """
     from tilefold.llm import near_copies
 
-    own = C.documents(docs)
-    linked = classes(own).where("doc_id <> component_id").select("doc_id")
-    near, _ = C.stage(near_copies.components(own), "near")
-    least = near.groupBy("root").agg(F.min("doc_id").alias("least"))
-    copies = near.join(least, "root").where("doc_id <> least").select("doc_id")
-    chosen = linked.unionByName(copies).distinct()
-    return docs.join(chosen, "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
+    roots = near_copies.components(C.documents(docs).where("doc_id is not null"))
+    copies = roots.where("doc_id <> root").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
