@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilefold.functions.staging import saved
+
 
 def of_matrix(a: DataFrame) -> DataFrame:
     """Undirected edges, src < dst, once each."""
@@ -35,11 +35,7 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{folder.rstrip('/')}/tilefold-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return saved(df, "graph")
 
 
 def levels(edges: DataFrame, start: int) -> DataFrame:
@@ -69,3 +65,33 @@ def colouring(edges: DataFrame) -> DataFrame:
         turn = F.col("colour").isNull() & (F.col("first").isNull() | (F.col("rank") < F.col("first")))
         nodes = _saved(nodes.join(about, "node").select("node", "rank", F.when(turn, free).otherwise(F.col("colour")).cast("int").alias("colour")))
     return nodes.select("node", "colour")
+
+
+def coarsen(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between the classes (node, label) of an undirected graph, once each; those within a class go."""
+    named = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+    return named.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def independent_set(edges: DataFrame, distance: int = 2) -> DataFrame:
+    """Nodes of a maximal set in which any two are more than `distance` steps apart.
+
+    In each round a node enters whose rank (hash, then id) is the least of all open nodes in reach, and what it reaches
+    is closed. Ranks travel step by step, one row a node, so the pairs of a hub's neighbours are never made.
+    """
+    out = both_ways(edges)
+    nodes = _saved(out.select(F.col("src").alias("node")).distinct().select("node", F.struct(F.xxhash64("node").alias("h"), "node").alias("rank"), F.lit(0).alias("state")))
+
+    def nearest(values: DataFrame) -> DataFrame:
+        """(node, r): the least of a node's own value and its neighbours'; nulls are no values."""
+        for _ in range(distance):
+            sent = out.join(values.select(F.col("node").alias("src"), "r").where("r is not null"), "src").select(F.col("dst").alias("node"), "r")
+            values = values.unionByName(sent).groupBy("node").agg(F.min("r").alias("r"))
+        return values
+
+    while not nodes.where("state = 0").isEmpty():
+        least = nearest(nodes.select("node", F.when(F.col("state") == 0, F.col("rank")).alias("r")))
+        entered = _saved(nodes.join(least, "node").select("node", "rank", F.when((F.col("state") == 0) & (F.col("rank") == F.col("r")), 1).otherwise(F.col("state")).alias("state")))
+        reached = nearest(entered.select("node", F.when(F.col("state") == 1, F.lit(1)).alias("r")))
+        nodes = _saved(entered.join(reached, "node").select("node", "rank", F.when((F.col("state") == 0) & F.col("r").isNotNull(), 2).otherwise(F.col("state")).alias("state")))
+    return nodes.where("state = 1").select("node")

@@ -13,6 +13,7 @@ from tilefold.operators import graph as G
 from tilefold.operators import records as R
 from tilefold.operators import solvers as V
 from tilefold.operators import tiled
+from tilefold.operators import vectors as W
 from tilefold.plans import products as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,7 @@ SQL = {
     "a": f"a AS (SELECT CAST(l_suppkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, {_V} {_LINES})",
     "o": f"o AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CAST(l_partkey AS BIGINT) AS j, {_V} {_LINES})",
     "s": f"s AS (SELECT CAST(l_partkey % 512 AS BIGINT) AS i, CAST(l_orderkey % 512 AS BIGINT) AS j, {_V} {_LINES})",
+    "q": "q AS (SELECT CAST(o_orderkey AS BIGINT) AS i, CAST(o_custkey % 5 AS BIGINT) AS x FROM orders)",
     "x": "x AS (SELECT CAST(p_partkey AS BIGINT) AS j, CAST(p_partkey % 10 AS DOUBLE) AS x FROM part)",
 }
 
@@ -411,3 +413,127 @@ def vector_norms(spark, d):
 def vector_sum(spark, d):
     t = M.row_sums(M.transpose(a_sp(spark, d))).select("i", F.col("y").alias("x"))
     return V.axpby(2.0, t, -1.0, vector(spark, d).select(F.col("j").alias("i"), "x"))
+
+
+def sequence(spark: SparkSession, d: str) -> DataFrame:
+    """A vector of the orders, small integers."""
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("i"), (F.col("o_custkey") % 5).cast("bigint").alias("x"))
+
+
+#: Entries with the one at the index before.
+_PAIRED = "p AS (SELECT q.i, q.x, w.x AS was, w.i IS NOT NULL AS has FROM q LEFT JOIN q w ON w.i = q.i - 1)"
+#: Runs: entries that differ from the one before start one.
+_RUNS = _PAIRED + ", r AS (SELECT i, x, sum(CASE WHEN has AND x = was THEN 0 ELSE 1 END) OVER (ORDER BY i) AS run FROM p), g AS (SELECT min(i) AS start, count(*) AS length, min(x) AS x FROM r GROUP BY run)"
+
+
+@query(ctes("q", more=_PAIRED) + "SELECT i, CASE WHEN has THEN x - was ELSE x END AS x FROM p")
+def vector_adjacent_difference(spark, d):
+    return W.adjacent_difference(sequence(spark, d))
+
+
+@query(ctes("q", more=_PAIRED) + "SELECT min(i) - 1 AS at FROM p WHERE has AND x = was")
+def vector_adjacent_find(spark, d):
+    return W.adjacent_find(sequence(spark, d))
+
+
+@query(ctes("q", more=_PAIRED) + "SELECT min(i) AS at FROM p WHERE has AND x < was")
+def vector_sorted_until(spark, d):
+    return W.sorted_until(sequence(spark, d))
+
+
+@query(ctes("q", more=_PAIRED) + "SELECT i, x FROM p WHERE NOT (has AND x = was)")
+def vector_unique(spark, d):
+    return W.unique(sequence(spark, d))
+
+
+@query(ctes("q") + "SELECT i, CAST(sum(x) OVER (ORDER BY i) AS BIGINT) AS x FROM q")
+def vector_inclusive_scan(spark, d):
+    return W.inclusive_scan(sequence(spark, d))
+
+
+@query(ctes("q", more=_RUNS) + "SELECT start, length, x FROM g")
+def vector_runs(spark, d):
+    return W.runs(sequence(spark, d))
+
+
+@query(ctes("q", more=_RUNS) + "SELECT min(start) AS at FROM g WHERE length >= 3 AND x = 2")
+def vector_search_n(spark, d):
+    return W.search_n(sequence(spark, d), 3, 2)
+
+
+@query(ctes("q") + "SELECT min(a.i) AS first, max(a.i) AS last FROM q a JOIN q b ON b.i = a.i + 1 JOIN q c ON c.i = a.i + 2 WHERE a.x = 1 AND b.x = 3 AND c.x = 1")
+def vector_search(spark, d):
+    return W.first_and_last(W.occurrences(sequence(spark, d), [1, 3, 1]))
+
+
+@query(ctes("q") + "SELECT min(i) AS at FROM q WHERE x IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 2)")
+def vector_find_first_of(spark, d):
+    return W.find_first_of(sequence(spark, d), spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey > 2").select(F.col("n_nationkey").cast("bigint").alias("x")))
+
+
+@query(ctes("q") + "SELECT min(i) AS at FROM q WHERE x <> x % 4")
+def vector_mismatch(spark, d):
+    x = sequence(spark, d)
+    return W.mismatch(x, x.withColumn("x", F.col("x") % 4))
+
+
+@query(ctes("q") + "SELECT min(x) AS least, arg_min(i, (x, i)) AS least_at, max(x) AS most, arg_min(i, (-x, i)) AS most_at, arg_min(i, (-abs(x), i)) AS largest_at FROM q")
+def vector_extremes(spark, d):
+    return W.extremes(sequence(spark, d))
+
+
+@query(ctes("q") + "SELECT min(i) FILTER (WHERE x >= 3) AS at, coalesce(max(i) FILTER (WHERE x < 3) < min(i) FILTER (WHERE x >= 3), true) AS partitioned FROM q")
+def vector_partition_point(spark, d):
+    return W.partition_point(sequence(spark, d), F.col("x") < 3)
+
+
+@query(ctes("q") + "SELECT (i + 93) % 100 AS i, x FROM q WHERE i < 100")
+def vector_rotate(spark, d):
+    return W.rotate(sequence(spark, d).where("i < 100"), 7, 100)
+
+
+@query(ctes("q") + "SELECT 99 - i AS i, x FROM q WHERE i < 100")
+def vector_reverse(spark, d):
+    return W.reverse(sequence(spark, d).where("i < 100"), 100)
+
+
+@query(ctes("q") + "SELECT i - 7 AS i, x FROM q WHERE i BETWEEN 7 AND 99")
+def vector_shift(spark, d):
+    return W.shift(sequence(spark, d).where("i < 100"), 7, 100)
+
+
+@query("SELECT CAST(floor((o_totalprice - 1000) / 25000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")
+def vector_histogram(spark, d):
+    return W.histogram(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x")), 1000, 25000)
+
+
+@query(ctes("q") + "SELECT k.k AS i, CAST(sum(CASE WHEN bit_count(q.i & k.k) % 2 = 1 THEN -q.x ELSE q.x END) AS BIGINT) AS x FROM (SELECT i, x FROM q WHERE i < 256) q, (SELECT unnest(range(256)) AS k) k GROUP BY 1")
+def vector_walsh(spark, d):
+    return W.walsh(sequence(spark, d).where("i < 256"), 8)
+
+
+@query(ctes("q") + "SELECT i >> 1 AS i, CAST(sum(x) AS BIGINT) AS total, CAST(sum(CASE WHEN i % 2 = 0 THEN x ELSE -x END) AS BIGINT) AS difference FROM q GROUP BY 1")
+def vector_haar(spark, d):
+    return W.haar(sequence(spark, d))
+
+
+@query(ctes("s") + "SELECT s.i - di AS i, s.j - dj AS j, CAST(sum(v) AS DOUBLE) AS v FROM s, (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS di), (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS dj) GROUP BY 1, 2")
+def box_filter(spark, d):
+    return W.convolve(square(spark, d), W.box(1))
+
+
+@query(ctes("s") + "SELECT s.i - di AS i, s.j - dj AS j, CAST(sum(v * w) AS DOUBLE) AS v FROM s, (VALUES (-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1, 1)) k(di, dj, w) GROUP BY 1, 2")
+def sobel_gradient(spark, d):
+    return W.convolve(square(spark, d), {(-1, -1): -1, (-1, 1): 1, (0, -1): -2, (0, 1): 2, (1, -1): -1, (1, 1): 1})
+
+
+@query("WITH " + SQL["s"] + ", e AS (SELECT DISTINCT least(i // 16, j // 16) AS src, greatest(i // 16, j // 16) AS dst FROM s WHERE v > 45) SELECT src, dst FROM e WHERE src <> dst")
+def graph_coarsen(spark, d):
+    e = _graph(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return G.coarsen(e, nodes.select("node", F.shiftright("node", 4).alias("label")))
+
+
+@query()
+def graph_independent_set(spark, d):
+    return G.independent_set(_graph(spark, d))
