@@ -249,3 +249,62 @@ def test_graphs(spark):
         front = {b for a in front for b in near[a]} - level.keys()
         level |= dict.fromkeys(front, k)
     assert dict(rows(graph.levels(edges, 0), "node", "level")) == level
+
+
+def test_more_solvers(spark):
+    from tilefold.operators import graph, solvers
+
+    n = 5
+    d = np.diag(np.full(n, 4.0)) + np.diag(np.full(n - 1, -1.0), 1) + np.diag(np.full(n - 1, -2.0), -1)
+
+    def frame(m):
+        return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i bigint, j bigint, v double")
+
+    a, v = frame(d), [1.0, 2.0, 0.0, -1.0, 3.0]
+    b = spark.createDataFrame(list(enumerate(v)), "i bigint, x double")
+    colours = graph.colouring(graph.of_matrix(a))
+    for x, m, within in (
+        (solvers.gauss_seidel(a, b, colours, 6), d, 1e-2),
+        (solvers.triangular_solve(frame(np.tril(d)), b), np.tril(d), 1e-9),
+        (solvers.triangular_solve(frame(np.triu(d)), b), np.triu(d), 1e-9),
+        (solvers.gmres(a, b, n, 2, 1e-8), d, 1e-6),
+    ):
+        assert np.allclose([y for _, y in rows(x, "i", "x")], np.linalg.solve(m, v), atol=within)
+    got = np.zeros((n, n))
+    for i, j, y in rows(solvers.damped_product(a, a, 0.5), "i", "j", "v"):
+        got[i, j] = y
+    assert np.allclose(got, d - 0.5 * np.diag(1 / np.diag(d)) @ d @ d)
+    with pytest.raises(ValueError):
+        solvers.triangular_solve(a, b)
+
+
+def test_batched(spark):
+    from tilefold.operators import batched
+
+    rng, n = np.random.default_rng(5), 4
+    m = rng.normal(size=(30, n, n)) + 4 * np.eye(n)
+    v = rng.normal(size=(30, n))
+    df = spark.createDataFrame([(k, m[k].ravel().tolist(), v[k].tolist()) for k in range(30)] + [(30, None, None), (31, [0.0] * 16, [1.0] * 4)], "batch bigint, a array<double>, b array<double>")
+
+    def of(routine, *cols):
+        got = {r["batch"]: r for r in batched.apply(df, routine, n).collect()}
+        assert got[30][cols[0]] is None and len(got) == 32
+        return [np.array([got[k][c] for k in range(30)]) for c in cols], got[31]
+
+    (f, order), _ = of("lu", "factors", "order")
+    f = f.reshape(-1, n, n)
+    assert np.allclose((np.tril(f, -1) + np.eye(n)) @ np.triu(f), np.take_along_axis(m, order.astype(int)[:, :, None], 1))
+    (q, r), _ = of("qr", "q", "r")
+    assert np.allclose(q.reshape(m.shape) @ r.reshape(m.shape), m)
+    (u, s, vt), _ = of("svd", "u", "s", "vt")
+    assert np.allclose(u.reshape(m.shape) * s[:, None, :] @ vt.reshape(m.shape), m)
+    (x,), singular = of("solve", "x")
+    assert np.allclose((m @ x[:, :, None])[:, :, 0], v) and np.isnan(singular["x"]).all()
+    (x,), _ = of("lower_solve", "x")
+    assert np.allclose((np.tril(m) @ x[:, :, None])[:, :, 0], v)
+    (x,), _ = of("upper_solve", "x")
+    assert np.allclose((np.triu(m) @ x[:, :, None])[:, :, 0], v)
+    (x,), _ = of("tridiagonal_solve", "x")
+    assert np.allclose((np.triu(np.tril(m, 1), -1) @ x[:, :, None])[:, :, 0], v)
+    c = {r["batch"]: r["c"] for r in batched.gemm(df, df, n, 2.0).collect()}
+    assert c[30] is None and all(np.allclose(np.reshape(c[k], (n, n)), 2 * m[k] @ m[k]) for k in range(30))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilefold.functions import bits as B
+from tilefold.operators import batched
 from tilefold.operators import matrix as M
 from tilefold.operators import graph as G
 from tilefold.operators import records as R
@@ -537,3 +538,28 @@ def graph_coarsen(spark, d):
 @query()
 def graph_independent_set(spark, d):
     return G.independent_set(_graph(spark, d))
+
+
+def small_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding as an 8x8 matrix of whole thousandths, and its first row as a vector."""
+    whole = F.expr("transform(slice(embedding, 1, 64), e -> CAST(round(CAST(e AS DOUBLE) * 1000) AS DOUBLE))")
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("batch"), whole.alias("a")).withColumn("b", F.slice("a", 1, 8))
+
+
+_SMALL = "WITH e AS (SELECT vec_id AS batch, round(CAST(unnest(embedding) AS DOUBLE) * 1000) AS v, CAST(unnest(range(64)) AS INT) AS p FROM embeddings) "
+
+
+@query(_SMALL + "SELECT x.batch, x.p // 8 * 8 + y.p % 8 AS p, sum(x.v * y.v) AS c FROM e x JOIN e y ON x.batch = y.batch AND x.p % 8 = y.p // 8 GROUP BY ALL")
+def batched_gemm(spark, d):
+    m = small_matrices(spark, d)
+    return batched.gemm(m, m, 8).select("batch", F.posexplode("c").alias("p", "c"))
+
+
+@query(_SMALL + "SELECT x.batch, x.p // 8 AS p, sum(x.v * y.v) AS y FROM e x JOIN e y ON x.batch = y.batch AND x.p % 8 = y.p WHERE y.p < 8 GROUP BY ALL")
+def batched_gemv(spark, d):
+    return batched.apply(small_matrices(spark, d), "gemv", 8).select("batch", F.posexplode("y").alias("p", "y"))
+
+
+@query()
+def batched_svd(spark, d):
+    return batched.apply(small_matrices(spark, d), "svd", 8).select("batch", "s")
