@@ -203,3 +203,28 @@ def matrix_difference(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> Dat
     """Places where two matrices differ; a missing entry counts as null."""
     both = a.select("i", "j", F.col("v").alias("a")).join(b.select("i", "j", F.col("v").alias("b")), ["i", "j"], "full")
     return both.where(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > tolerance))
+
+
+def blocks(a: DataFrame, side: int) -> DataFrame:
+    """(bi, bj, vals): dense square blocks, by rows, of all places with an entry; absent entries are 0."""
+    summed = a.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    place = ((F.col("i") % side) * side + F.col("j") % side).cast("int")
+    at = summed.groupBy(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).alias("bj")).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("p"), "v"))).alias("e"))
+    return at.select("bi", "bj", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: F.coalesce(F.try_element_at("e", p), F.lit(0.0))).alias("vals"))
+
+
+def unblocked(b: DataFrame, side: int) -> DataFrame:
+    """(i, j, v) of blocks(), zeros left out."""
+    e = b.select("bi", "bj", F.posexplode("vals").alias("p", "v")).where("v <> 0")
+    return e.select((F.col("bi") * side + F.floor(F.col("p") / side)).alias("i"), (F.col("bj") * side + F.col("p") % side).alias("j"), "v")
+
+
+def block_sizes(a: DataFrame, sizes: list[int]) -> DataFrame:
+    """(size, blocks, dense): blocks of each size with an entry, and whether all of them are full. The greatest size that
+    is dense suits the matrix. Entries are counted by block before blocks are counted."""
+    out = None
+    for s in sizes:
+        n = a.groupBy(F.floor(F.col("i") / s).alias("bi"), F.floor(F.col("j") / s).alias("bj")).agg(F.count("*").alias("n"))
+        own = n.agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).select(F.lit(s).alias("size"), "blocks", (F.col("blocks") * s * s == F.col("n")).alias("dense"))
+        out = own if out is None else out.unionByName(own)
+    return out

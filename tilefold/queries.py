@@ -467,9 +467,9 @@ def vector_search(spark, d):
     return W.first_and_last(W.occurrences(sequence(spark, d), [1, 3, 1]))
 
 
-@query(ctes("q") + "SELECT min(i) AS at FROM q WHERE x IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 2)")
+@query(ctes("q") + "SELECT min(i) AS at FROM q WHERE x IN (SELECT r_regionkey FROM region)")
 def vector_find_first_of(spark, d):
-    return W.find_first_of(sequence(spark, d), spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey > 2").select(F.col("n_nationkey").cast("bigint").alias("x")))
+    return W.find_first_of(sequence(spark, d), spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("x")))
 
 
 @query(ctes("q") + "SELECT min(i) AS at FROM q WHERE x <> x % 4")
@@ -488,19 +488,26 @@ def vector_partition_point(spark, d):
     return W.partition_point(sequence(spark, d), F.col("x") < 3)
 
 
-@query(ctes("q") + "SELECT (i + 93) % 100 AS i, x FROM q WHERE i < 100")
+#: As many indexes as orders, from 0 on or from 1 on.
+_N = "n AS (SELECT count(*) AS n FROM orders)"
+
+
+@query(ctes("q", more=_N) + "SELECT (i - 7 + n) % n AS i, x FROM q, n")
 def vector_rotate(spark, d):
-    return W.rotate(sequence(spark, d).where("i < 100"), 7, 100)
+    x = sequence(spark, d)
+    return W.rotate(x, 7, x.count())
 
 
-@query(ctes("q") + "SELECT 99 - i AS i, x FROM q WHERE i < 100")
+@query(ctes("q", more=_N) + "SELECT n - 1 - i AS i, x FROM q, n")
 def vector_reverse(spark, d):
-    return W.reverse(sequence(spark, d).where("i < 100"), 100)
+    x = sequence(spark, d)
+    return W.reverse(x, x.count())
 
 
-@query(ctes("q") + "SELECT i - 7 AS i, x FROM q WHERE i BETWEEN 7 AND 99")
+@query(ctes("q", more=_N) + "SELECT i - 7 AS i, x FROM q, n WHERE i - 7 >= 0 AND i - 7 < n")
 def vector_shift(spark, d):
-    return W.shift(sequence(spark, d).where("i < 100"), 7, 100)
+    x = sequence(spark, d)
+    return W.shift(x, 7, x.count())
 
 
 @query("SELECT CAST(floor((o_totalprice - 1000) / 25000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")
@@ -508,9 +515,11 @@ def vector_histogram(spark, d):
     return W.histogram(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x")), 1000, 25000)
 
 
-@query(ctes("q") + "SELECT k.k AS i, CAST(sum(CASE WHEN bit_count(q.i & k.k) % 2 = 1 THEN -q.x ELSE q.x END) AS BIGINT) AS x FROM (SELECT i, x FROM q WHERE i < 256) q, (SELECT unnest(range(256)) AS k) k GROUP BY 1")
+@query(ctes("q") + "SELECT k.k AS i, CAST(sum(CASE WHEN bit_count(q.i & k.k) % 2 = 1 THEN -q.x ELSE q.x END) AS BIGINT) AS x FROM (SELECT i % 256 AS i, sum(x) AS x FROM q GROUP BY 1) q, (SELECT unnest(range(256)) AS k) k GROUP BY 1")
 def vector_walsh(spark, d):
-    return W.walsh(sequence(spark, d).where("i < 256"), 8)
+    """Of the vector folded into 256 sums."""
+    folded = sequence(spark, d).groupBy((F.col("i") % 256).alias("i")).agg(F.sum("x").alias("x"))
+    return W.walsh(folded, 8)
 
 
 @query(ctes("q") + "SELECT i >> 1 AS i, CAST(sum(x) AS BIGINT) AS total, CAST(sum(CASE WHEN i % 2 = 0 THEN x ELSE -x END) AS BIGINT) AS difference FROM q GROUP BY 1")
@@ -563,3 +572,20 @@ def batched_gemv(spark, d):
 @query()
 def batched_svd(spark, d):
     return batched.apply(small_matrices(spark, d), "svd", 8).select("batch", "s")
+
+
+@query("WITH " + SQL["s"] + " SELECT i // 4 AS bi, j // 4 AS bj, count(*) AS filled, CAST(sum(v) AS DOUBLE) AS total FROM s GROUP BY 1, 2")
+def block_storage(spark, d):
+    blocks = M.blocks(square(spark, d), 4)
+    filled = F.size(F.filter("vals", lambda v: v != 0)).cast("bigint")
+    return blocks.select("bi", "bj", filled.alias("filled"), F.aggregate("vals", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query("WITH " + SQL["s"] + " SELECT i, j, v FROM s")
+def block_round_trip(spark, d):
+    return M.unblocked(M.blocks(square(spark, d), 4), 4)
+
+
+@query("WITH " + SQL["s"] + ", b AS (SELECT CAST(unnest([1, 2, 4, 8, 16]) AS INT) AS size), c AS (SELECT size, count(DISTINCT (i // size, j // size)) AS blocks FROM s, b GROUP BY size) SELECT size, blocks, blocks * size * size = (SELECT count(*) FROM s) AS dense FROM c")
+def block_sizes(spark, d):
+    return M.block_sizes(square(spark, d), [1, 2, 4, 8, 16])
