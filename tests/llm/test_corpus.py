@@ -280,3 +280,33 @@ def test_stages_keep_columns_and_rows(spark, sf):
         out = stage(spark, df, sf)
         assert out.schema.names == df.schema.names and out.count() <= len(rows)
         assert stage(spark, df.limit(0), sf).count() == 0
+
+
+def five_words(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def similarity(a, b):
+    a, b = five_words(a), five_words(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_one_template(spark):
+    """Many documents share a long passage and are not alike; each has one copy, which must be found."""
+    import random
+
+    r = random.Random(5)
+    template = [str(r.randrange(5000)) for _ in range(340)]
+    rows = []
+    for k in range(400):
+        words = template + [f"d{k}w{r.randrange(5000)}" for _ in range(60)]
+        rows.append((k, " ".join(words)))
+        rows.append((1000 + k, " ".join([*words, *(f"c{k}w{r.randrange(5000)}" for _ in range(64))])))
+    assert similarity(rows[0][1], rows[2][1]) < 0.76 and similarity(rows[0][1], rows[1][1]) > 0.85
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    group = {i: i % 1000 for i, _ in rows}
+    for i, _, least in brute_components(rows):
+        a, b = group[i], group[least]
+        group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    assert {x["doc_id"] for x in op3_simhash.keep_first(df).collect()} == set(group.values())

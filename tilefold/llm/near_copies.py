@@ -1,70 +1,84 @@
-"""Classes of near-duplicates: SimHash links and near copies at five-word shingle similarity 0.8, by one ball hashing.
+"""Classes of near-duplicates: SimHash links, and near copies at five-word shingle similarity 0.8.
 
-Majority bits over shingles drift apart by 3 to 11 bits at that similarity, beyond any ball that can be emitted. Bits
-over words, each weighted by the root of its count, drift far less. So each distinct text has, beside the 64 bits of
-op3 (table 0), TABLES fingerprints of BITS bits over words from independent hashes. All fingerprints of all tables emit
-their balls of half the radius in one shuffle. Table 0 links by its bits alone; what meets in another table is a
-candidate, verified by the similarity of its five-word shingles, estimated from one-permutation minima in BINS bins of
-8 bits (standard error 0.018 at 0.8).
+Majority bits over shingles drift apart by 3 to 11 bits at that similarity, beyond any ball that can be emitted, so
+near copies have candidates of their own: BANDS values, each of ROWS minima over the five-word shingles. A pair of
+similarity 0.8 has one in common with probability 1 - (1 - 0.8 ** 6) ** 32 = 0.99994, whatever was changed in it.
 
-A node is a distinct text, named by its least doc_id, so copies cost one row a document. What meets is linked to the
-earliest document there: copies are mostly alike to what they were made from, less so to each other.
+All pairs of a value are compared or already joined. First each member is compared with the earliest document there,
+which joins nearly all copies to what they were made from. Then the values whose other members are still in several
+classes are dealt in blocks, and every pair of members of different classes is compared. A comparison is exact, on the
+shingle sets of the two texts; only of the first ones, those that the estimate from one-permutation minima (BINS bins
+of 8 bits) puts five standard errors from the threshold are settled by it.
+
+A node is a distinct text, named by its hash, so copies cost one row a document.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilefold.llm import common as C
 from tilefold.llm.components import connected_components
-from tilefold.llm.op3_simhash import RADIUS, fingerprint_of, words_of
+from tilefold.llm.op3_simhash import fingerprint_of, links, words_of
 
-TABLES, BITS, BINS, WORDS, SIMILARITY = 6, 44, 512, 5, 0.8
+BANDS, ROWS, BINS, WORDS, SIMILARITY = 32, 6, 512, 5, 0.8
 #: A bin's value if it is empty; others are below.
 EMPTY = 255
-_MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Standard errors from the threshold at which the estimate settles a pair; members of a block.
+CLEAR, BLOCK = 5, 256
+_MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
 
-def sketch(text: str) -> tuple[list[int], bytes]:
-    """The fingerprint over shingles, those over words, and the shingle minima of a whole text."""
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the five-word shingles; of fewer words, of all together."""
     from xxhash import xxh64_intdigest
 
-    words = words_of(text)
     if not words:
-        return [0] * (1 + TABLES), bytes([EMPTY]) * BINS
+        return np.zeros(0, np.uint64)
     own = {w: xxh64_intdigest(w) for w in set(words)}
     h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
-    u, n = np.unique(h, return_counts=True)
-    weight = np.sqrt(n).astype(np.float32)
-    fp = fingerprint_of(words)
-    fps = [fp - (1 << 64) if fp >> 63 else fp]
+    size = min(WORDS, len(h))
+    s = np.zeros(len(h) - size + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for m in _MULTIPLIERS:
-            x = u * m
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-            total = np.zeros(64, np.float32)
-            for k in range(0, len(x), 1 << 15):
-                total += weight[k : k + (1 << 15)] @ np.unpackbits(np.ascontiguousarray(x[k : k + (1 << 15)] >> np.uint64(64 - BITS)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            fps.append(int(np.packbits(2 * total > weight.sum(), bitorder="little").view("<u8")[0]))
-        size = min(WORDS, len(h))
-        s = np.zeros(len(h) - size + 1, np.uint64)
         for k in range(size):
             s = (s ^ s >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(s)]
-        s = (s ^ s >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.unique((s ^ s >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def banded(s: np.ndarray) -> list[int]:
+    """The values of the bands, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(len(_MULTIPLIERS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(s), 1024):
+            least = np.minimum(least, (_MULTIPLIERS * s[k : k + 1024]).min(1))
+    found = (xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS)))
+    return [v - (1 << 64) if v >> 63 else v for v in found]
+
+
+def sketch(text: str) -> tuple[list[int], bytes]:
+    """The fingerprint over shingles with the values of the bands, and the shingle minima, of a whole text."""
+    words = words_of(text)
+    if not words:
+        return [0], bytes([EMPTY]) * BINS
+    fp = fingerprint_of(words)
+    s = shingles(words)
     least = np.full(BINS, _NONE)
     np.minimum.at(least, (s >> np.uint64(55)).astype(np.int64), (s >> np.uint64(16)).astype(np.uint32) & np.uint32(0xFFFFFFFE))
-    return fps, np.where(least == _NONE, EMPTY, (least >> np.uint32(1)) % np.uint32(EMPTY)).astype(np.uint8).tobytes()
+    minima = np.where(least == _NONE, EMPTY, (least >> np.uint32(1)) % np.uint32(EMPTY)).astype(np.uint8).tobytes()
+    return [fp - (1 << 64) if fp >> 63 else fp, *banded(s)], minima
 
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fps", pa.list_(pa.int64())), ("minima", pa.binary())])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, its fingerprints by table, its minima."""
+    """doc_id, hash of the text, its fingerprint and bands, its minima."""
 
     def run(batches):
         for b in batches:
@@ -75,58 +89,149 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, hash bigint, fps array<bigint>, minima binary")
 
 
-def balls(first: DataFrame) -> DataFrame:
-    """Edges (t, fp, u, v) that join the documents (first) of all fingerprints (fp) of one table (t) within 2 bits; fp is u's.
-
-    A ball's values are sent with the number of the flipped bit, not with the fingerprint, to halve what is shuffled.
-    """
-    flips = F.when(F.col("t") == 0, F.sequence(F.lit(-1), F.lit(63))).otherwise(F.sequence(F.lit(-1), F.lit(BITS - 1)))
-    mask = F.expr("CASE WHEN bit < 0 THEN 0L ELSE shiftleft(1L, bit) END")
-    emitted = first.select("t", "fp", "first", F.explode(flips).alias("bit")).select("t", F.col("fp").bitwiseXOR(mask).alias("value"), F.col("bit").cast("tinyint").alias("bit"), "first")
-    met = emitted.withColumn("least", F.min(F.struct("first", "bit")).over(Window.partitionBy("t", "value"))).where("first <> least.first")
-    apart = F.expr("bit_count((CASE WHEN bit < 0 THEN 0L ELSE shiftleft(1L, bit) END) ^ (CASE WHEN least.bit < 0 THEN 0L ELSE shiftleft(1L, least.bit) END))")
-    return met.where(apart <= RADIUS).select("t", F.col("value").bitwiseXOR(mask).alias("fp"), F.col("first").alias("u"), F.col("least.first").alias("v"))
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of minima, whether the estimated shingle similarity is high enough; values that agree by chance are allowed for."""
+def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of minima, the shingle similarity and its standard error at the threshold; values that agree by chance are allowed for."""
     either = ((a != EMPTY) | (b != EMPTY)).sum(1)
     both = ((a != EMPTY) & (b != EMPTY)).sum(1)
     same = ((a == b) & (a != EMPTY)).sum(1)
-    return ((same * EMPTY - both) >= SIMILARITY * either * (EMPTY - 1)) & (either > 0)
+    return (same * EMPTY - both) / np.maximum(either, 1) / (EMPTY - 1), np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(either, 1))
 
 
-def verified(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    """Edges (u, v) whose estimated shingle similarity is high enough."""
-    pairs = edges.join(minima.select(F.col("node").alias("u"), F.col("minima").alias("a")), "u").join(minima.select(F.col("node").alias("v"), F.col("minima").alias("b")), "v").select("u", "v", "a", "b")
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of minima, whether the estimated shingle similarity is high enough."""
+    return estimated(a, b)[0] >= SIMILARITY
+
+
+def judged(pairs: DataFrame, minima: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the estimate does not rule out; sure: whether it settles them."""
+    pairs = pairs.join(minima.select(F.col("node").alias("u"), F.col("minima").alias("a")), "u").join(minima.select(F.col("node").alias("v"), F.col("minima").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(alike(x, y)))
+            value, error = estimated(x, y)
+            sure = pa.array(value >= SIMILARITY + CLEAR * error)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), sure], names=["u", "v", "sure"]).filter(pa.array(value >= SIMILARITY - CLEAR * error))
+
+    return pairs.mapInArrow(run, "u bigint, v bigint, sure boolean")
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Of every two sets of shingles, whether their similarity is high enough."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = np.repeat(np.arange(n), size)[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 4097, 4096))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        m = np.zeros((n, int(column[b - 1]) - 4096 * k + 1 if b > a else 0), np.float32)
+        m[row[a:b], column[a:b] - 4096 * k] = 1
+        common += m @ m.T
+    common = common.astype(np.int64)
+    return 10 * common >= 8 * (size[:, None] + size - common)
+
+
+def compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) that join what is alike among the members (node, class, side) of each group (g): a member of side 0 is
+    compared with those of side 1, one of side 2 with all, unless both are of one class."""
+
+    def edges(held):
+        nodes, classes, sides, sets = zip(*held)
+        side, cls = np.array(sides), np.array(classes)
+        if len(set(classes)) == 1:
+            return
+        ok = similar(sets) & (cls[:, None] != cls) & ((side[:, None] != side) | (side == 2))
+        root = {c: c for c in classes}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for i, j in np.argwhere(np.triu(ok, 1)).tolist():
+            a, b = top(classes[i]), top(classes[j])
+            if a != b:
+                root[a] = b
+                yield nodes[i], nodes[j]
+
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        def rows():
+            at, held = None, []
+            for b in batches:
+                for g, node, cls, side, text in zip(*(b.column(c).to_pylist() for c in ("g", "node", "class", "side", "text"))):
+                    if g != at:
+                        if held:
+                            yield from edges(held)
+                        at, held = g, []
+                    held.append((node, cls, side, shingles(words_of(text))))
+            if held:
+                yield from edges(held)
+
+        yield from C.record_batches(rows(), out)
+
+    C.tune(groups.sparkSession)
+    dealt = groups.join(texts, "node").select("g", "node", "class", "side", "text").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node and text of the members of the groups."""
+    wanted = nodes.join(groups.select("node").distinct(), "node").select("node", F.col("doc").alias("doc_id"))
+    return docs.select("doc_id", F.xxhash64("text").alias("node"), "text").join(wanted, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text"))
+
+
+def stars(pairs: DataFrame) -> DataFrame:
+    """Groups of the pairs (u, v): each v with its u, BLOCK or so at a time."""
+    blocks = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    leaves = pairs.join(blocks, "v").select(F.xxhash64("v", F.pmod(F.xxhash64("u", F.lit(1)), "blocks")).alias("g"), F.col("u").alias("node"), F.lit(1).alias("side"))
+    centres = blocks.select("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")).select(F.xxhash64("v", "b").alias("g"), F.col("v").alias("node"), F.lit(0).alias("side"))
+    return leaves.unionByName(centres).select("g", "node", F.col("node").alias("class"), "side")
+
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+def crossed(members: DataFrame) -> DataFrame:
+    """Groups of the members (value, node, class) of values with several classes: every two blocks of BLOCK or so of a value."""
+    values = members.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).where("lo <> hi")
+    once = values.groupBy("n", "s").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK).alias("blocks"))  # values of the same members need one comparison
+    own = members.join(once, "value").withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
+    dealt = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    side = F.when(F.col("b") == F.col("c"), 2).when(F.col("b") < F.col("c"), 0).otherwise(1)
+    return dealt.select(F.xxhash64("value", F.least("b", "c"), F.greatest("b", "c")).alias("g"), "node", "class", side.alias("side"))
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, root) of documents (doc_id, text): root is the least doc_id of the class.
 
     No doc_id may be null. Rows of one doc_id with several texts count as one document. Texts without words are linked
-    by table 0, where their fingerprint is zero.
+    by their fingerprint, which is zero.
     """
     made, _ = C.stage(sketches(docs), "sketches")
-    texts = made.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"))
-    nodes, _ = C.stage(texts, "nodes")
-    tagged = nodes.select("node", F.posexplode("fps").alias("t", "fp"))
-    first, _ = C.stage(tagged.groupBy("t", "fp").agg(F.min("node").alias("first")), "first")
-    near, _ = C.stage(balls(first), "met")
-    # What shares a fingerprint is linked to its own first and to the earliest that the fingerprint met.
-    centres = first.unionByName(near.groupBy("t", "fp").agg(F.min("v").alias("first")))
-    shared = tagged.join(centres, ["t", "fp"]).where("node <> first").select("t", F.col("node").alias("u"), F.col("first").alias("v"))
-    # Two documents may meet in several tables and values.
-    edges, _ = C.stage(shared.unionByName(near.select("t", "u", "v")).groupBy("u", "v").agg(F.min("t").alias("t")), "candidates")
-    minima = made.groupBy(F.col("doc_id").alias("node")).agg(F.max("minima").alias("minima"))
-    sure = edges.where("t = 0").select("u", "v")
-    roots = connected_components(sure.unionByName(verified(edges.where("t > 0").select("u", "v"), minima)))
-    named = nodes.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
-    return made.select("doc_id", "hash").join(named, "hash").select("doc_id", "root")
+    nodes, _ = C.stage(made.groupBy(F.col("hash").alias("node")).agg(F.min("doc_id").alias("doc"), F.first("fps").alias("fps"), F.first("minima").alias("minima")), "nodes")
+    printed = nodes.select("node", F.col("fps")[0].alias("fp"))
+    first, _ = C.stage(printed.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    shared = printed.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    one = made.groupBy("doc_id").agg(F.min("hash").alias("v"), F.max("hash").alias("hi")).where("v <> hi").select("doc_id", "v")
+    sure = near.unionByName(shared).unionByName(made.join(one, "doc_id").select(F.col("hash").alias("u"), "v"))
+
+    banded = nodes.select("node", "doc", F.explode(F.slice("fps", 2, BANDS)).alias("value"))
+    centres = banded.groupBy("value").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").select("value", F.col("least.node").alias("centre"))
+    members, _ = C.stage(banded.join(centres, "value").where("node <> centre").select("value", "node", "centre"), "members")
+    found, _ = C.stage(judged(members.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), nodes.select("node", "minima")), "judged")
+    groups, _ = C.stage(stars(found.where("not sure").select("u", "v")), "stars")
+    edges = sure.unionByName(found.where("sure").select("u", "v")).unionByName(compared(groups, texts_of(docs, nodes, groups)))
+    roots = connected_components(edges)
+
+    # What is in a value beside its centre and in another class is compared with all of the other classes there.
+    left = members.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("class"))
+    groups, _ = C.stage(crossed(left), "crossed")
+    more, _ = C.stage(compared(groups, texts_of(docs, nodes, groups)), "more")
+    if not more.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    named = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc").alias("least"))
+    return made.select("doc_id", F.col("hash").alias("node")).join(named.join(least, "root").select("node", F.col("least").alias("root")), "node").select("doc_id", "root")
