@@ -310,3 +310,23 @@ def test_near_copies_of_one_template(spark):
         a, b = group[i], group[least]
         group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
     assert {x["doc_id"] for x in op3_simhash.keep_first(df).collect()} == set(group.values())
+
+
+def test_near_copies_with_passages_added_or_dropped(spark):
+    import random
+
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(900)]
+    rows, copies = [], set()
+    for k in range(150):
+        words = [vocabulary[min(int(r.expovariate(1) * 150), 899)] for _ in range(r.randrange(100, 1500))]
+        n = int(len(words) * r.uniform(0.1, 0.19))
+        at = r.randrange(len(words) - n)
+        more = [f"{r.randrange(10**6)}" for _ in range(n)]
+        other = (words + more, words[:at] + words[at + n :], words[:at] + more + words[at:])[k % 3]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+        if similarity(rows[-1][1], rows[-2][1]) >= 0.8:
+            copies.add(1000 + k)
+    assert len(copies) > 120
+    kept = {x["doc_id"] for x in op3_simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(copies & kept) <= 1 and set(range(150)) <= kept
