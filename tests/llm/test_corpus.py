@@ -330,3 +330,19 @@ def test_near_copies_with_passages_added_or_dropped(spark):
     assert len(copies) > 120
     kept = {x["doc_id"] for x in op3_simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(copies & kept) <= 1 and set(range(150)) <= kept
+
+
+def test_near_copies_are_exact_at_the_threshold(spark):
+    import random
+
+    r = random.Random(2)
+    rows, want = [], set()
+    for k in range(120):
+        words = [str(r.randrange(9000)) for _ in range(500)]
+        other = words + [f"x{r.randrange(9000)}" for _ in range(r.randrange(105, 145))]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+        assert 0.77 < similarity(*(t for _, t in rows[-2:])) < 0.83
+        want |= {k} if similarity(*(t for _, t in rows[-2:])) >= 0.8 else {k, 1000 + k}
+    linked = {c[0] for c in brute_components(rows) if c[0] != c[2]}
+    kept = {x["doc_id"] for x in op3_simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == want - linked
