@@ -209,3 +209,18 @@ def test_token_counts(spark, odd):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t in [*rows, *more]]
     assert ordered(got.collect()) == ordered(want)
     assert op10_token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 7, 9, 10, 12, 13, 20])
+def test_decontamination_finds_substitutions_anywhere(n):
+    """All places of as many substitutions as 80 % of 13 tokens, or of a shorter item, allow."""
+    from itertools import combinations
+
+    words = [f"w{k}" for k in range(n)]
+    index, size = op2_decontamination.Index([(7, " ".join(words))]), min(n, 13)
+    allowed = size - math.ceil(0.8 * size)
+    for bad in combinations(range(size), allowed):
+        text = " ".join(["before", *("x" if k in bad else w for k, w in enumerate(words[:size])), "after"])
+        assert [(i, length, m) for i, _, _, length, m in index.verified(text)] == [(7, size, size - allowed)]
+    most = range(0, size, 2)
+    assert not list(index.verified(" ".join("x" if k in most else w for k, w in enumerate(words[:size]))))

@@ -2,10 +2,11 @@
 
 A seed hashes the tokens at the positions that a fixed mask selects and ignores the others, so it survives
 substitutions there. The three masks hit every 13 tokens of an item with two substitutions at most, wherever they
-fall. Seeds of all test items are joined with the seeds at every token of every document; around each hit the item is
-laid on the document along the hit's diagonal, and the best run there (a match counts 1, a substitution -4, so a run
-above 0 has 80 % matches) is verified token by token. A document is contaminated if such a run has 13 tokens or covers
-the whole of a shorter item.
+fall; shorter items have masks of their own that do so for a fifth of their tokens. Seeds of all test items are joined with the seeds at every token of every document; around each hit the item is
+laid on the document along the hit's diagonal and compared token by token. A document is contaminated if 13 tokens there
+(the whole of a shorter item) hold 80 % matches, that is two substitutions of 13 at most wherever they are, or if the
+best run (a match counts 1, a substitution -4, so a run above 0 has 80 % matches) is as long. That run is reported, or
+else the best 13 tokens.
 
 The test side is the bounded one: it is read in blocks of BLOCK tokens, and each block's index is broadcast and held
 against all documents. Training text is neither shuffled nor collected.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +59,12 @@ class Index:
             if len(found) >= SHORTEST:
                 self.ids.append(i)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
-        short = {len(x) for x in self.items if len(x) < OVERLAP}
-        self.masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]  # items below 13 tokens: a mask of their own length beside the spaced ones
+        lengths = sorted({len(x) for x in self.items if len(x) < OVERLAP})
+        masks = [(0, m) for m in MASKS] + [(n, m) for n in lengths for m in short_masks(n)]  # items below 13 tokens: masks of their own length beside the spaced ones
+        self.masks = [m for _, m in masks]
         self.tables = []
-        for k, mask in enumerate(self.masks):
-            found = [(h, n, q) for n, x in enumerate(self.items) if k < len(MASKS) or len(x) == len(mask) for q, h in enumerate(self.seeds(x, mask, k))]
+        for k, (length, mask) in enumerate(masks):
+            found = [(h, n, q) for n, x in enumerate(self.items) if length in (0, len(x)) for q, h in enumerate(self.seeds(x, mask, k))]
             table = np.array([h for h, _, _ in found], np.uint64)
             order = np.argsort(table, kind="stable")
             places = np.array([(n, q) for _, n, q in found], np.int64).reshape(-1, 2)[order]
@@ -104,8 +107,11 @@ class Index:
             item = self.items[n]
             q0 = max(0, -d)
             q1 = min(len(item), len(x) - d)
-            s, e, m = best_run(item[q0:q1] == x[q0 + d : q1 + d])
-            if e - s >= min(OVERLAP, len(item)):
+            match, least = item[q0:q1] == x[q0 + d : q1 + d], min(OVERLAP, len(item))
+            s, e, m = best_run(match)
+            if e - s < least:
+                s, e, m = best_window(match, least)
+            if e > s:
                 run = (m, e - s, -(q0 + s + d), q0 + s)
                 best[n] = max(best.get(n, run), run)
         for n, (m, length, minus_p, q) in sorted(best.items()):
@@ -121,6 +127,22 @@ def best_run(match: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(match[start:end].sum())
 
 
+def best_window(match: np.ndarray, size: int) -> tuple[int, int, int]:
+    """Start, end and matches of the size tokens with most matches; nothing if they are too few."""
+    total = np.concatenate([[0], np.cumsum(match)])
+    found = total[size:] - total[:-size]
+    at = int(np.argmax(found)) if len(found) else 0
+    return (at, at + size, int(found[at])) if len(found) and found[at] >= SIMILARITY * size else (0, 0, 0)
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n tokens, one of which any substitutions of a fifth of them leave whole: all but so many of its parts."""
+    bad = n - int(np.ceil(SIMILARITY * n))
+    parts = np.array_split(np.arange(n), min(n, 2 * bad + 1))
+    kept = (np.concatenate([p for k, p in enumerate(parts) if k not in out]) for out in combinations(range(len(parts)), bad))
+    return sorted({tuple((m - m[0]).tolist()) for m in kept})
+
+
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over the test items (item_id, text), BLOCK tokens at a time; one block is on the driver at once."""
     held, size = [], 0
