@@ -224,3 +224,22 @@ def test_decontamination_finds_substitutions_anywhere(n):
         assert [(i, length, m) for i, _, _, length, m in index.verified(text)] == [(7, size, size - allowed)]
     most = range(0, size, 2)
     assert not list(index.verified(" ".join("x" if k in most else w for k, w in enumerate(words[:size]))))
+
+
+def test_compression_rejects_noise():
+    """Text-like words of base64 at all lengths, of random letters and of hexadecimal digits where prose is far below."""
+    import base64
+    import random
+
+    r, bands = random.Random(1), op7_compression_bands.Bands()
+
+    def cut(s, n, width):
+        return " ".join(s[k : k + width] for k in range(0, n, width))[:n].encode()
+
+    for n in (160, 256, 400, 512, 1024, 2700, 4096, 16384, 60000):
+        assert not bands.keeps(cut(base64.b64encode(r.randbytes(n)).decode(), n, 7))
+        if n >= 2700:
+            assert not bands.keeps(cut(base64.b64encode(r.randbytes(n)).decode(), n, 76))
+            assert not bands.keeps(cut("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), n, 7))
+        if n > 4096:
+            assert not bands.keeps(cut(r.randbytes(n).hex(), n, 7))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilefold.llm import common as C
 
-#: (bytes up to, least ratio, largest ratio)
-BANDS = ((64, 0.0, 5.0), (128, 0.0, 1.6), (256, 0.35, 1.15), (512, 0.32, 0.95), (1024, 0.28, 0.88), (4096, 0.25, 0.80), (float("inf"), 0.20, 0.75))
+#: (bytes up to, least ratio, largest ratio); the largest are just above the greatest of sf0.1's texts that pass the base rules.
+BANDS = ((64, 0.0, 1.25), (128, 0.0, 0.92), (256, 0.35, 0.92), (512, 0.32, 0.77), (1024, 0.28, 0.71), (2048, 0.25, 0.60), (4096, 0.25, 0.53), (8192, 0.20, 0.49), (16384, 0.20, 0.465), (float("inf"), 0.20, 0.45))
 CHUNK = 16 << 10
 #: Share of a document's bytes that may stand in chunks outside their band.
 OUTSIDE = 0.25
