@@ -243,3 +243,18 @@ def test_compression_rejects_noise():
             assert not bands.keeps(cut("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), n, 7))
         if n > 4096:
             assert not bands.keeps(cut(r.randbytes(n).hex(), n, 7))
+
+
+def test_ordinary_model_counts_all_candidates(spark):
+    """Class pairs of every candidate, however many there are, repeats included."""
+    import random
+
+    r = random.Random(4)
+    values = ["".join(r.choice("abcxyzABCXYZ0123+/_.=-") for _ in range(r.randrange(12, 40))) + "1" for _ in range(3000)]
+    df = spark.createDataFrame([(k, f"{v} and {values[0]}") for k, v in enumerate(values)], "doc_id bigint, text string")
+    want = Counter()
+    for i, t in enumerate(values):
+        for s, e, v in op6_secrets.candidates(f"{t} and {values[0]}", op6_secrets.base_spans(f"{t} and {values[0]}")):
+            x = "$" + op6_secrets.spelled(v) + "$"
+            want.update(zip(x, x[1:]))
+    assert op6_secrets.class_pairs(op6_secrets.find(df)) == dict(want)

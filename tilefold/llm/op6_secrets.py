@@ -8,7 +8,8 @@ less that under a model of ordinary candidates, is its score, and those that sco
 do become spans too.
 
 The texts are read once: base spans and candidates are staged (a few short strings a document), the automata are
-learned from a bounded sample of distinct values (SAMPLE a kind, the least hashes), and the staged rows are scored.
+learned from a bounded sample of distinct values (SAMPLE a kind, the least hashes), the model of ordinary candidates is
+of all of them (their pairs of character classes are counted), and the staged rows are scored.
 
 Cases: a null or empty text has no spans, and the hash of the empty string; with no labelled credentials there are no
 automata and no further spans; repeated rows give repeated rows; a null doc_id stays null; an empty table gives an
@@ -38,7 +39,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LEARNED = "learned"
-#: Labelled credentials of each kind, and ordinary candidates, that are learned from at most; and their longest length.
+#: Labelled credentials of each kind that are learned from at most; and their longest length.
 SAMPLE, LONGEST = 1000, 256
 #: Of the merge test, the smoothing, the share of labelled credentials that may score below the threshold.
 ALPHA, UNSEEN, MISSED = 0.01, 1e-4, 0.02
@@ -155,14 +156,12 @@ class Automaton:
 
 
 class Ordinary:
-    """Smoothed pairs of character classes of ordinary candidates."""
+    """Smoothed pairs of character classes of ordinary candidates, from how often each occurs."""
 
-    def __init__(self, values: list[str]) -> None:
+    def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         pairs: dict[str, Counter] = defaultdict(Counter)
-        for v in values:
-            s = END + spelled(v) + END
-            for a, b in zip(s, s[1:]):
-                pairs[a][b] += 1
+        for (a, b), n in counts.items():
+            pairs[a][b] += n
         symbols = [*"agAG0+/_.=-", END]
         self.log = {a: {b: math.log((pairs[a][b] + 1) / (sum(pairs[a].values()) + len(symbols))) for b in symbols} for a in symbols}
 
@@ -174,7 +173,7 @@ class Ordinary:
 class Formats:
     """The automata of the kinds with their thresholds."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
+    def __init__(self, labelled: dict[str, list[str]], ordinary: dict[tuple[str, str], int]) -> None:
         self.ordinary = Ordinary(ordinary)
         self.automata = {k: Automaton(v) for k, v in labelled.items() if v}
         self.least = {k: max(MARGIN, float(np.quantile([self._score(a, v) for v in labelled[k]], MISSED))) for k, a in self.automata.items()}
@@ -210,15 +209,35 @@ def find(docs: DataFrame) -> DataFrame:
     return C.map_documents(docs, make, FOUND_SQL, FOUND)
 
 
+PAIRS = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+
+
+def class_pairs(found: DataFrame) -> dict[tuple[str, str], int]:
+    """How often each pair of character classes occurs in all candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for kinds, texts in zip(b.column("kinds").to_pylist(), b.column("texts").to_pylist()):
+                for k, v in zip(kinds, texts):
+                    if k is None:
+                        s = END + spelled(v) + END
+                        n.update(zip(s, s[1:]))
+        yield from C.record_batches(((*p, c) for p, c in n.items()), PAIRS)
+
+    counts = found.select("kinds", "texts").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return {(r["a"], r["b"]): r["n"] for r in counts.collect()}
+
+
 def learn(found: DataFrame) -> Formats:
-    """Automata from at most SAMPLE distinct values of each kind, the least by hash."""
+    """Automata from at most SAMPLE distinct values of each kind, the least by hash, and the ordinary model of all candidates."""
     values = found.select(F.explode(F.arrays_zip("kinds", "texts")).alias("f")).select(F.col("f.kinds").alias("kind"), F.col("f.texts").alias("value")).where(F.length("value") <= LONGEST)
 
-    def some(kind: str | None) -> list[str]:
-        own = values.where(F.col("kind").eqNullSafe(F.lit(kind))).select("value").distinct()
+    def some(kind: str) -> list[str]:
+        own = values.where(F.col("kind") == kind).select("value").distinct()
         return [r["value"] for r in own.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
 
-    return Formats({k: some(k) for k in KINDS}, some(None))
+    return Formats({k: some(k) for k in KINDS}, class_pairs(found))
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
