@@ -258,3 +258,17 @@ def test_ordinary_model_counts_all_candidates(spark):
             x = "$" + op6_secrets.spelled(v) + "$"
             want.update(zip(x, x[1:]))
     assert op6_secrets.class_pairs(op6_secrets.find(df)) == dict(want)
+
+
+def test_secrets_without_a_digit():
+    """A run without a digit is scored like any other."""
+    import random
+
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    secret = "".join(r.choice(letters) for _ in range(24))
+    assert [v for _, _, v in op6_secrets.candidates(f"see {secret} there", [])] == [secret]
+    words = ["internationalization", "responsibilities", "Verantwortlichkeit", "acknowledgement"]
+    ordinary = Counter(p for w in words * 200 for p in zip("$" + op6_secrets.spelled(w), op6_secrets.spelled(w) + "$"))
+    formats = op6_secrets.Formats({"assign": ["".join(r.choice(letters + "0123456789") for _ in range(24)) for _ in range(300)]}, ordinary)
+    assert formats.spans(f"see {secret} there") == [(4, 28, "learned")] and not any(formats.spans(f"see {w} there") for w in words)

@@ -3,7 +3,7 @@
 Three patterns find plain secrets (the base spans). Their values are labelled credentials, from which one
 probabilistic automaton a kind is inferred: the prefix tree of the values, spelled in character classes, is folded by
 merging states whose transition and end frequencies are statistically compatible (Hoeffding's bound). Every other run
-of credential characters with a digit is a candidate; its mean log-likelihood a character under the best automaton,
+of 12 credential characters or more is a candidate; its mean log-likelihood a character under the best automaton,
 less that under a model of ordinary candidates, is its score, and those that score as nearly all labelled credentials
 do become spans too.
 
@@ -61,11 +61,9 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 12 or more credential characters with a digit, clear of base spans."""
+    """Runs of 12 or more credential characters, clear of base spans."""
     clear, at, end = [], 0, 0  # end: how far base spans that start before the candidate's end reach
     for m in CANDIDATE.finditer(text):
-        if m[0].isalpha() or not any(c in "0123456789" for c in m[0]):
-            continue
         while at < len(base) and base[at][0] < m.end():
             end = max(end, base[at][1])
             at += 1
