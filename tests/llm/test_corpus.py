@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,10 @@ def test_encoder_equals_library():
     texts = ["<|endoftext|>x <|endoftext|> y", "I'll don'T", "ΣΑΣ İ é", *("".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(800))]
     for name, kind in (("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")):
         e, t = Encoder(public_tokenizers.path(name), kind), Tokenizer.from_file(public_tokenizers.path(name))
-        assert [np.frombuffer(e.ids(x), "<u2").tolist() for x in texts] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(e.ids(x), "<u2").tolist() for x in texts] == want
+        for some in (texts, [x for x in texts if x.isascii() and "  " not in x], [], [""]):  # some are of all plain texts, or of none
+            assert [np.frombuffer(x, "<u2").tolist() for x in e.batch(pa.array(some, pa.string()))] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
 
 
 def brute_components(rows):

@@ -5,6 +5,10 @@ For texts of Latin letters (all code points below U+0250) the pre-tokens are fou
 pattern, with its letter and number classes written out for that range; the library's model encodes each distinct one
 and a bounded table keeps the ids. All other texts, and those that may hold a special token's string, go to the
 library whole. Either way the ids are those of `encode(text, add_special_tokens=False)`.
+
+A batch of texts is cut at spaces and line ends first, where a pre-token always starts unless white space stands in a
+row (such texts are taken one by one); each distinct piece of the batch is looked up once, and Arrow puts the ids of
+all pieces in a row.
 """
 
 from __future__ import annotations
@@ -13,6 +17,10 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries of the table of pre-tokens in one Python worker (some 200 bytes each).
 TABLE = 1_000_000
 #: Longest pre-token that is kept.
@@ -28,6 +36,10 @@ KINDS = {
 #: Characters beyond the range, and the one letter in it whose lower case is two characters.
 FAR = re.compile("[^\x00-įı-ɏ]")
 
+#: By kind, white space (or the mark that pieces are cut at) that keeps a text from being cut into pieces; any text that is not of the range is kept too.
+_HERE = {"bytes": "[ \\n][ \\n]|[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}]", "words": "[\\x1c-\\x1f]"}
+_MARK = "\x01"
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -55,15 +67,17 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.pattern, self.lower = KINDS[kind]
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         if self.lower:
             self.special = [x[:2] for x in self.special]
+        held = "|".join(["[^\\x00-\\x{12f}\\x{131}-\\x{24f}]", _MARK, _HERE[kind], *(re.escape(x) for x in self.special)])
+        self.whole_only = held
 
     def __missing__(self, token: str) -> bytes:
-        spelled = "".join([self.letters[b] for b in token.encode()])
+        spelled = token.encode().decode("latin-1").translate(self.letters)
         ids = array(self.code, [x.id for x in self.model.tokenize(spelled)]).tobytes()
         if len(self) < TABLE and len(token) <= LONGEST:
             self[token] = ids
@@ -77,3 +91,38 @@ class Encoder(dict):
         if not text.isascii() and FAR.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
+
+    def pieces(self, texts: pa.StringArray) -> pa.ListArray:
+        """The pieces of texts that hold nothing of `whole_only`; their pre-tokens in a row are those of the text."""
+        if self.lower:
+            return pc.split_pattern(pc.utf8_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", f"{_MARK}\n{_MARK}"), " ", f"{_MARK} ")
+        return pc.split_pattern(marked, _MARK)
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():  # letters are one pre-token
+            return self[piece]
+        ids = b"".join(map(self.__getitem__, self.pattern.findall(piece)))
+        if len(self) < TABLE and len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def batch(self, texts: pa.StringArray) -> list[bytes]:
+        """ids() of each text."""
+        whole = pc.match_substring_regex(texts, self.whole_only)
+        lists = self.pieces(texts.filter(pc.invert(whole)))
+        coded = lists.flatten().dictionary_encode()
+        get = self.get
+        distinct = [get(p) or self.piece(p) for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = pa.array(distinct, pa.binary()).cast(pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(lists) + 1)
+        raw = memoryview(ids.buffers()[2] or b"")
+        plain = iter(zip(ends, ends[1:]))
+        out = []
+        for t, w in zip(texts, whole.to_pylist()):
+            if w:
+                out.append(self.ids(t.as_py()))
+            else:
+                a, z = next(plain)
+                out.append(bytes(raw[a:z]))
+        return out

@@ -80,6 +80,18 @@ def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str, arro
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they have so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def record_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for r in rows:

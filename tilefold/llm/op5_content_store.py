@@ -4,8 +4,8 @@ A rolling hash over the last 16 ids cuts each document's id stream into chunks,
 wherever they stand. The store is a folder with three tables:
 
 - chunks: hash (blake2b-128 of the packed ids), n, ids; each distinct chunk once;
-- recipes: range-partitioned and sorted by doc_id: doc_id, n_tokens, recipe (its chunks' hashes and lengths in a row)
-  and the place in its part;
+- recipes: range-partitioned and sorted by doc_id: doc_id, n_tokens, recipe (its chunks' hashes in a row, each with the
+  number of ids that follow the chunk) and the place in its part;
 - manifest: one row a part with its first position in the whole stream and the Merkle root of its recipes. A recipe
   names its chunks by content, so a root vouches for every id of its part.
 
@@ -39,7 +39,7 @@ MASK = np.uint64((1 << 8) - 1 << 40)
 #: Chunk hashes that a task remembers to drop its own repeats.
 REMEMBERED = 200_000
 HASH = 16
-WIDTH = 20  # of a chunk in a recipe: its hash and its length as 32 bits
+WIDTH = 20  # of a chunk in a recipe: its hash and the number of ids after it as 32 bits
 
 
 class Store(NamedTuple):
@@ -48,11 +48,11 @@ class Store(NamedTuple):
     manifest: str
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: the content-defined borders, between the shortest and the longest length."""
-    n = len(ids)
-    if n <= SHORTEST:
-        return [n]
+def borders(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash over the last WINDOW ids of a row of id streams asks for a border.
+
+    In the first WINDOW places of a stream the hash is of the stream before it too, but no chunk is as short as that.
+    """
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -60,8 +60,15 @@ def cut(ids: np.ndarray) -> list[int]:
         while w < WINDOW:  # the hash of 2w ids from two hashes of w ids
             h[w:] = h[w:] + m * h[:-w]
             m, w = m * m, 2 * w
+    return np.flatnonzero(h & MASK == 0) + 1
+
+
+def cut(n: int, asked: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids: the borders asked for, between the shortest and the longest length."""
+    if n <= SHORTEST:
+        return [n]
     ends, at = [], 0
-    for e in (np.flatnonzero(h & MASK == 0) + 1).tolist():
+    for e in asked:
         while e - at > LONGEST:
             at += LONGEST
             ends.append(at)
@@ -114,28 +121,36 @@ STAGED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("recipe", pa.bin
 def _encode_and_cut(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """A row with a recipe for each document and a row with ids for each chunk that its task had not met."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, seen = encoder(path, "bytes"), set()
-        dtype, end = np.dtype("<u2" if e.width == 2 else "<u4"), end_id.to_bytes(e.width, "little")
-
-        def rows(doc_ids, texts):
-            for i, t in zip(doc_ids, texts):
-                raw = e.ids(t) + end
-                recipe, at = [], 0
-                for stop in cut(np.frombuffer(raw, dtype)):
-                    chunk = raw[at * e.width : stop * e.width]
-                    h = hashlib.blake2b(chunk, digest_size=HASH).digest()
-                    recipe.append(h + (stop - at).to_bytes(4, "little"))
+        width, dtype, end = e.width, np.dtype("<u2" if e.width == 2 else "<u4"), end_id.to_bytes(e.width, "little")
+        blake = hashlib.blake2b
+
+        def rows(b):
+            streams = [raw + end for raw in e.batch(b.column("text"))]
+            stops = np.cumsum([len(s) // width for s in streams])
+            asked = borders(np.frombuffer(b"".join(streams), dtype))
+            split = np.searchsorted(asked, stops, "right").tolist()
+            begin, k = 0, 0
+            for i, raw, stop, z in zip(b.column("doc_id").to_pylist(), streams, stops.tolist(), split):
+                recipe, at, n = [], 0, stop - begin
+                for c in cut(n, (asked[k:z] - begin).tolist()):
+                    chunk = raw[at * width : c * width]
+                    h = blake(chunk, digest_size=HASH).digest()
+                    recipe.append(h + (n - c).to_bytes(4, "big"))
                     if h not in seen:
                         if len(seen) < REMEMBERED:
                             seen.add(h)
-                        yield None, stop - at, None, h, chunk
-                    at = stop
-                yield i, at, b"".join(recipe), None, None
+                        yield None, c - at, None, h, chunk
+                    at = c
+                begin, k = stop, z
+                yield i, n, b"".join(recipe), None, None
 
-        return rows
+        for b in C.gathered(batches):
+            yield from C.record_batches(rows(b), STAGED)
 
-    return C.map_documents(docs, make, "doc_id bigint, n bigint, recipe binary, hash binary, ids binary", STAGED)
+    C.tune(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, recipe binary, hash binary, ids binary")
 
 
 def leaf(doc_id: int | None, n: int, recipe: bytes) -> bytes:
@@ -212,23 +227,12 @@ def recipes(spark: SparkSession, store: Store) -> DataFrame:
     return read.select("doc_id", (F.col("__at") + F.col("__run")).alias("start"), (F.col("__first") + F.col("__rank")).alias("rank"), "n_tokens", "recipe")
 
 
-REFS = pa.schema([("rank", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("seq", pa.int64()), ("tail", pa.int64()), ("hash", pa.binary())])
-
-
 def _references(read: DataFrame) -> DataFrame:
     """A row for each chunk of each recipe, with the number of ids that follow it in the document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(b):
-            for i, s, k, n, r in zip(*(c.to_pylist() for c in b.columns)):
-                for q in range(0, len(r), WIDTH):
-                    n -= int.from_bytes(r[q + HASH : q + WIDTH], "little")
-                    yield k, i, s, q // WIDTH, n, r[q : q + HASH]
-
-        for b in batches:
-            yield from C.record_batches(rows(b), REFS)
-
-    return read.mapInArrow(run, "rank bigint, doc_id bigint, start bigint, seq bigint, tail bigint, hash binary")
+    each = read.select("rank", "doc_id", "start", "recipe", F.explode(F.sequence(F.lit(0), (F.length("recipe") / WIDTH).cast("int") - 1)).alias("seq"))
+    at = F.col("seq") * WIDTH
+    tail = F.conv(F.hex(F.substring("recipe", at + 1 + HASH, F.lit(WIDTH - HASH))), 16, 10).cast("bigint")
+    return each.select("rank", "doc_id", "start", "seq", tail.alias("tail"), F.substring("recipe", at + 1, F.lit(HASH)).alias("hash"))
 
 
 def _sums(chunks: DataFrame, width: int) -> DataFrame:
