@@ -7,18 +7,21 @@ used again in the next step (8 and 8 give 16, 16 and 16 give 32, 32 and 16 and t
 their bucket are finished and are not sorted again.
 
 To let buckets be refined in many tasks, each 50-byte window goes with its anchor, the 20-byte string of least hash in
-it: equal windows have equal anchors. Consecutive windows of one anchor are a unit.
+it: equal windows have equal anchors. Consecutive windows of one anchor are a unit. Units of an anchor that has but one
+are the same by 128 bits of hash over their bytes, other units by their bytes.
 
-1. Each batch of documents sends hashes of its distinct (anchor, unit) pairs, dealt by ranges of anchor hashes; a
-   range's task counts the documents and the distinct units of each anchor. The outcome are bitmaps of fixed size (20 MB
-   in all) of anchors that stand in several documents (shared), that have several units (mixed) and that stand in more
-   than HOT documents (hot). Cells that two anchors share by chance only cost time.
+1. Some MB of documents at a time send hashes of their distinct (anchor, unit) pairs, dealt by ranges of anchor hashes;
+   documents and distinct units of each anchor are counted a range at a time. The outcome are bitmaps, sized by the
+   length of all texts up to 2**30 cells, of anchors that stand in several documents (shared), that have several units
+   (mixed) and that stand in more than HOT documents (hot). Cells that two anchors share by chance only cost time.
 2. Units of shared anchors are dealt by anchor and sorted by unit and document; those that a smaller document of the
-   same batch has too are known to go, and travel as merged runs. Where an anchor has one unit, buckets
-   need no bytes: all but its least document's lose its windows. Mixed units bring their bytes, once a batch, and the
-   buckets of their windows are refined, some MB at a time. A hot and mixed anchor would gather too much in one task:
-   its windows are dealt one by one by their own content.
-3. Window runs found to start in a smaller document go back to their document, which is cut.
+   same batch has too are known to go, and travel as merged runs. Of equal units all but the least document's lose
+   their windows. Mixed units bring their bytes, once a batch, and the buckets of the windows of different units are
+   refined, some MB at a time.
+3. Units of a hot anchor would gather in one task: they are dealt by unit and document, each task keeps its least
+   document's, those are compared by an aggregation, and the windows of what is left of mixed ones are grouped by their
+   bytes, which Spark aggregates before it shuffles them.
+4. Window runs found to start in a smaller document go back to their document, which is cut.
 
 Cases: null doc_ids count as larger than all others and as equal to each other, so they lose what others have and take
 nothing; null texts are empty; documents with one doc_id take nothing from each other; texts under 50 bytes lose
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +44,19 @@ from tilefold.llm import common as C
 
 LENGTH = 50
 ANCHOR = 20
-#: Bits of the bitmaps of shared, mixed and hot anchors, as powers of two.
-CELL_BITS = (27, 25, 22)
-#: Documents of an anchor beyond which its windows are dealt singly.
+#: Bitmaps of shared, mixed and hot anchors: cells of the first by bytes of text and at most, and the others' share of it.
+CELLS_PER_BYTE, MOST_CELLS, SHARES = 1 / 4, 1 << 30, (1, 4, 32)
+#: Bytes of text of one range of anchor hashes, which a task counts at once: as few, up to MANY ranges, and as many.
+RANGE, MANY = (8 << 20, 64 << 20), 1024
+#: Documents of an anchor beyond which its units are dealt to several tasks.
 HOT = 4096
 #: Bytes of units whose buckets are refined at once, at least; a block ends where the key changes.
-BLOCK = 4 << 20
-#: Bytes of one document that are worked on at once.
-SLICE = 1 << 25
+BLOCK = 1 << 20
+#: Bytes of texts whose units are compared before they are sent, and of text that is hashed at once.
+GATHERED, SLICE = 2 << 20, 1 << 19
 NO_ID = (1 << 63) - 1
 _POS = np.uint64((1 << 28) - 1)
-_BASE = 0x5851F42D4C957F2D
+_BASES, _MIX = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5), (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -60,11 +66,11 @@ def words8(buf: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(buf.view(np.uint8), (len(buf) - 7, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
 
 
-def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window + 1, anchor hash) of each run of windows that have one anchor, leftmost of equal hashes; and sums of 8-byte strings for unit_hashes()."""
+def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(first window, last window + 1, anchor hash) of each run of windows that have one anchor, leftmost of equal hashes; and two sums of 8-byte strings for unit_hashes()."""
     n = len(buf) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(1, np.uint64)] * 2
     x = words8(buf)
     with np.errstate(over="ignore"):
         h = x[: -(k - 8)] * np.uint64(0x9E3779B97F4A7C15)
@@ -87,37 +93,41 @@ def anchors(buf: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.
         mixed = h[at[first]] * np.uint64(0x9E3779B97F4A7C15)  # the least hashes crowd together: spread them
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x *= _powers(len(x))[0]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
+        sums = []
+        for way, m in enumerate(_MIX):
+            y = x * np.uint64(m)
+            y ^= y >> np.uint64(32)
+            y *= _powers(way, len(x))[0]
+            sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(y)]))
     return first, np.append(first[1:], n), mixed, sums
 
 
-_kept: list[np.ndarray] = []
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(way: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _kept or len(_kept[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+    if way not in _kept or len(_kept[way][0]) < n:
+        size, base = 1 << max(20, (n - 1).bit_length()), _BASES[way]
         with np.errstate(over="ignore"):
-            _kept[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _kept[0][:n], _kept[1][:n]
+            _kept[way] = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+    return tuple(x[:n] for x in _kept[way])
 
 
-def unit_hashes(sums: np.ndarray, first: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A hash of the bytes [first, end + length - 1) of each unit, wherever it stands."""
-    stop = end + length - 1 - 7
+def unit_hashes(sums: list[np.ndarray], first: np.ndarray, end: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """Two hashes of the bytes [first, end + length - 1) of each unit, wherever it stands."""
+    stop, out = end + length - 1 - 7, []
     with np.errstate(over="ignore"):
-        u = (sums[stop] - sums[first]) * _powers(len(sums))[1][first] + (end - first).astype(np.uint64)
-        u ^= u >> np.uint64(32)
-        u *= np.uint64(0xD6E8FEB86659FD93)
-        return u ^ u >> np.uint64(32)
+        for way, total in enumerate(sums):
+            u = (total[stop] - total[first]) * _powers(way, len(total))[1][first] + (end - first).astype(np.uint64)
+            u ^= u >> np.uint64(32)
+            u *= np.uint64(0xD6E8FEB86659FD93)
+            out.append(u ^ u >> np.uint64(32))
+    return out
 
 
 class Batch:
-    """The texts of an Arrow batch end to end, with their anchors."""
+    """Texts with the runs of windows of their anchors."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.parts = []  # (document, place in it, bytes)
@@ -126,7 +136,7 @@ class Batch:
                 self.parts += [(d, a, t[a : a + SLICE + LENGTH - 1]) for a in range(0, len(t) - LENGTH + 1, SLICE)]
 
     def runs(self) -> Iterator[tuple]:
-        """(bytes, first, end, anchor hash, unit hash, document, place of document) of the runs, some MB at a time."""
+        """(bytes, first, end, anchor hash, two unit hashes, document, place of document) of the runs, some MB at a time."""
         at = 0
         while at < len(self.parts):
             stop, size = at, 0
@@ -152,7 +162,7 @@ class Batch:
             q = q[ok]
             docs = np.array([p[0] for p in some])[q]
             offsets = np.array([p[1] for p in some])[q] - starts[q]
-            yield raw, f[ok], e[ok], x[ok], unit_hashes(sums, f[ok], e[ok]), docs, offsets
+            yield raw, f[ok], e[ok], x[ok], *unit_hashes(sums, f[ok], e[ok]), docs, offsets
 
 
 def place(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +170,12 @@ def place(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def cells_of(ranges: int) -> list[int]:
-    """Cells of one range in each bitmap, whole bytes."""
-    return [max(8, (1 << b) // ranges // 8 * 8) for b in CELL_BITS]
+def sized(docs: DataFrame) -> tuple[int, list[int]]:
+    """By the length of all texts: the number of ranges, and the cells of one range in each bitmap, whole bytes."""
+    n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(1, min(MANY, -(-n // RANGE[0])), -(-n // RANGE[1]))
+    cells = min(MOST_CELLS, max(1 << 16, int(n * CELLS_PER_BYTE)))
+    return ranges, [max(8, cells // share // ranges // 8 * 8) for share in SHARES]
 
 
 def cell(low: np.ndarray, cells: int) -> np.ndarray:
@@ -173,13 +186,12 @@ def _bytes(b: pa.RecordBatch) -> list[bytes]:
     return [t.encode() for t in b.column("text").to_pylist()]
 
 
-def classed_anchors(docs: DataFrame, ranges: int) -> list[bytes]:
+def classed_anchors(docs: DataFrame, ranges: int, cells: list[int]) -> list[bytes]:
     """Three packed bitmaps, put together range by range: anchors in several documents, with several units, in more than HOT documents."""
-    cells = cells_of(ranges)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(h, u, d) for _, _, _, h, u, d, _ in Batch(_bytes(b)).runs()]
+        for b in C.gathered(batches, GATHERED):
+            found = [(h, u, d) for _, _, _, h, u, _, d, _ in Batch(_bytes(b)).runs()]
             if not found:
                 continue
             h, u, d = (np.concatenate(c) for c in zip(*found))
@@ -189,7 +201,7 @@ def classed_anchors(docs: DataFrame, ranges: int) -> list[bytes]:
             pair = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
             document = pair | np.concatenate([[True], d[1:] != d[:-1]])
             first = np.flatnonzero(pair)
-            n = np.minimum(np.add.reduceat(document.astype(np.int64), first), 255).astype(np.uint8)
+            n = np.minimum(np.add.reduceat(document.astype(np.int64), first), (1 << 16) - 1).astype(np.uint16)
             h, u = h[first], u[first]
             r, low = place(h, ranges)
             cuts = np.searchsorted(r, np.arange(ranges + 1))
@@ -198,7 +210,7 @@ def classed_anchors(docs: DataFrame, ranges: int) -> list[bytes]:
             yield from C.record_batches(rows, pa.schema([("r", pa.int64()), *((c, pa.binary()) for c in ("low", "u_low", "u_high", "n"))]))
 
     def close(columns: list[list[bytes]]) -> list[bytes]:
-        low, u_low, u_high, n = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint32, np.uint32, np.uint16, np.uint8)))
+        low, u_low, u_high, n = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint32, np.uint32, np.uint16, np.uint16)))
         u = u_low.astype(np.uint64) | u_high.astype(np.uint64) << np.uint64(32)
         order = np.argsort(low, kind="stable")
         low, u, n = low[order], u[order], n[order].astype(np.int64)
@@ -227,9 +239,9 @@ def classed_anchors(docs: DataFrame, ranges: int) -> list[bytes]:
 
     C.tune(docs.sparkSession)
     sent = docs.select("text").mapInArrow(emit, "r bigint, low binary, u_low binary, u_high binary, n binary")
-    counted = sent.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(count, "r bigint, shared binary, mixed binary, hot binary")
+    counted = sent.repartition(C.parts(docs.sparkSession), "r").sortWithinPartitions("r").mapInArrow(count, "r bigint, shared binary, mixed binary, hot binary")
     bitmaps = [np.zeros(ranges * c // 8, np.uint8) for c in cells]
-    for row in counted.collect():  # one row a range; of fixed size together
+    for row in counted.collect():  # one row a range; of bounded size together
         for into, c, packed in zip(bitmaps, cells, row[1:]):
             into[row["r"] * c // 8 : (row["r"] + 1) * c // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return [zlib.compress(x.tobytes(), 1) for x in bitmaps]
@@ -242,58 +254,67 @@ def is_set(bitmap: np.ndarray, h: np.ndarray, ranges: int) -> np.ndarray:
     return bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
 
 
-UNITS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64()), ("mixed", pa.bool_()), ("unit", pa.binary())])
+KNOWN, SINGLE, MIXED, HOT_SINGLE, HOT_MIXED = range(5)
+#: key and u: of mixed units the anchor's hash and the unit's, of others the unit's two hashes.
+UNITS = pa.schema([*((c, pa.int64()) for c in ("key", "u", "doc_id", "th", "run")), ("kind", pa.int32()), ("unit", pa.binary())])
 #: A run of windows in one number: its start times WIDEST and its length, which SLICE keeps below that.
 WIDEST = 1 << 26
-RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64())])
+#: Tasks that the documents of one unit of a hot anchor are dealt to.
+SALTS = 64
 
 
 def _units(docs: DataFrame, bitmaps: list[bytes], ranges: int) -> DataFrame:
     """Units of shared anchors: where they stand and, of mixed ones, the bytes of one of each kind in a batch.
 
-    Rows with `mixed` null are merged runs that a smaller document of the batch is known to have.
+    Rows of kind KNOWN are merged runs that a smaller document of the batch is known to have.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         shared, mixed, hot = (np.frombuffer(zlib.decompress(x), np.uint8) for x in sent.value)
-        for b in batches:
+        for b in C.gathered(batches, GATHERED):
             ids, ths = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
-            for raw, f, e, h, u, d, o in Batch(_bytes(b)).runs():
+            raws, found = [], []
+            for raw, f, e, h, u, u2, d, o in Batch(_bytes(b)).runs():
                 on = is_set(shared, h, ranges)
-                f, e, h, u, d, o = (x[on] for x in (f, e, h, u, d, o))
-                several = is_set(mixed, h, ranges)
-                single = several & is_set(hot, h, ranges)
-                if single.any():  # each window alone, by its content
-                    n = (e - f)[single]
-                    w = np.repeat(f[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    own = np.array([xxh64_intdigest(raw[x : x + LENGTH]) for x in w.tolist()], np.uint64)
-                    rest = ~single
-                    f, e, h, u, several = np.concatenate([f[rest], w]), np.concatenate([e[rest], w + 1]), np.concatenate([h[rest], own]), np.concatenate([u[rest], own]), np.concatenate([several[rest], np.zeros(len(w), bool)])
-                    d, o = np.concatenate([d[rest], np.repeat(d[single], n)]), np.concatenate([o[rest], np.repeat(o[single], n)])
-                if not len(h):
-                    continue
-                order = np.lexsort((ids[d], u, h))
-                f, e, h, u, d, o, several = (x[order] for x in (f, e, h, u, d, o, several))
-                lead = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])])
-                known = ids[d] > ids[d[lead]][np.cumsum(lead) - 1]
-                at = np.flatnonzero(known)
-                at = at[np.argsort(d[at], kind="stable")]
-                for own in np.split(at, np.flatnonzero(np.diff(d[at])) + 1) if len(at) else []:
-                    i, runs = d[own[0]], merged(np.stack([f[own] + o[own], e[own] + o[own]], 1))
-                    n = len(runs)
-                    columns = [np.full(n, ths[i]), np.zeros(n, np.int64), np.full(n, ids[i]), np.full(n, ths[i]), runs[:, 0] * WIDEST + runs[:, 1] - runs[:, 0]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], schema=UNITS)
-                bring = lead & several
-                f, e, h, u, d, o, several, bring = (x[~known] for x in (f, e, h, u, d, o, several, bring))
-                units = [raw[x : y + LENGTH - 1] if k else None for x, y, k in zip(f.tolist(), e.tolist(), bring.tolist())]
-                columns = [h.view(np.int64), np.where(several, u, np.uint64(0)).view(np.int64), ids[d], ths[d], (f + o) * WIDEST + (e - f), several]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(units, pa.binary())], schema=UNITS)
+                found.append([x[on] for x in (np.full(len(f), len(raws)), f, e, h, u, u2, d, o)])
+                raws.append(raw)
+            if not found:
+                continue
+            r, f, e, h, u, u2, d, o = (np.concatenate(c) for c in zip(*found))
+            if not len(h):
+                continue
+            order = np.lexsort((ids[d], u2, u, h))
+            r, f, e, h, u, u2, d, o = (x[order] for x in (r, f, e, h, u, u2, d, o))
+            lead = np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1]) | (u2[1:] != u2[:-1])])
+            known = ids[d] > ids[d[lead]][np.cumsum(lead) - 1]
+            at = np.flatnonzero(known)
+            at = at[np.argsort(d[at], kind="stable")]
+            goes = []
+            for own in np.split(at, np.flatnonzero(np.diff(d[at])) + 1) if len(at) else []:
+                i, runs = d[own[0]], merged(np.stack([f[own] + o[own], e[own] + o[own]], 1))
+                goes.append((np.full(len(runs), ids[i]), np.full(len(runs), ths[i]), runs[:, 0] * WIDEST + runs[:, 1] - runs[:, 0]))
+            if goes:
+                i, t, w = (np.concatenate(c) for c in zip(*goes))
+                none = np.zeros(len(i), np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (t, none, i, t, w, none.astype(np.int32))), pa.nulls(len(i), pa.binary())], schema=UNITS)
+            several, many = is_set(mixed, h, ranges), is_set(hot, h, ranges)
+            bring = several & (lead | many)
+            r, f, e, h, u, u2, d, o, several, many, bring = (x[~known] for x in (r, f, e, h, u, u2, d, o, several, many, bring))
+            units = [raws[q][x : y + LENGTH - 1] if k else None for q, x, y, k in zip(r.tolist(), f.tolist(), e.tolist(), bring.tolist())]
+            kind = np.where(several, np.where(many, HOT_MIXED, MIXED), np.where(many, HOT_SINGLE, SINGLE)).astype(np.int32)
+            columns = [np.where(several, h, u2).view(np.int64), u.view(np.int64), ids[d], ths[d], (f + o) * WIDEST + (e - f), kind]
+            whole = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(units, pa.binary())], schema=UNITS)
+            yield from (whole.slice(k, 1 << 16) for k in range(0, whole.num_rows, 1 << 16))
 
     C.tune(docs.sparkSession)
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "key bigint, u bigint, doc_id bigint, th bigint, run bigint, mixed boolean, unit binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "key bigint, u bigint, doc_id bigint, th bigint, run bigint, kind int, unit binary")
+
+
+def _dealt(units: DataFrame) -> DataFrame:
+    """Units by key, those of hot anchors by unit and document, in order."""
+    by = F.when(F.col("kind") >= HOT_SINGLE, F.xxhash64("key", "u", F.pmod("th", F.lit(SALTS)))).otherwise(F.col("key"))
+    return units.repartition(C.parts(units.sparkSession), by).sortWithinPartitions("key", "u", "doc_id", F.col("unit").isNull())
 
 
 def merged(runs: np.ndarray) -> np.ndarray:
@@ -369,42 +390,73 @@ def _repeats(units: list[tuple[bytes, int, list[tuple[int, int]]]]) -> Iterator[
             yield int(doc[s]), th, (start + int(at[s] - starts[w])) * WIDEST + z - s
 
 
+RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("run", pa.int64())])
+OPEN = pa.schema([*RUNS, ("key", pa.int64()), ("u", pa.int64()), ("unit", pa.binary())])
+
+
 def _refined(units: DataFrame) -> DataFrame:
-    """Window runs that start in a smaller document, from units in order of (key, u, doc_id), bytes before none."""
+    """Window runs that start in a smaller document, and (with a key) the units of hot anchors still to be compared with
+    those of other tasks; from units as _dealt."""
+
+    def gone(rows) -> Iterator[pa.RecordBatch]:
+        for b in C.record_batches(rows, RUNS):
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, f.type) for f in list(OPEN)[3:])], schema=OPEN)
+
+    def taken(b: pa.RecordBatch, on: np.ndarray, columns: int) -> pa.RecordBatch:
+        some = b.filter(pa.array(on))
+        return pa.RecordBatch.from_arrays([some.column(f.name) if k < columns else pa.nulls(some.num_rows, f.type) for k, f in enumerate(OPEN)], schema=OPEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, int, list[tuple[int, int]]]] = {}
-        size, last = 0, (None, None, None)  # last: the key, unit and least document of the group that a batch may cut
+        held: dict[tuple[int, bytes, int], tuple[bytes, int, list[tuple[int, int]]]] = {}
+        size, now, last = 0, None, None  # last: the row that leads the group that a batch may cut
         for b in batches:
-            known = b.column("mixed").is_null()
-            if known.true_count:
-                yield pa.RecordBatch.from_arrays([b.filter(known).column(c) for c in RUNS.names], schema=RUNS)
-                b = b.filter(b.column("mixed").is_valid())
+            known = b.column("kind").to_numpy(zero_copy_only=False) == KNOWN
+            if known.any():
+                yield taken(b, known, 3)
+                b = b.filter(pa.array(~known))
             if not b.num_rows:
                 continue
-            key, u, doc, th, where = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "doc_id", "th", "run"))
-            first = np.concatenate([[(key[0], u[0]) != last[:2]], (key[1:] != key[:-1]) | (u[1:] != u[:-1])])
-            group = np.cumsum(first) - (1 if first[0] else 0)
-            least = np.concatenate([np.array([] if first[0] else [last[2]], np.int64), doc[first]])[group]
-            last = (key[-1], u[-1], least[-1])
-            on = doc > least
-            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (doc, th, where)], schema=RUNS)
-            several = np.flatnonzero(b.column("mixed").to_numpy(zero_copy_only=False) & ~on)
-            if not len(several):
-                continue
-            bytes_ = b.column("unit").take(pa.array(several)).to_pylist()
-            for k, v, i, t, w, unit in zip(key[several].tolist(), u[several].tolist(), doc[several].tolist(), th[several].tolist(), where[several].tolist(), bytes_):
-                if (k, v) not in held:
+            if last is not None:
+                b = pa.concat_batches([last, b])
+            key, u, doc, th, where, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "doc_id", "th", "run", "kind"))
+            lead = np.concatenate([[True], (key[1:] != key[:-1]) | (u[1:] != u[:-1])])
+            leader = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+            other = pc.fill_null(pc.not_equal(b.column("unit"), b.column("unit").take(pa.array(leader))), False).to_numpy(zero_copy_only=False)  # equal hashes, other bytes
+            fresh = np.ones(len(key), bool)
+            fresh[: last is not None] = False
+            last = b.slice(leader[-1], 1)
+            on = (doc > doc[leader]) & ~other & fresh
+            yield taken(b, on, 3)
+            rest = ~on & fresh
+            hot = (kind >= HOT_SINGLE) & rest
+            if hot.any():
+                yield taken(b, hot, len(OPEN))
+            several = np.flatnonzero((kind == MIXED) & rest)
+            bytes_ = pc.coalesce(b.column("unit"), b.column("unit").take(pa.array(leader))).take(pa.array(several)).to_pylist()
+            for k, i, t, w, unit in zip(*(x[several].tolist() for x in (key, doc, th, where)), bytes_):
+                if (k, unit, i) not in held:
                     if size >= BLOCK and k != now:
-                        yield from C.record_batches(_repeats(list(held.values())), RUNS)
+                        yield from gone(_repeats(list(held.values())))
                         held, size = {}, 0
-                    held[k, v] = (unit, i, [])
+                    held[k, unit, i] = (unit, i, [])
                     size += len(unit)
                 now = k
-                held[k, v][2].append((t, w // WIDEST))
-        yield from C.record_batches(_repeats(list(held.values())), RUNS)
+                held[k, unit, i][2].append((t, w // WIDEST))
+        yield from gone(_repeats(list(held.values())))
+
+    return units.mapInArrow(run, "doc_id bigint, th bigint, run bigint, key bigint, u bigint, unit binary")
+
 
-    return units.mapInArrow(run, "doc_id bigint, th bigint, run bigint")
+def _hot_runs(left: DataFrame) -> DataFrame:
+    """Window runs that start in a smaller document, of the units of hot anchors that their tasks left."""
+    left = left.withColumn("bytes", F.coalesce("unit", F.lit(b"")))
+    named = left.groupBy("key", "u", "bytes").agg(F.min("doc_id").alias("least"))
+    units = left.join(named, ["key", "u", "bytes"])
+    width = F.lit(WIDEST)
+    places = units.where("doc_id = least and unit is not null").select("doc_id", "th", F.expr(f"run div {WIDEST}").alias("start"), "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - LENGTH)).alias("w"))
+    windows = places.select("doc_id", "th", ((F.col("start") + F.col("w")) * width + 1).alias("run"), F.substring("unit", F.col("w") + 1, F.lit(LENGTH)).alias("window"))
+    lowest = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
+    return units.where("doc_id > least").select("doc_id", "th", "run").unionByName(windows.join(lowest, "window").where("doc_id > least").select("doc_id", "th", "run"))
 
 
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -441,12 +493,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def with_runs(docs: DataFrame) -> DataFrame:
     """doc_id, packed (the text's bytes by zstandard) and the window runs that start in a smaller document."""
-    spark = docs.sparkSession
-    ranges = C.parts(spark)
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    units = _units(keyed, classed_anchors(keyed, ranges), ranges)
-    found = _refined(units.repartition(ranges, "key").sortWithinPartitions("key", "u", "doc_id", F.col("unit").isNull()))
-    by_document = found.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
+    ranges, cells = sized(keyed)
+    units = _units(keyed, classed_anchors(keyed, ranges, cells), ranges)
+    found, _ = C.stage(_refined(_dealt(units)), "runs")
+    runs = found.where("key is null").select("doc_id", "th", "run").unionByName(_hot_runs(found.where("key is not null")))
+    by_document = runs.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
     return _packed(keyed).join(by_document, ["doc_id", "th"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "packed", "runs")
 
 
