@@ -78,23 +78,21 @@ PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         e, uid = encoder(path, "words"), TaskContext.get().partitionId() << 40
         dtype, end = np.dtype("<u2" if e.width == 2 else "<u4"), end_id.to_bytes(e.width, "little")
-
-        def rows(doc_ids, texts):
-            nonlocal uid
-            raw = [e.ids(t) for t in texts]
+        for b in C.gathered(batches):
+            raw = e.batch(b.column("text"))
             keys = curve_keys(np.array([document_vector(np.frombuffer(r, dtype)) for r in raw]).reshape(-1, HASHED))
-            for i, k, r in zip(doc_ids, keys.tolist(), raw):
-                yield uid, i, k, len(r) // e.width + 1, r + end
-                uid += 1
-
-        return rows
+            uids = np.arange(uid, uid + len(raw))
+            uid += len(raw)
+            lengths = np.array([len(r) // e.width + 1 for r in raw], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(uids), b.column("doc_id"), pa.array(keys), pa.array(lengths), pa.array([r + end for r in raw], pa.binary())], schema=STAGED)
 
-    return C.map_documents(docs, make, "uid bigint, doc_id bigint, key bigint, n bigint, ids binary", STAGED)
+    C.tune(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "uid bigint, doc_id bigint, key bigint, n bigint, ids binary")
 
 
 def pack(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, width: int = 2) -> DataFrame:
