@@ -2,13 +2,13 @@
 
 Three patterns find plain secrets (the base spans). Their values are labelled credentials, from which one
 probabilistic automaton a kind is inferred: the prefix tree of the values, spelled in character classes, is folded by
-merging states whose transition and end frequencies are statistically compatible (Hoeffding's bound). Every other run
-of 12 credential characters or more is a candidate; its mean log-likelihood a character under the best automaton,
-less that under a model of ordinary candidates, is its score, and those that score as nearly all labelled credentials
-do become spans too.
+merging states whose transition and end frequencies are statistically compatible (Hoeffding's bound). Merging forgets
+how long the values are, so an automaton keeps their lengths beside its states. Every other run of 12 credential
+characters or more is a candidate; its mean log-likelihood a character under the best automaton, less that under a
+model of ordinary candidates, is its score, and those that score as nearly all labelled credentials do become spans too.
 
 The texts are read once: base spans and candidates are staged (a few short strings a document), the automata are
-learned from a bounded sample of distinct values (SAMPLE a kind, the least hashes), the model of ordinary candidates is
+learned from a bounded sample of distinct values (SAMPLE a kind and LONGEST characters of them together, the least hashes), the model of ordinary candidates is
 of all of them (their pairs of character classes are counted), and the staged rows are scored.
 
 Cases: a null or empty text has no spans, and the hash of the empty string; with no labelled credentials there are no
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilefold.llm import common as C
@@ -39,16 +39,21 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LEARNED = "learned"
-#: Labelled credentials of each kind that are learned from at most; and their longest length.
-SAMPLE, LONGEST = 1000, 256
+#: Labelled credentials of each kind that are learned from at most, and their characters together.
+SAMPLE, LONGEST = 1000, 1 << 22
+#: Depth of the prefix tree; a state there returns to itself.
+DEPTH = 64
 #: Of the merge test, the smoothing, the share of labelled credentials that may score below the threshold.
 ALPHA, UNSEEN, MISSED = 0.01, 1e-4, 0.02
+#: Share of the lengths' probability that goes to lengths not seen.
+OTHER_LENGTHS = 0.1
 #: Nats a character by which a candidate must at least fit a format better than ordinary text.
 MARGIN = 0.5
 
 _CLASS = {c: k for k, chars in {"a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}.items() for c in chars}
 _WITHIN = {"a": math.log(6), "g": math.log(20), "A": math.log(6), "G": math.log(20), "0": math.log(10)}
 END = "$"
+_LEAST = math.log(UNSEEN)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -77,40 +82,45 @@ def spelled(value: str) -> str:
 
 
 class Automaton:
-    """States with counts of arrivals, ends and transitions, learned by folding a prefix tree."""
+    """States with counts of arrivals, ends and transitions, learned by folding a prefix tree, and the values' lengths."""
 
     def __init__(self, values: list[str], alpha: float = ALPHA) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]
         for v in values:
             s = 0
-            for c in spelled(v):
+            for depth, c in enumerate(spelled(v)):
                 self.count[s][c] += 1
                 if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append(Counter())
+                    if depth < DEPTH:
+                        self.next[s][c] = len(self.next)
+                        self.next.append({})
+                        self.count.append(Counter())
+                    else:
+                        self.next[s][c] = s
                 s = self.next[s][c]
             self.count[s][END] += 1
         self.alpha = alpha
         self._fold()
-        self.log = [{c: math.log(k / t) for c, k in n.items()} if (t := sum(n.values())) else {} for n in self.count]
+        self.log = [{c: math.log(k / t) for c, k in n.items() if c != END} if (t := n.total() - n[END]) else {} for n in self.count]
+        self.lengths, self.mean, self.n = Counter(map(len, values)), sum(map(len, values)) / max(1, len(values)), max(1, len(values))
 
     def _differ(self, a: int, b: int) -> bool:
         x, y = self.count[a], self.count[b]
-        n, m = sum(x.values()), sum(y.values())
+        n, m = x.total(), y.total()
         if not n or not m:
             return False
         bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
         return any(abs(x[c] / n - y[c] / m) > bound for c in x.keys() | y.keys())
 
     def _compatible(self, a: int, b: int) -> bool:
+        """Whether what is reached from a and the tree below b agree everywhere."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             if self._differ(a, b):
                 return False
-            todo += [(self.next[a][c], t) for c, t in self.next[b].items() if c in self.next[a]]
+            todo += [(self.next[a][c], t) for c, t in self.next[b].items() if c in self.next[a] and t != b]
         return True
 
     def _merge(self, a: int, b: int) -> None:
@@ -120,35 +130,44 @@ class Automaton:
             a, b = todo.pop()
             self.count[a].update(self.count[b])
             for c, t in self.next[b].items():
-                if c in self.next[a]:
+                if t == b:
+                    self.next[a].setdefault(c, a)
+                elif c in self.next[a]:
                     todo.append((self.next[a][c], t))
                 else:
                     self.next[a][c] = t
 
     def _fold(self) -> None:
-        red, k = [0], 0
-        while k < len(red):
-            for c in sorted(self.next[red[k]]):
-                blue = self.next[red[k]][c]
-                if blue in red:
-                    continue
-                for r in red:
-                    if self._compatible(r, blue):
-                        self.next[red[k]][c] = r
-                        self._merge(r, blue)
-                        break
-                else:
-                    red.append(blue)
-            k += 1
-        place = {s: i for i, s in enumerate(red)}
-        self.count = [self.count[s] for s in red]
-        self.next = [{c: place.get(t, 0) for c, t in self.next[s].items()} for s in red]
+        """Each child of a final state is merged with the first final state it is compatible with, or becomes final itself.
+
+        A merge can give children to states already looked at, so these are looked at again until none has an open child.
+        """
+        final = {0: None}  # in order
+        while True:
+            found = next(((s, c) for s in final for c in sorted(self.next[s]) if self.next[s][c] not in final), None)
+            if found is None:
+                break
+            s, c = found
+            child = self.next[s][c]
+            same = next((r for r in final if self._compatible(r, child)), None)
+            if same is None:
+                final[child] = None
+            else:
+                self.next[s][c] = same
+                self._merge(same, child)
+        place = {s: i for i, s in enumerate(final)}
+        self.count = [self.count[s] for s in final]
+        self.next = [{c: place[t] for c, t in self.next[s].items()} for s in final]
+
+    def _length(self, n: int) -> float:
+        other = math.exp(-n / self.mean) * (math.exp(1 / self.mean) - 1)
+        return math.log((1 - OTHER_LENGTHS) * self.lengths[n] / self.n + OTHER_LENGTHS * other)
 
     def likelihood(self, value: str) -> float:
-        """Natural log of the probability of the whole string."""
-        s, total = 0, 0.0
-        for c, raw in zip(spelled(value) + END, value + END):
-            total += self.log[s].get(c, math.log(UNSEEN)) - (_WITHIN.get(c, 0.0) if raw != END else 0.0)
+        """Natural log of the probability of the whole string: of its length, and of each character after those before it."""
+        s, total = 0, self._length(len(value))
+        for c in spelled(value):
+            total += self.log[s].get(c, _LEAST) - _WITHIN.get(c, 0.0)
             s = self.next[s].get(c, 0)
         return total
 
@@ -229,11 +248,14 @@ def class_pairs(found: DataFrame) -> dict[tuple[str, str], int]:
 
 def learn(found: DataFrame) -> Formats:
     """Automata from at most SAMPLE distinct values of each kind, the least by hash, and the ordinary model of all candidates."""
-    values = found.select(F.explode(F.arrays_zip("kinds", "texts")).alias("f")).select(F.col("f.kinds").alias("kind"), F.col("f.texts").alias("value")).where(F.length("value") <= LONGEST)
+    values = found.select(F.explode(F.arrays_zip("kinds", "texts")).alias("f")).select(F.col("f.kinds").alias("kind"), F.col("f.texts").alias("value"))
 
     def some(kind: str) -> list[str]:
         own = values.where(F.col("kind") == kind).select("value").distinct()
-        return [r["value"] for r in own.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
+        order = [F.xxhash64("value"), F.col("value")]
+        few = own.orderBy(*order).limit(SAMPLE)
+        so_far = F.sum(F.length("value")).over(Window.orderBy(*order))  # over SAMPLE rows
+        return [r["value"] for r in few.withColumn("so_far", so_far).where(F.col("so_far") <= LONGEST).orderBy(*order).select("value").collect()]
 
     return Formats({k: some(k) for k in KINDS}, class_pairs(found))
 
