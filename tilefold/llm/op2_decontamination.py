@@ -11,7 +11,8 @@ else the best 13 tokens.
 The test side is the bounded one: it is read in blocks of BLOCK tokens, and each block's index is broadcast and held
 against all documents. Training text is neither shuffled nor collected.
 
-Cases: a null or empty text has no hits; items of fewer than 5 tokens are left out; repeated documents are each
+Cases: a null or empty text has no hits; items without tokens match nothing, those of fewer than 5 only as
+a whole; repeated documents are each
 reported; a null doc_id stays null; without items or documents the result is empty; further columns are ignored
 whatever their names.
 """
@@ -32,7 +33,7 @@ from tilefold.llm import common as C
 
 #: Token positions that the masks select; found by search: every window of 13 with two substitutions keeps one of them whole.
 MASKS = ((0, 1, 2, 3, 5, 7, 8), (0, 3, 5, 6, 9, 10, 11), (0, 1, 4, 7, 8, 9, 10))
-OVERLAP, SIMILARITY, SHORTEST = 13, 0.8, 5
+OVERLAP, SIMILARITY = 13, 0.8
 #: Tokens of test items in one block.
 BLOCK = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -56,7 +57,7 @@ class Index:
         self.items: list[np.ndarray] = []
         for i, text in items:
             found = tokens(text or "")
-            if len(found) >= SHORTEST:
+            if found:
                 self.ids.append(i)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
         lengths = sorted({len(x) for x in self.items if len(x) < OVERLAP})
