@@ -10,7 +10,8 @@ at most SAMPLE positives and SAMPLE unlabelled documents, those of the least has
 labelled training rows. Scoring is one pass over the whole texts, without a shuffle.
 
 Cases: a null or empty text is scored like any other (all features 0); a null doc_id counts as held out; without
-positives every score is 0.5; repeated rows give repeated rows; an empty table gives an empty result; further columns
+positives among the training rows every score is 0.5; if all training documents are labelled they are the unlabelled
+sample too, their labels unseen; a doc_id with several texts is fitted on one of them; repeated rows give repeated rows; an empty table gives an empty result; further columns
 are ignored whatever their names.
 """
 
@@ -132,13 +133,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     ids = docs.where(C.remainder(F.col("doc_id"), HELD_OUT) != 0).select("doc_id")
     unlabelled = ids.join(labels.where("label is not null").select("doc_id"), "doc_id", "left_anti").distinct().orderBy(*order).limit(SAMPLE)
     chosen = positive.withColumn("one", F.lit(1)).unionByName(unlabelled.withColumn("one", F.lit(0)))
-    rows = _features(docs.join(F.broadcast(chosen), "doc_id"), "one").orderBy("one", F.xxhash64("doc_id"), "doc_id").collect()  # 2 * SAMPLE rows at most
+    rows = _rows(docs, chosen)
+    if not any(r["one"] == 0 for r in rows):  # every training document is labelled: they stand for the web text, whatever their label
+        rows += _rows(docs, ids.distinct().orderBy(*order).limit(SAMPLE).withColumn("one", F.lit(0)))
     x, one = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, N_FEATURES), np.array([r["one"] for r in rows])
-    if not (one == 1).any() or not (one == 0).any():
+    if not (one == 1).any():
         return None
     return Model(x[one == 1], x[one == 0], ones / n)
 
 
+def _rows(docs: DataFrame, chosen: DataFrame) -> list:
+    """Features of the chosen doc_ids, a row each (of several texts of one doc_id the least features): SAMPLE a kind at most."""
+    found = _features(docs.join(F.broadcast(chosen), "doc_id"), "one").groupBy("one", "doc_id").agg(F.min("x").alias("x"))
+    return found.orderBy("one", F.xxhash64("doc_id"), "doc_id").collect()
+
+
 def _features(docs: DataFrame, keep: str) -> DataFrame:
     def run(batches):
         for b in batches:
