@@ -17,15 +17,21 @@ BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that hold texts, so that memory does not follow document length times 10,000."""
+    """Bound the Arrow batches that hold texts, so that memory does not follow document length times 10,000.
+
+    These are settings of the session: Spark has none for a single operator.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a fresh local one if the
+    session is local, and else an error: executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tilefold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

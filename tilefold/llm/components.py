@@ -34,5 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after, at = C.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         C.remove(spark, path)
         now, path = after, at
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
