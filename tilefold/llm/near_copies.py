@@ -10,7 +10,11 @@ classes are dealt in blocks, and every pair of members of different classes is c
 shingle sets of the two texts; only of the first ones, those that the estimate from one-permutation minima (BINS bins
 of 8 bits) puts five standard errors from the threshold are settled by it.
 
-A node is a distinct text, named by its hash, so copies cost one row a document.
+A node is a distinct text (by 128 bits of hash), named by its least doc_id, so copies cost one row a document.
+
+Cases: null texts are empty, texts without words are linked with each other; no doc_id may be null (keep_first leaves
+such rows out and keeps them); rows of one doc_id are one document, with the links of all its texts; an empty table
+gives an empty result; ties in similarity at exactly 0.8 are links.
 """
 
 from __future__ import annotations
@@ -74,7 +78,7 @@ def sketch(text: str) -> tuple[list[int], bytes]:
     return [fp - (1 << 64) if fp >> 63 else fp, *banded(s)], minima
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fps", pa.list_(pa.int64())), ("minima", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("hash", pa.binary()), ("fps", pa.list_(pa.int64())), ("minima", pa.binary())])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield from C.record_batches(rows, SKETCH)
 
     C.tune(docs.sparkSession)
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, hash bigint, fps array<bigint>, minima binary")
+    return docs.select("doc_id", F.unhex(F.md5("text")).alias("hash"), "text").mapInArrow(run, "doc_id bigint, hash binary, fps array<bigint>, minima binary")
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +183,9 @@ def compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """node and text of the members of the groups."""
-    wanted = nodes.join(groups.select("node").distinct(), "node").select("node", F.col("doc").alias("doc_id"))
-    return docs.select("doc_id", F.xxhash64("text").alias("node"), "text").join(wanted, ["doc_id", "node"]).groupBy("node").agg(F.first("text").alias("text"))
+    return docs.select(F.col("doc_id").alias("node"), "text").join(groups.select("node").distinct(), "node").dropDuplicates(["node", "text"])
 
 
 def stars(pairs: DataFrame) -> DataFrame:
@@ -204,34 +207,29 @@ def crossed(members: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, root) of documents (doc_id, text): root is the least doc_id of the class.
-
-    No doc_id may be null. Rows of one doc_id with several texts count as one document. Texts without words are linked
-    by their fingerprint, which is zero.
-    """
+    """(doc_id, root) of documents (doc_id, text): root is the least doc_id of the class."""
     made, _ = C.stage(sketches(docs), "sketches")
-    nodes, _ = C.stage(made.groupBy(F.col("hash").alias("node")).agg(F.min("doc_id").alias("doc"), F.first("fps").alias("fps"), F.first("minima").alias("minima")), "nodes")
+    nodes, _ = C.stage(made.groupBy("hash").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("minima").alias("minima")), "nodes")
+    placed, _ = C.stage(made.select("doc_id", "hash").join(nodes.select("hash", "node"), "hash").select("doc_id", "node"), "placed")
     printed = nodes.select("node", F.col("fps")[0].alias("fp"))
     first, _ = C.stage(printed.groupBy("fp").agg(F.min("node").alias("first")), "first")
     near = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     shared = printed.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    one = made.groupBy("doc_id").agg(F.min("hash").alias("v"), F.max("hash").alias("hi")).where("v <> hi").select("doc_id", "v")
-    sure = near.unionByName(shared).unionByName(made.join(one, "doc_id").select(F.col("hash").alias("u"), "v"))
+    one = placed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v <> hi").select("doc_id", "v")
+    sure = near.unionByName(shared).unionByName(placed.join(one, "doc_id").select(F.col("node").alias("u"), "v"))
 
-    banded = nodes.select("node", "doc", F.explode(F.slice("fps", 2, BANDS)).alias("value"))
-    centres = banded.groupBy("value").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").select("value", F.col("least.node").alias("centre"))
+    banded = nodes.select("node", F.explode(F.slice("fps", 2, BANDS)).alias("value"))
+    centres = banded.groupBy("value").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("value", "centre")
     members, _ = C.stage(banded.join(centres, "value").where("node <> centre").select("value", "node", "centre"), "members")
     found, _ = C.stage(judged(members.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), nodes.select("node", "minima")), "judged")
     groups, _ = C.stage(stars(found.where("not sure").select("u", "v")), "stars")
-    edges = sure.unionByName(found.where("sure").select("u", "v")).unionByName(compared(groups, texts_of(docs, nodes, groups)))
+    edges = sure.unionByName(found.where("sure").select("u", "v")).unionByName(compared(groups, texts_of(docs, groups)))
     roots = connected_components(edges)
 
     # What is in a value beside its centre and in another class is compared with all of the other classes there.
     left = members.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("class"))
     groups, _ = C.stage(crossed(left), "crossed")
-    more, _ = C.stage(compared(groups, texts_of(docs, nodes, groups)), "more")
+    more, _ = C.stage(compared(groups, texts_of(docs, groups)), "more")
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    named = nodes.select("node", "doc").join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("least"))
-    return made.select("doc_id", F.col("hash").alias("node")).join(named.join(least, "root").select("node", F.col("least").alias("root")), "node").select("doc_id", "root")
+    return placed.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
