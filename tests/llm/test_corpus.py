@@ -96,14 +96,32 @@ def brute_cut(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffixes(spark, odd, monkeypatch, hot):
+@pytest.mark.parametrize("hot, gathered, cells", [(4096, 16 << 20, 1 << 30), (2, 16 << 20, 1 << 30), (1, 1000, 64), (4096, 1, 64)])
+def test_suffixes(spark, odd, monkeypatch, hot, gathered, cells):
     docs, rows = odd
-    monkeypatch.setattr(op4_suffix_dedup, "HOT", hot)
+    for name, value in (("HOT", hot), ("GATHERED", gathered), ("MOST_CELLS", cells), ("SLICE", 100_000)):
+        monkeypatch.setattr(op4_suffix_dedup, name, value)
     assert ordered(op4_suffix_dedup.cut_repeats(docs).collect()) == ordered(brute_cut(rows))
     assert op4_suffix_dedup.cut_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_windows_of_sliced_texts(monkeypatch):
+    """Every window is in one run, whatever slices a text is cut into; equal units have equal hashes."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 105, n, dtype=np.uint8)) for n in (3000, 10, 49, 50, 51, 700)]
+    texts.append(texts[0][500:2500])
+    for size in (1 << 21, 100, 333):
+        monkeypatch.setattr(op4_suffix_dedup, "SLICE", size)
+        seen, units = {}, {}
+        for raw, f, e, h, u, u2, d, o in op4_suffix_dedup.Batch(texts).runs():
+            for a, z, *key, k, at in zip(*(x.tolist() for x in (f, e, h, u, u2, d, o))):
+                assert units.setdefault(tuple(key), raw[a : z + 49]) == raw[a : z + 49] == texts[k][a + at : z + at + 49]
+                for p in range(a + at, z + at):
+                    seen[k, p] = seen.get((k, p), 0) + 1
+        assert seen == {(k, p): 1 for k, t in enumerate(texts) for p in range(len(t) - 49)}
+        assert len(set(units)) == len(set(units.values()))
+
+
 def test_suffix_buckets():
     rng = np.random.default_rng(0)
     buf = rng.integers(97, 99, 3000, dtype=np.uint8)
@@ -178,6 +196,15 @@ def test_packing(spark, odd):
     assert op9_packing.pack(docs.limit(0), path, 2).count() == 0
 
 
+def test_packing_follows_the_curve(spark, sf):
+    docs = C.documents(C.read(spark, sf, "documents"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [tuple(r) for r in docs.collect()]
+    key = {i: int(op9_packing.curve_keys(op9_packing.document_vector(np.array(x[:-1], "<u2"))[None])[0]) for (i, _), x in zip(rows, encoded(rows, "word_bpe_49k.json", 2))}
+    pieces = sorted(op9_packing.pack(docs, path, 2).where("start = 0").collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    assert [r["doc_id"] for r in pieces] == sorted(key, key=lambda i: (key[i], i))
+
+
 def test_hilbert_curve():
     side = 8
     points = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
@@ -279,13 +306,69 @@ def test_pipeline(spark, sf):
 
 
 def test_stages_keep_columns_and_rows(spark, sf):
+    """Each stage returns whole rows of its input (secrets: their texts changed alone), none twice."""
     df, rows = odd_documents(spark)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, df, sf)
-        assert out.schema.names == df.schema.names and out.count() <= len(rows)
+        assert out.schema.names == df.schema.names
+        same = [c for c in df.columns if name != "secrets" or c not in ("text", "n_chars")]
+        assert out.select(same).exceptAll(df.select(same)).isEmpty()
+        if name == "secrets":
+            assert out.count() == len(rows)
+        if name == "near_duplicates":
+            assert out.where("doc_id is null").count() == sum(i is None for i, _ in rows)
         assert stage(spark, df.limit(0), sf).count() == 0
 
 
+def test_pipeline_of_no_documents(spark, sf, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0 if name == "documents" else 5).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_recall_of_all_true_pairs(spark):
+    """Of all pairs of documents at five-word similarity 0.8 or more, found by brute force, how many are in one class."""
+    docs = C.documents(C.read(spark, "/root/testdata/sf0.01", "documents"))
+    rows = [tuple(r) for r in docs.collect()]
+    number, holders, size = {}, {}, {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        own = {number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(max(1, len(w) - 4))}
+        size[i] = len(own)
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for some in holders.values():
+        for k, a in enumerate(some):
+            for b in some[:k]:
+                common[a, b] = common.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in common.items() if 10 * n >= 8 * (size[a] + size[b] - n)]
+    root = {r["doc_id"]: r["root"] for r in near_copies.components(docs).collect()}
+    assert len(root) == len(rows) and len(pairs) > 30
+    assert sum(root[a] == root[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_near_copies_of_one_doc_id(spark):
+    """Rows of one doc_id are one document, with the links of all its texts."""
+    a, b = (" ".join(f"{x}{k * k}" for k in range(60)) for x in "ab")
+    df = spark.createDataFrame([(3, a), (3, b), (3, b), (7, a), (8, b), (9, a + " " + b)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["root"]) for r in near_copies.components(df).collect()} == {(3, 3), (7, 3), (8, 3), (9, 9)}
+
+
+def test_components_that_do_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.range(50).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError):
+        C.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077")))
+
+
 def five_words(text):
     w = text.split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}

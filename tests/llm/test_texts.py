@@ -102,9 +102,9 @@ def test_decontamination(spark, sf):
     assert next(r["overlap"] for r in found if r["doc_id"] == 3) == leaks(docs[3][1], items[3:4])[items[3][0]]
     assert ordered(r[:1] for r in op2_decontamination.clean_only(df, bench).collect()) == [(0,), (1,), (4,), (5,)]
     assert op2_decontamination.overlaps(C.documents(df), bench.limit(0)).count() == 0
-    short = spark.createDataFrame([(1, "one two three four five six"), (2, "one two"), (3, None)], "item_id bigint, text string")
-    df = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "one two three")], "doc_id bigint, text string")
-    assert [r["doc_id"] for r in op2_decontamination.overlaps(df, short).collect()] == [1]
+    short = spark.createDataFrame([(1, "one two three four five six"), (2, "two four"), (3, None), (4, "--"), (5, "eight")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "one two three"), (3, "two four"), (4, "at eight, two five four")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in op2_decontamination.overlaps(df, short).collect()} == {(1, 1), (3, 2), (4, 5)}
 
 
 def test_seeds_survive_two_substitutions():
@@ -272,3 +272,171 @@ def test_secrets_without_a_digit():
     ordinary = Counter(p for w in words * 200 for p in zip("$" + op6_secrets.spelled(w), op6_secrets.spelled(w) + "$"))
     formats = op6_secrets.Formats({"assign": ["".join(r.choice(letters + "0123456789") for _ in range(24)) for _ in range(300)]}, ordinary)
     assert formats.spans(f"see {secret} there") == [(4, 28, "learned")] and not any(formats.spans(f"see {w} there") for w in words)
+
+
+def test_decontamination_of_all_documents(spark, sf):
+    """Every document against every place of every item: 13 tokens (or a shorter item) with 80 % matches, and no others."""
+    import numpy as np
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    items = [*(tuple(r) for r in bench.collect()), (9001, "the"), (9002, "of the in and"), (9003, "one two three four five six seven")]
+    docs = [tuple(r) for r in C.documents(C.read(spark, sf, "documents")).collect()]
+    docs += [(10**6 + k, f"{t} one two three four five{' x'[k % 2]} six seven") for k, (_, t) in enumerate(docs[:20])]
+    number, want = {}, set()
+    coded = [[np.array([number.setdefault(w, len(number)) for w in re.findall(r"[^\W_]+", t.lower())], int) for _, t in side] for side in (items, docs)]
+    for (item, _), y in zip(items, coded[0]):
+        size = min(13, len(y))
+        for (doc, _), x in zip(docs, coded[1]):
+            if len(x) < size:
+                continue
+            total = np.zeros((len(y) + 1, len(x) + 1), int)
+            for q in range(len(y)):
+                total[q + 1, 1:] = total[q, :-1] + (x == y[q])
+            if (total[size:, size:] - total[:-size, :-size] >= 0.8 * size).any():
+                want.add((doc, item))
+    df, short = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in op2_decontamination.overlaps(df, short).collect()} == want and len(want) > 20
+
+
+class SlowAutomaton:
+    """The same inference over classes of prefixes: a class has the suffix counts of its prefixes, and classes are joined
+    until no class has two children for one symbol."""
+
+    def __init__(self, values, alpha):
+        values = [op6_secrets.spelled(v) for v in values]
+        nodes = sorted({v[:k] for v in values for k in range(len(v) + 1)}, key=lambda x: (len(x), x))
+        self.own = {x: Counter(v[len(x)] if len(v) > len(x) else "$" for v in values if v.startswith(x)) for x in nodes}
+        self.cls, self.alpha = {x: x for x in nodes}, alpha
+        final = [""]
+        while True:
+            found = next(((f, c) for f in final for c in sorted(self.children(f)) if self.children(f)[c] not in {self.top(x) for x in final}), None)
+            if found is None:
+                break
+            child = self.children(found[0])[found[1]]
+            same = next((f for f in final if self.agree(f, child)), None)
+            if same is None:
+                final.append(child)
+            else:
+                self.join(same, child)
+        self.states = final
+
+    def top(self, x):
+        while self.cls[x] != x:
+            x = self.cls[x]
+        return x
+
+    def members(self, x):
+        return [m for m in self.cls if self.top(m) == self.top(x)]
+
+    def counts(self, x):
+        return sum((self.own[m] for m in self.members(x)), Counter())
+
+    def children(self, x):
+        return {c: self.top(m + c) for m in self.members(x) for c in self.own[m] if c != "$"}
+
+    def agree(self, a, b):
+        x, y = self.counts(a), self.counts(b)
+        n, m = sum(x.values()), sum(y.values())
+        bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        below, other = self.children(a), self.children(b)
+        return all(abs(x[c] / n - y[c] / m) <= bound for c in {*x, *y}) and all(self.agree(below[c], other[c]) for c in below.keys() & other.keys())
+
+    def join(self, a, b):
+        a, b = self.top(a), self.top(b)
+        if a == b:
+            return
+        mine, other = self.children(a), self.children(b)
+        self.cls[b] = a
+        for c in mine.keys() & other.keys():
+            self.join(mine[c], other[c])
+
+    def chances(self, value):
+        at, out = "", []
+        for c in op6_secrets.spelled(value):
+            n = self.counts(at)
+            out.append(n[c] / (sum(n.values()) - n["$"]) if n[c] else op6_secrets.UNSEEN)
+            at = self.children(at).get(c, "")
+        return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automaton_equals_slow_version(seed):
+    import random
+
+    r = random.Random(seed)
+    made = [lambda: "AB" + "".join(r.choice("0123456789") for _ in range(4)), lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 9))), lambda: "x-" * r.randrange(1, 4) + "A0"]
+    values = [r.choice(made[: 1 + seed % 3])() for _ in range(120)]
+    fast, slow = op6_secrets.Automaton(values, alpha=0.9), SlowAutomaton(values, 0.9)
+    assert len(fast.count) == len(slow.states) and all(0 <= t < len(fast.count) for n in fast.next for t in n.values())
+    for v in [*values[:30], *("".join(r.choice("ABab01-x") for _ in range(8)) for _ in range(30))]:
+        within = sum({"a": math.log(6), "g": math.log(20), "A": math.log(6), "G": math.log(20), "0": math.log(10)}.get(c, 0) for c in op6_secrets.spelled(v))
+        assert abs(fast.likelihood(v) - fast._length(len(v)) - (sum(map(math.log, slow.chances(v))) - within)) < 1e-9
+
+
+def test_automaton_has_no_open_states_and_keeps_lengths():
+    import random
+
+    r = random.Random(8)
+    mixed = ["".join([r.choice(["sk-", "ghp_", "xoxb-", "AKIA", "AIza", ""]), *(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(r.choice([16, 24, 36])))]) for _ in range(600)]
+    a = op6_secrets.Automaton([*mixed, "q0" * 50_000])
+    assert len(a.count) > 1 and sum(n.total() - n["$"] for n in a.count) == sum(map(len, mixed)) + 100_000
+    assert all(n[c] == 0 or c in a.next[s] for s, n in enumerate(a.count) for c in n if c != "$")
+    fixed = op6_secrets.Automaton(["".join(r.choice("0123456789") for _ in range(24)) for _ in range(300)])
+    assert fixed.likelihood("1" * 24) > fixed.likelihood("1" * 23) + 2 and fixed.likelihood("1" * 24) > fixed.likelihood("1" * 26)
+
+
+def test_planted_format_is_found(spark):
+    """Keys of one format stand after a keyword in some texts and bare in others."""
+    import random
+
+    r = random.Random(12)
+
+    def key():
+        return "ghp_" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
+
+    words = ["conversation", "understanding", "notwithstanding", "e.g.first-second", "2024-01-01.final", "straightforward"]
+    bare = [f"{r.choice(words)} {key()} {r.choice(words)}" for _ in range(80)]
+    rows = [(k, f"token = {key()} and {' '.join(r.choices(words, k=40))}") for k in range(200)] + [(1000 + k, t) for k, t in enumerate(bare)] + [(2000 + k, " ".join(r.choices(words, k=9))) for k in range(300)]
+    found, _ = C.stage(op6_secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string")), "t")
+    spans = {x["doc_id"]: x["spans"] for x in op6_secrets.scan(found, op6_secrets.learn(found)).collect()}
+    hit = [spans[1000 + k] == f"learned:{t.index('ghp_')}:{t.index('ghp_') + 40}" for k, t in enumerate(bare)]
+    assert sum(hit) >= 76 and not any(spans[2000 + k] for k in range(300))
+
+
+def test_quality_of_odd_labels(spark):
+    """All documents labelled; only one class; doc_ids that stand in many rows."""
+    rows = [(k, ("good words stand here in a calm order " if k % 2 else "## $$ buy buy !!! ") * (1 + k % 7)) for k in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id bigint, label int")
+    got = {r["doc_id"]: r["score"] for r in op8_quality.score(docs, op8_quality.fit(docs, labels)).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+    assert {r["score"] for r in op8_quality.score(docs, op8_quality.fit(docs, labels.withColumn("label", F.lit(0)))).collect()} == {0.5}
+    many = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", F.concat("text", F.col("id").cast("string")).alias("text")))
+    few = labels.where("doc_id < 60")
+    chosen = few.where("label = 1").select("doc_id").withColumn("one", F.lit(1))
+    assert len(op8_quality._rows(many, chosen)) == 30
+    assert op8_quality.fit(many, few) is not None
+
+
+def test_compression_verdict_by_other_means(spark, sf):
+    """The verdict from zstandard's streaming writer and the bands as a table of lengths."""
+    import io
+
+    import zstandard
+
+    def ratio(raw):
+        out = io.BytesIO()
+        with zstandard.ZstdCompressor(level=3).stream_writer(out, size=len(raw), closefd=False) as w:
+            w.write(raw)
+        return len(out.getvalue()) / len(raw)
+
+    def inside(raw):
+        row = [b for b in op7_compression_bands.BANDS if b[0] >= len(raw)][0]
+        return row[1] <= ratio(raw) <= row[2]
+
+    docs = C.documents(C.read(spark, sf, "documents"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in op7_compression_bands.judge(docs).collect():
+        raw = texts[r["doc_id"]].encode()
+        parts = [raw[k : k + 16384] for k in range(0, len(raw), 16384)]
+        outside = sum(len(x) for x in parts if not inside(x)) if len(raw) > 16384 else 0
+        assert r["kept"] == (not r["base_failed"] and inside(raw) and outside <= len(raw) / 4)
