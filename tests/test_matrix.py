@@ -176,8 +176,8 @@ def test_classifier(spark, tmp_path):
     w[4, 1] += eps
     slope = (-np.log(net.forward(x)[np.arange(4), y]).mean() - before) / eps
     w[:] = kept
-    classifier.save(net, str(tmp_path / "net.npz"))
-    back = classifier.load(str(tmp_path / "net.npz"))
+    classifier.save(spark, net, str(tmp_path / "net"))
+    back = classifier.load(spark, str(tmp_path / "net"))
     back.step(x, y, 1.0)
     assert abs((kept - back.conv[0][0])[4, 1] - slope) < 1e-3
     tiles = spark.createDataFrame(samples, "bits string, label string")

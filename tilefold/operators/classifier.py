@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONV = (32, 64, 128)
 FULL = (256, 128)
 
 
+def activations(x: Column, whole: Column) -> dict[str, Column]:
+    """relu, tanh and softmax of an entry of an array, and the slopes of the first two."""
+    total = F.aggregate(whole, F.lit(0.0), lambda s, v: s + F.exp(v))
+    return {"relu": F.greatest(x, F.lit(0.0)), "relu_slope": F.when(x > 0, 1.0).otherwise(0.0), "tanh": F.tanh(x), "tanh_slope": 1 - F.tanh(x) * F.tanh(x), "softmax": F.exp(x) / total}
+
+
+def tile_moments(tiles: DataFrame) -> DataFrame:
+    """(ti, tj, mean, deviation) of the 256 bits of tiles(): the figures that image() scales by."""
+    mean = F.col("nnz") / 256
+    return tiles.select("ti", "tj", mean.alias("mean"), F.sqrt(mean * (1 - mean)).alias("deviation"))
+
+
 def image(bits: str) -> np.ndarray:
     """A 0/1 string as a 16x16 image of mean 0 and deviation 1."""
     x = (np.frombuffer(bits.encode(), np.uint8) - 48).astype(np.float64).reshape(16, 16)
@@ -123,15 +135,19 @@ def predict(tiles: DataFrame, net: Network, classes: list[str], bits: str = "bit
     return tiles.withColumn("predicted", label(F.col(bits)))
 
 
-def save(net: Network, path: str) -> None:
-    layers = {f"{kind}{k}_{part}": x for kind in ("conv", "full") for k, layer in enumerate(getattr(net, kind)) for part, x in zip("wb", layer)}
-    np.savez(path, **layers)
+WEIGHTS = "kind string, layer int, part string, shape array<int>, values array<double>"
+
+
+def save(spark: SparkSession, net: Network, path: str) -> None:
+    """The weights as a table, a row for each layer's matrix and for its offsets."""
+    rows = [(kind, k, part, list(x.shape), x.ravel().tolist()) for kind in ("conv", "full") for k, layer in enumerate(getattr(net, kind)) for part, x in zip("wb", layer)]
+    spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.parquet(path)
 
 
-def load(path: str) -> Network:
-    data = np.load(path)
+def load(spark: SparkSession, path: str) -> Network:
+    found = {(r["kind"], r["layer"], r["part"]): np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
     net = Network.__new__(Network)
     for kind in ("conv", "full"):
-        n = sum(1 for k in data.files if k.startswith(kind) and k.endswith("_w"))
-        setattr(net, kind, [[data[f"{kind}{k}_w"], data[f"{kind}{k}_b"]] for k in range(n)])
+        n = 1 + max(k for name, k, _ in found if name == kind)
+        setattr(net, kind, [[found[kind, k, "w"], found[kind, k, "b"]] for k in range(n)])
     return net

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilefold.functions.staging import saved
+from tilefold.operators import matrix as M
 
 
 def of_matrix(a: DataFrame) -> DataFrame:
@@ -41,15 +42,15 @@ def _saved(df: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, start: int) -> DataFrame:
     """(node, level): steps from a node, breadth first; a round a level."""
     spark, out = edges.sparkSession, both_ways(edges)
-    seen = _saved(spark.createDataFrame([(start, 0)], "node bigint, level int"))
-    front, level = seen, 0
+    front, level = _saved(spark.createDataFrame([(start, 0)], "node bigint, level int")), 0
+    seen = front  # the fronts so far, each written once
     while True:
         level += 1
         reached = out.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         front = _saved(reached.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level")))
         if front.isEmpty():
             return seen
-        seen = _saved(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
 def colouring(edges: DataFrame) -> DataFrame:
@@ -95,3 +96,29 @@ def independent_set(edges: DataFrame, distance: int = 2) -> DataFrame:
         reached = nearest(entered.select("node", F.when(F.col("state") == 1, F.lit(1)).alias("r")))
         nodes = _saved(entered.join(reached, "node").select("node", "rank", F.when((F.col("state") == 0) & F.col("r").isNotNull(), 2).otherwise(F.col("state")).alias("state")))
     return nodes.where("state = 1").select("node")
+
+
+def conflicts(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """One row: edges between nodes of one colour, and coloured nodes."""
+    named = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+    bad = named.where("a = b").agg(F.count("*").alias("conflicts")).select("conflicts", F.lit(0).cast("bigint").alias("nodes"))
+    own = colours.where("colour is not null").agg(F.count_distinct("node").alias("nodes")).select(F.lit(0).cast("bigint").alias("conflicts"), "nodes")
+    return bad.unionByName(own).agg(F.sum("conflicts").alias("conflicts"), F.sum("nodes").alias("nodes"))
+
+
+def within_two(edges: DataFrame) -> DataFrame:
+    """Edges between nodes at one or two steps: what a colouring at distance two has to tell apart. Their number follows
+    the pairs of neighbours of each node, so this is for graphs without hubs."""
+    out = both_ways(edges)
+    two = out.join(out.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").where("src < far").select("src", F.col("far").alias("dst"))
+    return edges.select("src", "dst").unionByName(two).distinct()
+
+
+def bandwidth_order(edges: DataFrame, start: int) -> DataFrame:
+    """(node, place): breadth-first levels from a node, within a level by degree and id, turned round, so that neighbours
+    stand near each other; nodes that are not reached come first, by id."""
+    n = both_ways(edges).select(F.col("src").alias("node")).distinct()
+    known = n.join(levels(edges, start), "node", "left").join(degrees(edges), "node")
+    deepest = known.agg(F.coalesce(F.max("level"), F.lit(-1))).scalar()
+    turned = known.select("node", F.coalesce(deepest - F.col("level") + 1, F.lit(0)).cast("bigint").alias("turn"), F.when(F.col("level").isNull(), 0).otherwise(-F.col("degree")).alias("by"))
+    return M.ranked(turned, "turn", "by", F.col("node").desc()).select("node", F.col("rank").alias("place"))

@@ -89,7 +89,8 @@ def tiles(a: DataFrame) -> DataFrame:
 
 def tile_values(a: DataFrame) -> DataFrame:
     """(ti, tj, masks, vals): values in the order of the set bits. A tile has 256 entries at most, so the group is bounded."""
-    summed = elements(a.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    spread = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what is done with a tile is costly for its bytes: tasks are not joined by size
+    summed = elements(a.groupBy("i", "j").agg(F.sum("v").alias("v"))).repartition(spread, "ti", "tj")
     own = F.array_sort(F.collect_list(F.struct((F.col("lr") * B.SIDE + F.col("lc")).alias("p"), "v")))
     return summed.groupBy("ti", "tj").agg(B.row_masks().alias("masks"), own.alias("e")).select("ti", "tj", "masks", F.col("e.v").alias("vals"), F.col("e.p").alias("places"))
 
@@ -228,3 +229,74 @@ def block_sizes(a: DataFrame, sizes: list[int]) -> DataFrame:
         own = n.agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).select(F.lit(s).alias("size"), "blocks", (F.col("blocks") * s * s == F.col("n")).alias("dense"))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def dense_rows(y: DataFrame, rows: DataFrame, value: str = "y") -> DataFrame:
+    """A result (i, ...) with a row for every i of rows, absent ones 0."""
+    return rows.select("i").join(y, "i", "left").select("i", F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def vector_slices(x: DataFrame) -> DataFrame:
+    """(tj, slice): the 16 entries of x (j, x) that meet a tile column, absent ones 0."""
+    own = x.groupBy(B.tile_index("j").alias("tj")).agg(F.map_from_entries(F.collect_list(F.struct(B.local_index("j").cast("int").alias("l"), "x"))).alias("e"))
+    return own.select("tj", F.transform(F.sequence(F.lit(0), F.lit(B.SIDE - 1)), lambda k: F.coalesce(F.try_element_at("e", k), F.lit(0.0))).alias("slice"))
+
+
+def tile_nnz(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ti, tj, nnz): places of A B in each of its tiles, cancelled ones included."""
+    met = _inner(a, b).select("i", "j").distinct()
+    return met.groupBy(B.tile_index("i").alias("ti"), B.tile_index("j").alias("tj")).agg(F.count("*").alias("nnz"))
+
+
+def boolean_masks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ti, tj, lr, mask): the pattern of A B from bitmaps alone. A row of a tile of A picks the rows of B's tile whose
+    bits it has; what they have together is or-ed, within a pair of tiles and then over all pairs."""
+    ta = tiles(a).select("ti", F.col("tj").alias("k"), F.col("masks").alias("a"))
+    tb = tiles(b).select(F.col("ti").alias("k"), "tj", F.col("masks").alias("b"))
+    places = F.sequence(F.lit(0), F.lit(B.SIDE - 1))
+    bit = lambda m, k: F.call_function("shiftright", m, k).bitwiseAND(F.lit(1))
+    picked = lambda m: F.aggregate(places, F.lit(0), lambda s, k: s.bitwiseOR(F.when(bit(m, k) == 1, F.element_at("b", k + 1)).otherwise(F.lit(0))))
+    rows = ta.join(tb, "k").select("ti", "tj", F.posexplode(F.transform("a", picked)).alias("lr", "mask")).where("mask <> 0")
+    return rows.groupBy("ti", "tj", "lr").agg(F.bit_or("mask").alias("mask"))
+
+
+def common_tiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ti, tj, common): inner tile indexes that tile row ti of A and tile row tj of B share, by words of 32 bits."""
+    x, y = index_words(a).select("ti", "word", F.col("bits").alias("p")), index_words(b).select(F.col("ti").alias("tj"), "word", F.col("bits").alias("q"))
+    met = x.join(y, "word").select("ti", "tj", F.bit_count(F.col("p").bitwiseAND(F.col("q"))).alias("n"))
+    return met.groupBy("ti", "tj").agg(F.sum("n").cast("bigint").alias("common")).where("common > 0")
+
+
+def lower_bound(ids: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, place): how many of the distinct ids (id) are below each distinct key (key), by one scan over both."""
+    both = ids.select(F.col("id").alias("at"), F.lit(1).alias("n")).distinct().unionByName(keys.select(F.col("key").alias("at"), F.lit(0).alias("n")).distinct())
+    merged = both.groupBy("at").agg(F.max("n").alias("n"), F.max(F.col("n") == 0).alias("asked"))
+    return exclusive_scan(merged, "at", "n").where("asked").select(F.col("at").alias("key"), F.col("before").cast("bigint").alias("place"))
+
+
+def packed_offsets(sized: DataFrame) -> DataFrame:
+    """Tiles (ti, tj, bytes) with the place of their data if all tiles are packed in row order."""
+    rows = exclusive_scan(sized.groupBy("ti").agg(F.sum("bytes").alias("total")), "ti", "total").select("ti", "before")
+    own = F.coalesce(F.sum("bytes").over(Window.partitionBy("ti").orderBy("tj").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sized.withColumn("own", own).join(rows, "ti").select("ti", "tj", "bytes", (F.col("before") + F.col("own")).cast("bigint").alias("at"))
+
+
+def flat_rows(a: DataFrame) -> DataFrame:
+    """(flat, i): the row of each place in the row-ordered list of entries."""
+    return row_pointers(a).select(F.explode(F.sequence("start", F.col("stop") - 1)).alias("flat"), "i")
+
+
+def ranked(rows: DataFrame, key: str, *then: str | Column) -> DataFrame:
+    """rows with `rank`, their place in the order of a long key and further columns; rows of one key meet in one task."""
+    ahead = exclusive_scan(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n").select(key, "before")
+    own = F.row_number().over(Window.partitionBy(key).orderBy(*then)) - 1
+    return rows.withColumn("own", own).join(ahead, key).withColumn("rank", F.col("before") + F.col("own")).drop("own", "before")
+
+
+def compression(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: products of A B, its places, products a place, and the filled share of the tiles of A."""
+    made = _inner(a, b).groupBy("i", "j").agg(F.count("*").alias("n")).agg(F.sum("n").alias("products"), F.count("*").alias("places"))
+    own = tiles(a).agg((F.sum("nnz") / (F.count("*") * B.SIDE * B.SIDE)).alias("density"))
+    none = F.lit(None)
+    both = made.select("products", "places", none.cast("double").alias("density")).unionByName(own.select(none.cast("bigint").alias("products"), none.cast("bigint").alias("places"), "density"))
+    return both.agg(*(F.max(c).alias(c) for c in ("products", "places", "density"))).withColumn("rate", F.col("products") / F.col("places"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilefold.functions import bits as B
 from tilefold.operators import matrix as M
 
 SIDE = 16
@@ -70,9 +71,9 @@ def _col(p: Column) -> Column:
     return p.bitwiseAND(F.lit(15))
 
 
-def encode(tiles: DataFrame, fmt: str) -> DataFrame:
-    """(ti, tj, codes, slots) of tile_values() in one of the seven formats: the index numbers and the value slots, absent
-    places 0. Numbers are logical; functions.bits packs them into nibbles."""
+def coded(fmt: str) -> tuple[Column, Column]:
+    """Codes and slots of a tile of tile_values() in one of the seven formats: the index numbers and the value slots,
+    absent places 0. Numbers are logical; functions.bits packs them into nibbles."""
     p, v = F.col("places"), F.col("vals")
     z = F.size(p)
     every = F.sequence(F.lit(0), F.lit(15))
@@ -96,4 +97,65 @@ def encode(tiles: DataFrame, fmt: str) -> DataFrame:
         "DNS": (F.array().cast("array<int>"), F.transform(F.sequence(F.lit(0), F.lit(255)), value_at)),
     }
     codes, slots = forms[fmt]
-    return tiles.select("ti", "tj", F.transform(codes, lambda x: x.cast("int")).alias("codes"), slots.alias("slots"))
+    return F.transform(codes, lambda x: x.cast("int")), slots
+
+
+def encode(tiles: DataFrame, fmt: str) -> DataFrame:
+    """(ti, tj, codes, slots) of tile_values() in one format."""
+    codes, slots = coded(fmt)
+    return tiles.select("ti", "tj", codes.alias("codes"), slots.alias("slots"))
+
+
+def encode_chosen(tiles: DataFrame, formats: DataFrame) -> DataFrame:
+    """(ti, tj, fmt, codes, slots): each tile of tile_values() in the format (ti, tj, fmt) chosen for it."""
+    told = tiles.join(formats.select("ti", "tj", "fmt"), ["ti", "tj"])
+    codes, slots = (F.coalesce(*(F.when(F.col("fmt") == k, coded(n)[part]) for k, n in enumerate(B.FORMATS))) for part in (0, 1))
+    return told.select("ti", "tj", "fmt", codes.alias("codes"), slots.alias("slots"))
+
+
+def places_of(fmt: str) -> Column:
+    """The places of a format's value slots, by its codes."""
+    c, s = F.col("codes"), F.col("slots")
+    k = F.sequence(F.lit(0), F.size(s) - 1)
+    code = lambda n: F.element_at(c, n + 1)
+    width = code(F.lit(0)) + 1  # of a row in the padded formats, or how many rows or columns are full
+    regular = width * SIDE
+    places = {
+        "COO": lambda n: code(n + 1),
+        "CSR": lambda n: (F.size(F.filter(F.slice(c, 1, SIDE), lambda p: p <= n)) - 1) * SIDE + code(n + SIDE + 1),
+        "ELL": lambda n: F.floor(n / width).cast("int") * SIDE + code(n + 1),
+        "HYB": lambda n: F.when(n < regular, F.floor(n / width).cast("int") * SIDE + code(n + 2)).otherwise(code(n + 2)),
+        "DRW": lambda n: code(F.floor(n / SIDE).cast("int") + 1) * SIDE + n % SIDE,
+        "DCL": lambda n: n % SIDE * SIDE + code(F.floor(n / SIDE).cast("int") + 1),
+        "DNS": lambda n: n,
+    }
+    return F.transform(k, places[fmt])
+
+
+def decode(encoded: DataFrame, fmt: str) -> DataFrame:
+    """(ti, tj, place, v) of encode()'s codes and slots; padding and zeros are left out."""
+    return _decoded(encoded, places_of(fmt))
+
+
+def _decoded(encoded: DataFrame, places: Column) -> DataFrame:
+    zipped = F.arrays_zip(places.alias("place"), F.col("slots").alias("v"))
+    e = encoded.where(F.size("slots") > 0).select("ti", "tj", F.explode(zipped).alias("e"))
+    return e.select("ti", "tj", F.col("e.place").alias("place"), F.col("e.v").alias("v")).where("v <> 0")
+
+
+def decoded(encoded: DataFrame) -> DataFrame:
+    """(i, j, v) of encode_chosen()."""
+    out = _decoded(encoded, F.coalesce(*(F.when(F.col("fmt") == k, places_of(n)) for k, n in enumerate(B.FORMATS))))
+    return out.select((F.col("ti") * SIDE + _row(F.col("place"))).alias("i"), (F.col("tj") * SIDE + _col(F.col("place"))).alias("j"), "v")
+
+
+def spmv(encoded: DataFrame, x: DataFrame) -> DataFrame:
+    """(i, y) of A x for encoded tiles: a tile meets its 16 entries of x at once."""
+    slices = M.vector_slices(x)
+    e = decoded(encoded).select("i", B.tile_index("j").alias("tj"), B.local_index("j").cast("int").alias("lc"), "v")
+    return e.join(slices, "tj").groupBy("i").agg(F.sum(F.col("v") * F.element_at("slice", F.col("lc") + 1)).alias("y"))
+
+
+def spmm(encoded: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, c, y) of A B for encoded tiles and a dense B (j, c, b)."""
+    return M.spmm(decoded(encoded), b)

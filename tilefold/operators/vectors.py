@@ -88,17 +88,22 @@ def partition_point(x: DataFrame, holds: Column) -> DataFrame:
     return x.agg(first.alias("at"), F.coalesce(last < first, F.lit(True)).alias("partitioned"))
 
 
-def reverse(x: DataFrame, n: int) -> DataFrame:
-    return x.select((n - 1 - F.col("i")).alias("i"), "x")
+def reverse(x: DataFrame) -> DataFrame:
+    return x.select((length(x) - 1 - F.col("i")).alias("i"), "x")
 
 
-def rotate(x: DataFrame, k: int, n: int) -> DataFrame:
-    return x.select(F.pmod(F.col("i") - k, F.lit(n).cast("bigint")).alias("i"), "x")
+def length(x: DataFrame) -> Column:
+    """The number of entries, as a subquery of the plan."""
+    return x.agg(F.count("*")).scalar()
 
 
-def shift(x: DataFrame, k: int, n: int) -> DataFrame:
+def rotate(x: DataFrame, k: int) -> DataFrame:
+    return x.select(F.pmod(F.col("i") - k, length(x)).alias("i"), "x")
+
+
+def shift(x: DataFrame, k: int) -> DataFrame:
     """Entries k places to the left (right if negative); what leaves [0, n) is gone."""
-    return x.select((F.col("i") - k).alias("i"), "x").where((F.col("i") >= 0) & (F.col("i") < n))
+    return x.select((F.col("i") - k).alias("i"), "x").where((F.col("i") >= 0) & (F.col("i") < length(x)))
 
 
 def histogram(x: DataFrame, low, width) -> DataFrame:

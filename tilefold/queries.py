@@ -374,12 +374,8 @@ def _slots(sql: str) -> str:
 @query(_slots(" SELECT ti, tj, z AS coo, z AS csr, longest * 16 AS ell, 16 * width + tail AS hyb, 16 * rows AS drw, 16 * cols AS dcl, 256 AS dns FROM f"))
 def encoded_slots(spark, d):
     """Value slots that the seven encoders really fill."""
-    t = M.tile_values(a_sp(spark, d)).repartition(F.col("ti"), F.col("tj"))
-    out = None
-    for n in B.FORMATS:
-        one = tiled.encode(t, n).select("ti", "tj", F.size("slots").alias(n.lower()))
-        out = one if out is None else out.join(one, ["ti", "tj"])
-    return out
+    t = M.tile_values(a_sp(spark, d))
+    return t.select("ti", "tj", *(F.size(tiled.coded(n)[1]).alias(n.lower()) for n in B.FORMATS))
 
 
 _EDGES_SQL = "e AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM s WHERE i <> j AND v > 45), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -494,20 +490,17 @@ _N = "n AS (SELECT count(*) AS n FROM orders)"
 
 @query(ctes("q", more=_N) + "SELECT (i - 7 + n) % n AS i, x FROM q, n")
 def vector_rotate(spark, d):
-    x = sequence(spark, d)
-    return W.rotate(x, 7, x.count())
+    return W.rotate(sequence(spark, d), 7)
 
 
 @query(ctes("q", more=_N) + "SELECT n - 1 - i AS i, x FROM q, n")
 def vector_reverse(spark, d):
-    x = sequence(spark, d)
-    return W.reverse(x, x.count())
+    return W.reverse(sequence(spark, d))
 
 
 @query(ctes("q", more=_N) + "SELECT i - 7 AS i, x FROM q, n WHERE i - 7 >= 0 AND i - 7 < n")
 def vector_shift(spark, d):
-    x = sequence(spark, d)
-    return W.shift(x, 7, x.count())
+    return W.shift(sequence(spark, d), 7)
 
 
 @query("SELECT CAST(floor((o_totalprice - 1000) / 25000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,31 +28,41 @@ def _fields(value: str = "value") -> Column:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The banner (first line) and the first line that is neither a comment nor empty."""
-    text = spark.read.text(path)
-    banner = text.where(F.lower("value").startswith("%%matrixmarket")).first()
+    """The banner and, in its file, the first line that is neither a comment nor empty."""
+    return _header(spark, path)[0]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are neither empty nor comments but for the banner, with their file, block and number in reading order."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return text.where("trim(value) <> '' and (not startswith(value, '%') or startswith(lower(value), '%%matrixmarket'))")
+
+
+def _header(spark: SparkSession, path: str) -> tuple[Header, Column]:
+    """The header, and which of _lines() are entries."""
+    text = _lines(spark, path)
+    banner = text.where("startswith(value, '%')").first()
     if banner is None:
         raise ValueError("no Matrix Market banner")
-    _, what, layout, kind, symmetry = banner[0].lower().split()
+    _, what, layout, kind, symmetry = banner["value"].lower().split()
     if what != "matrix" or layout not in ("coordinate", "array") or kind not in KINDS or symmetry not in SYMMETRIES:
         raise ValueError(f"unsupported banner: {banner[0]}")
-    size = [int(x) for x in text.where("not startswith(value, '%') and trim(value) <> ''").first()[0].split()]
+    found = text.where((F.col("path") == banner["path"]) & ~F.col("value").startswith("%")).orderBy("block", "line").first()
+    size = [int(x) for x in found["value"].split()]
     rows, cols = size[:2]
-    return Header(layout, kind, symmetry, rows, cols, size[2] if layout == "coordinate" else rows * cols)
+    is_size = (F.col("path") == found["path"]) & (F.col("block") == found["block"]) & (F.col("line") == found["line"])
+    return Header(layout, kind, symmetry, rows, cols, size[2] if layout == "coordinate" else rows * cols), ~is_size & ~F.col("value").startswith("%")
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v) from 0. Pattern entries are 1, imaginary parts are dropped, symmetric and hermitian entries are mirrored;
     skew-symmetric ones are not. Duplicates stay."""
-    head = read_header(spark, path)
+    head, entry = _header(spark, path)
     if head.layout != "coordinate":
         raise ValueError("use read_array for array files")
-    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''")
-    size = f"{head.rows} {head.cols} {head.entries}"
-    fields = lines.select(_fields().alias("f"), F.monotonically_increasing_id().alias("line"))
-    first = fields.where(F.concat_ws(" ", "f") == size).agg(F.min("line")).first()[0]
+    fields = _lines(spark, path).where(entry).select(_fields().alias("f"))
     v = F.lit(1.0) if head.kind == "pattern" else F.col("f")[2].cast("double")
-    coo = fields.where(F.col("line") != first).select((F.col("f")[0].cast("bigint") - 1).alias("i"), (F.col("f")[1].cast("bigint") - 1).alias("j"), v.alias("v"))
+    coo = fields.select((F.col("f")[0].cast("bigint") - 1).alias("i"), (F.col("f")[1].cast("bigint") - 1).alias("j"), v.alias("v"))
     return mirrored(coo) if head.symmetry in ("symmetric", "hermitian") else coo
 
 
@@ -60,21 +70,39 @@ def mirrored(coo: DataFrame) -> DataFrame:
     return coo.unionByName(coo.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines (value, path, block, line) with `k`, their number in the order of files, blocks and lines: lines are counted
+    a block, the few counts are summed up in order, and each block is numbered alone."""
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    ahead = counts.select("path", "block", F.coalesce(F.sum("n").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    own = lines.withColumn("own", F.row_number().over(Window.partitionBy("path", "block").orderBy("line")) - 1)
+    return own.join(ahead, ["path", "block"]).select("value", (F.col("ahead") + F.col("own")).alias("k"))
+
+
 def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v) of a dense array file, whose values run down the columns; one file is one ordered text."""
-    head = read_header(spark, path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("not startswith(value, '%') and trim(value) <> ''")
-    numbered = lines.groupBy().agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("all")).select(F.posexplode("all.value").alias("k", "x")).where("k > 0").withColumn("k", F.col("k") - 1)
-    return numbered.select((F.col("k") % head.rows).cast("bigint").alias("i"), F.floor(F.col("k") / head.rows).cast("bigint").alias("j"), _fields("x")[0].cast("double").alias("v"))
+    """(i, j, v) of a dense array file, whose values run down the columns."""
+    head, entry = _header(spark, path)
+    values = numbered(_lines(spark, path).where(entry))
+    return values.select((F.col("k") % head.rows).cast("bigint").alias("i"), F.floor(F.col("k") / head.rows).cast("bigint").alias("j"), _fields()[0].cast("double").alias("v"))
+
+
+def write_array(a: DataFrame, path: str, rows: int, cols: int) -> None:
+    """A folder of text parts that together are a dense array file; absent entries are 0."""
+    spark = a.sparkSession
+    every = spark.range(rows * cols).select(F.col("id").alias("k"))
+    known = a.groupBy((F.col("j") * rows + F.col("i")).alias("k")).agg(F.sum("v").alias("v"))
+    head = spark.createDataFrame([("%%MatrixMarket matrix array real general",), (f"{rows} {cols}",)], "value string").coalesce(1)
+    body = every.join(known, "k", "left").orderBy("k").select(F.coalesce("v", F.lit(0.0)).cast("string").alias("value"))
+    head.unionByName(body).write.text(path)
 
 
-def write_matrix(coo: DataFrame, path: str, rows: int, cols: int, kind: str = "real") -> None:
-    """A folder of text parts that together are a general coordinate file; the header is in the first part by name."""
+def write_matrix(coo: DataFrame, path: str, rows: int, cols: int, kind: str = "real", symmetry: str = "general") -> None:
+    """A folder of text parts that together are a coordinate file; the header is in the first part by name."""
     spark = coo.sparkSession
     n = coo.count()
     entry = ["i", "j"] if kind == "pattern" else ["i", "j", "v"]
     shown = [F.format_string("%d", F.col(c) + 1) if c != "v" else F.col(c).cast("string") for c in entry]
-    head = spark.createDataFrame([(f"%%MatrixMarket matrix coordinate {kind} general",), (f"{rows} {cols} {n}",)], "value string").coalesce(1)
+    head = spark.createDataFrame([(f"%%MatrixMarket matrix coordinate {kind} {symmetry}",), (f"{rows} {cols} {n}",)], "value string").coalesce(1)
     head.unionByName(coo.select(F.concat_ws(" ", *shown).alias("value"))).write.text(path)
 
 
@@ -87,8 +115,10 @@ def cached(spark: SparkSession, path: str, cache: str) -> DataFrame:
 
 
 def read_tiles(spark: SparkSession, folder: str, side: int = 16) -> DataFrame:
-    """(bits, label) of labelled tile files <LABEL>.txt; shorter lines (a leading count, fragments) are left out."""
-    text = spark.read.text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)\.[^/]*$", 1).alias("label"), F.substring_index(F.trim("value"), " ", 1).alias("line"))
+    """(bits, label) of labelled tile files <LABEL>.txt or folders label=<LABEL>; shorter lines (a leading count, fragments) are left out."""
+    text = spark.read.text(folder)
+    label = F.col("label") if "label" in text.columns else F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)\.[^/]*$", 1)
+    text = text.select(label.alias("label"), F.substring_index(F.trim("value"), " ", 1).alias("line"))
     return text.where(F.length("line") >= side * side).select(F.substring("line", 1, side * side).alias("bits"), "label")
 
 
@@ -106,3 +136,9 @@ def list_matrices(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the .mtx files of a folder that do not start with an underscore."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mtx").load(folder)
     return files.select(F.regexp_extract("path", r"([^/]+)\.mtx$", 1).alias("name")).where("name <> '' and not startswith(name, '_')")
+
+
+def tile_matrix(tiles: DataFrame, side: int = 16) -> DataFrame:
+    """(i, j, v) of tiles (ti, tj, bits), every set bit a one."""
+    ones = tiles.select("ti", "tj", F.posexplode(F.split("bits", "")).alias("p", "bit")).where("bit = '1'")
+    return ones.select((F.col("ti") * side + F.floor(F.col("p") / side)).alias("i"), (F.col("tj") * side + F.col("p") % side).alias("j"), F.lit(1.0).alias("v"))
