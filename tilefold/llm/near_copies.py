@@ -33,6 +33,8 @@ BANDS, ROWS, BINS, WORDS, SIMILARITY = 32, 6, 512, 5, 0.8
 EMPTY = 255
 #: Standard errors from the threshold at which the estimate settles a pair; members of a block.
 CLEAR, BLOCK = 5, 256
+#: Node ids that are broadcast at most (16 MB).
+FEW = 1_000_000
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -184,8 +186,11 @@ def compared(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """node and text of the members of the groups."""
-    return docs.select(F.col("doc_id").alias("node"), "text").join(groups.select("node").distinct(), "node").dropDuplicates(["node", "text"])
+    """node and text of the members of the groups; all texts are shuffled only if the members are more than FEW."""
+    wanted = groups.select("node").distinct()
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    return docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").dropDuplicates(["node", "text"])
 
 
 def stars(pairs: DataFrame) -> DataFrame:
