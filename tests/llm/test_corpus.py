@@ -399,6 +399,25 @@ def test_near_copies_of_one_template(spark):
     assert {x["doc_id"] for x in op3_simhash.keep_first(df).collect()} == set(group.values())
 
 
+def test_near_copies_blocks_of_a_value(spark, monkeypatch):
+    """Every two members of a value and of different classes meet; the members of the largest class do not meet each other."""
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rows = [(5, n, 1 if n < 400 else n if n < 420 else 420) for n in range(430)] + [(6, n, n) for n in range(30)] + [(7, n, 1) for n in range(30)]
+    dealt = near_copies.crossed(spark.createDataFrame(rows, "value bigint, node bigint, class bigint")).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault(r["g"], []).append((r["node"], r["class"], r["side"]))
+    met = {}
+    for held in groups.values():
+        for i, (u, a, x) in enumerate(held):
+            for v, b, y in held[i + 1 :]:
+                if a != b and (x != y or x == 2):
+                    met[min(u, v), max(u, v)] = met.get((min(u, v), max(u, v)), 0) + 1
+    five, six = rows[:430], rows[430:460]
+    assert set(met) == {(u[1], v[1]) for part in (five, six) for u in part for v in part if u[1] < v[1] and u[2] != v[2]}
+    assert len(dealt) < 400 * 10 + 30 * (10 + 70) + 30 * 10  # 430 * 54 if all blocks met
+
+
 def test_near_copies_with_passages_added_or_dropped(spark):
     import random
 

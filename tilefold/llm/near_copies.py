@@ -6,7 +6,8 @@ similarity 0.8 has one in common with probability 1 - (1 - 0.8 ** 6) ** 32 = 0.9
 
 All pairs of a value are compared or already joined. First each member is compared with the earliest document there,
 which joins nearly all copies to what they were made from. Then the values whose other members are still in several
-classes are dealt in blocks, and every pair of members of different classes is compared. A comparison is exact, on the
+classes are dealt in blocks, and every pair of members of different classes is compared; those of a value's largest
+class only with the others there, so a group of copies costs its size, not its square. A comparison is exact, on the
 shingle sets of the two texts; only of the first ones, those that the estimate from one-permutation minima (BINS bins
 of 8 bits) puts five standard errors from the threshold are settled by it.
 
@@ -202,11 +203,17 @@ def stars(pairs: DataFrame) -> DataFrame:
 
 
 def crossed(members: DataFrame) -> DataFrame:
-    """Groups of the members (value, node, class) of values with several classes: every two blocks of BLOCK or so of a value."""
+    """Groups of the members (value, node, class) of values with several classes, in blocks of BLOCK or so: those outside
+    the value's largest class meet each other and those of that class, whose members do not meet each other."""
     values = members.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).where("lo <> hi")
-    once = values.groupBy("n", "s").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK).alias("blocks"))  # values of the same members need one comparison
-    own = members.join(once, "value").withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "blocks"))
-    dealt = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    once = values.groupBy("n", "s").agg(F.min("value").alias("value"))  # values of the same members need one comparison
+    own = members.join(once.select("value", "n"), "value")
+    sizes = own.groupBy("value", "class").agg(F.count("*").alias("size"), F.first("n").alias("n"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct("size", "class")).alias("top"), F.first("n").alias("n"))
+    blocks = largest.select("value", F.col("top.class").alias("main"), F.ceil((F.col("n") - F.col("top.size")) / BLOCK).alias("others"), F.ceil(F.col("top.size") / BLOCK).alias("mains"))
+    inside = F.col("class") == F.col("main")
+    own = members.join(blocks, "value").withColumn("b", F.when(inside, F.col("others") + F.pmod(F.xxhash64("node", F.lit(1)), "mains")).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), "others")))
+    dealt = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     side = F.when(F.col("b") == F.col("c"), 2).when(F.col("b") < F.col("c"), 0).otherwise(1)
     return dealt.select(F.xxhash64("value", F.least("b", "c"), F.greatest("b", "c")).alias("g"), "node", "class", side.alias("side"))
 
