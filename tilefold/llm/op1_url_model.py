@@ -32,6 +32,7 @@ BACKOFF = 4.0
 ALPHABET = 256
 #: Of urls by hash: remainder 0 of this calibrates, the others are counted.
 FOLDS = 5
+#: Rows of grams and ratios that are broadcast at most: 48 bytes each (5 characters, a double, the row's own), so 24 MB.
 BROADCAST = 500_000
 START, END = "\x02", "\x03"
 
