@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of the table of pre-tokens in one Python worker (some 200 bytes each).
-TABLE = 1_000_000
+TABLE = 500_000
 #: Longest pre-token that is kept.
 LONGEST = 64
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -50,6 +50,12 @@ def encoder(path: str, kind: str) -> Encoder:
     return _encoders[path, kind]
 
 
+def forget() -> None:
+    """Gives back the memory of this worker's encoders; a later task that needs one makes it anew."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies use for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

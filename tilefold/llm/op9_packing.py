@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tilefold.llm import common as C
-from tilefold.llm.bpe_words import encoder
+from tilefold.llm.bpe_words import encoder, forget
 
 LENGTH = 4096
+#: Bytes of texts that are encoded at once.
+GATHERED = 4 << 20
 DIMS, BITS, HASHED = 3, 12, 256
 _random = np.random.default_rng(9)
 PROJECTION = _random.standard_normal((HASHED, DIMS))
@@ -83,7 +85,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         e, uid = encoder(path, "words"), TaskContext.get().partitionId() << 40
         dtype, end = np.dtype("<u2" if e.width == 2 else "<u4"), end_id.to_bytes(e.width, "little")
-        for b in C.gathered(batches):
+        for b in C.gathered(batches, GATHERED):
             raw = e.batch(b.column("text"))
             keys = curve_keys(np.array([document_vector(np.frombuffer(r, dtype)) for r in raw]).reshape(-1, HASHED))
             uids = np.arange(uid, uid + len(raw))
@@ -112,6 +114,7 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, width: i
                     yield i, start, m, zlib.crc32(wide[start : start + m].tobytes()), n, s, o
                     start += m
 
+        forget()  # the worker may have encoded before; its table is not needed beside the ids
         for b in batches:
             yield from C.record_batches(rows(b), PIECES)
 
