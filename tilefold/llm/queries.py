@@ -11,8 +11,9 @@ from tilefold.llm import (
     op8_quality,
     op9_packing,
     op10_token_counts,
+    op12_vector_codes,
 )
 
-MODULES = [op1_url_model, op2_decontamination, op3_simhash, op4_suffix_dedup, op5_content_store, op6_secrets, op7_compression_bands, op8_quality, op9_packing, op10_token_counts]
+MODULES = [op1_url_model, op2_decontamination, op3_simhash, op4_suffix_dedup, op5_content_store, op6_secrets, op7_compression_bands, op8_quality, op9_packing, op10_token_counts, op12_vector_codes]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
