@@ -3,8 +3,8 @@
 Three patterns find plain secrets (the base spans). Their values are labelled credentials, from which one
 probabilistic automaton a kind is inferred: the prefix tree of the values, spelled in character classes, is folded by
 merging states whose transition and end frequencies are statistically compatible (Hoeffding's bound). Merging forgets
-how long the values are, so an automaton keeps their lengths beside its states. Every other run of 12 credential
-characters or more is a candidate; its mean log-likelihood a character under the best automaton, less that under a
+how long the values are, so an automaton keeps their lengths beside its states. Every run of 12 credential characters or
+more that base spans do not cover is a candidate, and so are its pieces beside such spans; a candidate's mean log-likelihood a character under the best automaton, less that under a
 model of ordinary candidates, is its score, and those that score as nearly all labelled credentials do become spans too.
 
 The texts are read once: base spans and candidates are staged (a few short strings a document), the automata are
@@ -37,8 +37,12 @@ ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+LEAST_CANDIDATE = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
+#: Signs that part a credential from what stands beside it in a run.
+PARTING = "+/_.=-"
 LEARNED = "learned"
+BESIDE = "beside"
 #: Labelled credentials of each kind that are learned from at most, and their characters together.
 SAMPLE, LONGEST = 1000, 1 << 22
 #: Depth of the prefix tree; a state there returns to itself.
@@ -65,16 +69,35 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 12 or more credential characters, clear of base spans."""
-    clear, at, end = [], 0, 0  # end: how far base spans that start before the candidate's end reach
+def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str | None, str]]:
+    """(start, end, None, value) of runs of 12 or more credential characters clear of base spans, by start. A run that
+    such spans touch but do not cover is a candidate of kind BESIDE, as is each piece of it beside them that has 12
+    characters without the signs that part it from the span."""
+    out, at, reach = [], 0, 0  # reach: how far base spans that start before the run's end go
     for m in CANDIDATE.finditer(text):
+        start, cuts = m.start(), [(m.start(), min(reach, m.end()))] if reach > m.start() else []
         while at < len(base) and base[at][0] < m.end():
-            end = max(end, base[at][1])
+            s, e = max(base[at][0], start), base[at][1]
             at += 1
-        if end <= m.start():
-            clear.append((m.start(), m.end(), m[0]))
-    return clear
+            if e > start and e > reach:
+                cuts.append((max(s, reach), min(e, m.end())))
+            reach = max(reach, e)
+        if not cuts:
+            out.append((start, m.end(), None, m[0]))
+            continue
+        if sum(e - s for s, e in cuts) == m.end() - start:
+            continue
+        out.append((start, m.end(), BESIDE, m[0]))
+        ends = [start, *(x for c in cuts for x in c), m.end()]
+        for k in range(0, len(ends), 2):
+            s, e = ends[k], ends[k + 1]
+            while k and s < e and text[s] in PARTING:
+                s += 1
+            while k + 2 < len(ends) and e > s and text[e - 1] in PARTING:
+                e -= 1
+            if e - s >= LEAST_CANDIDATE:
+                out.append((s, e, BESIDE, text[s:e]))
+    return out
 
 
 def spelled(value: str) -> str:
@@ -204,7 +227,7 @@ class Formats:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """All spans of a text: base ones, then candidates that fit a format, by start."""
         base = base_spans(text)
-        return sorted([s[:3] for s in base] + [(s, e, LEARNED) for s, e, v in candidates(text, base) if self.fits(v)], key=lambda s: (s[0], (*KINDS, LEARNED).index(s[2])))
+        return sorted([s[:3] for s in base] + [(s, e, LEARNED) for s, e, _, v in candidates(text, base) if self.fits(v)], key=lambda s: (s[0], (*KINDS, LEARNED).index(s[2])))
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("kinds", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
@@ -212,13 +235,13 @@ FOUND_SQL = "doc_id bigint, kinds array<string>, starts array<bigint>, ends arra
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id with the base spans and the candidates (kind null) of every whole text."""
+    """doc_id with the base spans and the candidates (kind null or BESIDE) of every whole text."""
 
     def make():
         def rows(ids, texts):
             for i, t in zip(ids, texts):
                 base = base_spans(t)
-                found = base + [(s, e, None, v) for s, e, v in candidates(t, base)]
+                found = base + candidates(t, base)
                 yield i, [f[2] for f in found], [f[0] for f in found], [f[1] for f in found], [f[3] for f in found]
 
         return rows
@@ -230,7 +253,7 @@ PAIRS = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
 
 def class_pairs(found: DataFrame) -> dict[tuple[str, str], int]:
-    """How often each pair of character classes occurs in all candidates."""
+    """How often each pair of character classes occurs in all candidates that are clear of base spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -269,7 +292,7 @@ def scan(found: DataFrame, formats: Formats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(b):
             for i, kinds, starts, ends, texts in zip(*(c.to_pylist() for c in b.columns)):
-                spans = [(s, e, k or LEARNED) for k, s, e, v in zip(kinds, starts, ends, texts) if k or formats.fits(v)]
+                spans = [(s, e, k if k in KINDS else LEARNED) for k, s, e, v in zip(kinds, starts, ends, texts) if k in KINDS or formats.fits(v)]
                 spans.sort(key=lambda s: (s[0], (*KINDS, LEARNED).index(s[2])))
                 said = [f"{k}:{s}:{e}" for s, e, k in spans if k != LEARNED]
                 n = Counter(k for _, _, k in spans)
