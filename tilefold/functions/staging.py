@@ -5,16 +5,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables of saved() are, while their DataFrames live.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written below the shared folder and read again."""
+
+def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written below the shared folder and read again. A table that saved() gave before, and that nothing reads any more
+    once this one is written, is removed: a loop keeps one round's tables and not all."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
+    if instead_of is not None and id(instead_of) in _PATHS:
+        _remove(spark, _PATHS.pop(id(instead_of))[1])
+    return out
 
 
 def new_path(spark: SparkSession, name: str) -> str:

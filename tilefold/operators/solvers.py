@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,26 @@ def times(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
-def _saved(x: DataFrame) -> DataFrame:
-    return saved(x, "vectors")
+def _saved(x: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    return saved(x, "vectors", instead_of)
 
 
-def conjugate_gradients(a: DataFrame, b: DataFrame, steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
-    """x with A x = b for a symmetric positive definite A; b is a vector with an entry for every row."""
-    x, r = b.select("i", F.lit(0.0).alias("x")), b
-    p, rr = r, dot(r, r)
+def conjugate_gradients(a: DataFrame, b: DataFrame, steps: int = 100, tolerance: float = 1e-10, precondition: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """x with A x = b for a symmetric positive definite A; b is a vector with an entry for every row. `precondition` gives
+    M^-1 r for a residual r, M being near A (factors.Factors.solve); it has to be symmetric positive definite too."""
+    near = precondition or (lambda r: r)
+    x, r = b.select("i", F.lit(0.0).alias("x")), _saved(b)
+    p = _saved(near(r))
+    rz = dot(r, p)
     for _ in range(steps):
-        if rr <= tolerance**2:
+        if dot(r, r) <= tolerance**2:
             break
         ap = _saved(times(a, p))
-        alpha = rr / dot(p, ap)
-        x, r = _saved(axpby(1.0, x, alpha, p)), _saved(axpby(1.0, r, -alpha, ap))
-        rr, before = dot(r, r), rr
-        p = _saved(axpby(1.0, r, rr / before, p))
+        alpha = rz / dot(p, ap)
+        x, r = _saved(axpby(1.0, x, alpha, p), x), _saved(axpby(1.0, r, -alpha, ap), r)
+        z = near(r)
+        rz, before = dot(r, z), rz
+        p = _saved(axpby(1.0, z, rz / before, p), p)
     return x
 
 
@@ -52,7 +58,7 @@ def jacobi(a: DataFrame, b: DataFrame, steps: int = 20) -> DataFrame:
     d = a.where("i = j").groupBy("i").agg(F.sum("v").alias("d"))
     off, x = a.where("i <> j"), b.select("i", F.lit(0.0).alias("x"))
     for _ in range(steps):
-        x = _saved(axpby(1.0, b, -1.0, times(off, x)).join(d, "i").select("i", (F.col("x") / F.col("d")).alias("x")))
+        x = _saved(axpby(1.0, b, -1.0, times(off, x)).join(d, "i").select("i", (F.col("x") / F.col("d")).alias("x")), x)
     return x
 
 
@@ -70,7 +76,7 @@ def gauss_seidel(a: DataFrame, b: DataFrame, colours: DataFrame, sweeps: int = 1
             own = rows.where(F.col("colour") == c)
             sums = times(off.join(own.select("i"), "i", "left_semi"), x).withColumnRenamed("x", "s")
             new = own.join(sums, "i", "left").select("i", ((F.col("b") - F.coalesce("s", F.lit(0.0))) / F.col("d")).alias("n"))
-            x = _saved(x.join(new, "i", "left").select("i", F.when(F.col("n").isNull(), F.col("x")).otherwise((1 - omega) * F.col("x") + omega * F.col("n")).alias("x")))
+            x = _saved(x.join(new, "i", "left").select("i", F.when(F.col("n").isNull(), F.col("x")).otherwise((1 - omega) * F.col("x") + omega * F.col("n")).alias("x")), x)
     return x
 
 
@@ -91,16 +97,18 @@ def triangular_solve(t: DataFrame, b: DataFrame) -> DataFrame:
         done = ready if done is None else done.unionByName(ready)
         told = off.join(ready.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"), F.count("*").alias("n"))
         left = open_.where("waits > 0").join(told, "i", "left")
-        open_ = _saved(left.select("i", (F.col("r") - F.coalesce("s", F.lit(0.0))).alias("r"), "d", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits")))
+        open_ = _saved(left.select("i", (F.col("r") - F.coalesce("s", F.lit(0.0))).alias("r"), "d", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits")), open_)
     if not open_.isEmpty():
         raise ValueError("the matrix is not triangular")
     return done if done is not None else b.select("i", "x")
 
 
-def gmres(a: DataFrame, b: DataFrame, restart: int = 15, cycles: int = 10, tolerance: float = 1e-10) -> DataFrame:
-    """x with A x = b for any regular A, by restarted minimal residuals; the small least-squares problem is the driver's."""
+def gmres(a: DataFrame, b: DataFrame, restart: int = 15, cycles: int = 10, tolerance: float = 1e-10, precondition: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """x with A x = b for any regular A, by restarted minimal residuals; the small least-squares problem is the driver's.
+    `precondition` gives M^-1 r; the residuals of A M^-1 are those of A itself."""
     import numpy as np
 
+    near = precondition or (lambda r: r)
     x = b.select("i", F.lit(0.0).alias("x"))
     for _ in range(cycles):
         r = _saved(axpby(1.0, b, -1.0, times(a, x)))
@@ -111,10 +119,10 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 15, cycles: int = 10, toler
         h = np.zeros((restart + 1, restart))
         k = 0
         while k < restart:
-            w = _saved(times(a, basis[k]))
+            w = _saved(times(a, near(basis[k])))
             for n, q in enumerate(basis):  # modified Gram-Schmidt
                 h[n, k] = dot(w, q)
-                w = _saved(axpby(1.0, w, -h[n, k], q))
+                w = _saved(axpby(1.0, w, -h[n, k], q), w)
             h[k + 1, k] = dot(w, w) ** 0.5
             k += 1
             if h[k, k - 1] <= tolerance:
@@ -122,9 +130,11 @@ def gmres(a: DataFrame, b: DataFrame, restart: int = 15, cycles: int = 10, toler
             basis.append(_saved(w.select("i", (F.col("x") / float(h[k, k - 1])).alias("x"))))
         e = np.zeros(k + 1)
         e[0] = beta
+        step = None
         for y, q in zip(np.linalg.lstsq(h[: k + 1, :k], e, rcond=None)[0], basis):
-            x = axpby(1.0, x, float(y), q)
-        x = _saved(x)
+            own = q.select("i", (F.col("x") * float(y)).alias("x"))
+            step = own if step is None else step.unionByName(own)
+        x = _saved(axpby(1.0, x, 1.0, near(_saved(step.groupBy("i").agg(F.sum("x").alias("x"))))), x)
     return x
 
 
