@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from tilefold import queries, queries_factors, queries_solvers, queries_sources, queries_tiles  # noqa: F401
+from tilefold import queries, queries_factors, queries_scans, queries_solvers, queries_sources, queries_tiles  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilefold.functions import bits as B
+from tilefold.operators.scans import scan
 
 
 def matrix(rows: DataFrame, i: str, j: str, v: str) -> DataFrame:
@@ -26,12 +27,12 @@ def add(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> Da
 def spmv(a: DataFrame, x: DataFrame, alpha: float = 1.0, salts: int = 1) -> DataFrame:
     """(i, y) of A x for x (j, x); rows without entries are absent. Spark broadcasts x if it is small by its statistics.
 
-    With salts, a row's products are summed in so many parts before they meet; partial aggregation does the same
+    With salts, a row's products are summed in so many parts, by their columns, before they meet; partial aggregation does the same
     within a task, so this is for rows whose entries are spread thinly over very many tasks.
     """
-    products = a.join(x, "j").select("i", (F.col("v") * F.col("x") * alpha).alias("p"))
+    products = a.join(x, "j").select("i", F.pmod(F.xxhash64("j"), F.lit(salts)).alias("salt"), (F.col("v") * F.col("x") * alpha).alias("p"))
     if salts > 1:
-        products = products.groupBy("i", (F.rand(0) * salts).cast("int").alias("salt")).agg(F.sum("p").alias("p"))
+        products = products.groupBy("i", "salt").agg(F.sum("p").alias("p"))
     return products.groupBy("i").agg(F.sum("p").alias("y"))
 
 
@@ -145,14 +146,9 @@ def index_words(a: DataFrame) -> DataFrame:
     return t.groupBy("ti", F.shiftright("tj", 5).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
-def exclusive_scan(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """rows with `before`, the sum of value over all smaller orders, in two levels: blocks of 2**16 orders are summed,
-    the few block sums are scanned, and each block is scanned alone, so no task holds all rows."""
-    blocked = rows.withColumn("__block", F.shiftright(order, 16))
-    sums = blocked.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    ahead = sums.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocked.withColumn("__own", own).join(ahead, "__block").withColumn("before", F.col("__ahead") + F.col("__own")).drop("__block", "__own", "__ahead")
+def exclusive_scan(rows: DataFrame, order: str | list[str], value: str) -> DataFrame:
+    """rows with `before`, the sum of value over all smaller orders; see scans.scan()."""
+    return scan(rows, [order] if isinstance(order, str) else order, value, "before", inclusive=False)
 
 
 def row_pointers(a: DataFrame) -> DataFrame:
@@ -161,9 +157,9 @@ def row_pointers(a: DataFrame) -> DataFrame:
     return exclusive_scan(counts, "i", "nnz").select("i", "nnz", F.col("before").alias("start"), (F.col("before") + F.col("nnz")).alias("stop"))
 
 
-def positions(a: DataFrame, by: str = "i", order: str = "j") -> DataFrame:
-    """Entries with their place in their row."""
-    return a.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+def positions(a: DataFrame, by: str = "i", order: str | list[str] = "j") -> DataFrame:
+    """Entries with their place in their row; a long row is scanned in several ranges."""
+    return scan(a, [order] if isinstance(order, str) else order, F.lit(1), "pos", by=[by], inclusive=False)
 
 
 def balance(a: DataFrame, most: int = 4) -> DataFrame:
@@ -276,9 +272,7 @@ def lower_bound(ids: DataFrame, keys: DataFrame) -> DataFrame:
 
 def packed_offsets(sized: DataFrame) -> DataFrame:
     """Tiles (ti, tj, bytes) with the place of their data if all tiles are packed in row order."""
-    rows = exclusive_scan(sized.groupBy("ti").agg(F.sum("bytes").alias("total")), "ti", "total").select("ti", "before")
-    own = F.coalesce(F.sum("bytes").over(Window.partitionBy("ti").orderBy("tj").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sized.withColumn("own", own).join(rows, "ti").select("ti", "tj", "bytes", (F.col("before") + F.col("own")).cast("bigint").alias("at"))
+    return exclusive_scan(sized, ["ti", "tj"], "bytes").select("ti", "tj", "bytes", F.col("before").cast("bigint").alias("at"))
 
 
 def flat_rows(a: DataFrame) -> DataFrame:
@@ -287,10 +281,8 @@ def flat_rows(a: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: str, *then: str | Column) -> DataFrame:
-    """rows with `rank`, their place in the order of a long key and further columns; rows of one key meet in one task."""
-    ahead = exclusive_scan(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n").select(key, "before")
-    own = F.row_number().over(Window.partitionBy(key).orderBy(*then)) - 1
-    return rows.withColumn("own", own).join(ahead, key).withColumn("rank", F.col("before") + F.col("own")).drop("own", "before")
+    """rows with `rank`, their place in the order of a key and further columns. Rows of one key may lie in several ranges."""
+    return scan(rows, [key, *then], F.lit(1), "rank", inclusive=False)
 
 
 def compression(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -110,14 +110,14 @@ def segments_sorted(spark, d):
     """Rows as segments, sorted by value; the bin is of their length."""
     o = a_op(spark, d)
     lengths = M.bins(o.groupBy("i").agg(F.count("*").alias("n")), "n", [1, 2, 4, 8])
-    placed = o.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("v", "j"))).alias("e")).select("i", F.posexplode("e").alias("pos", "e"))
-    return placed.join(lengths, "i").select("i", F.col("e.j").alias("j"), "pos", F.col("bin").cast("int").alias("bin"))
+    placed = M.positions(o, "i", ["v", "j"])
+    return placed.join(lengths, "i").select("i", "j", F.col("pos").cast("int").alias("pos"), F.col("bin").cast("int").alias("bin"))
 
 
 @query(ctes("o") + "SELECT ti, tj, CAST(row_number() OVER (PARTITION BY ti ORDER BY tj) - 1 AS INT) AS pos FROM (SELECT DISTINCT i // 16 AS ti, j // 16 AS tj FROM o)")
 def tile_columns_sorted(spark, d):
-    t = M.elements(a_op(spark, d)).groupBy("ti").agg(F.array_sort(F.collect_set("tj")).alias("all"))
-    return t.select("ti", F.posexplode("all").alias("pos", "tj"))
+    t = M.elements(a_op(spark, d)).select("ti", "tj").distinct()
+    return M.positions(t, "ti", "tj").select("ti", "tj", F.col("pos").cast("int").alias("pos"))
 
 
 @query(ctes("a") + "SELECT i // 16 AS ti, j // 16 AS tj, CAST(row_number() OVER (PARTITION BY i // 16, j // 16 ORDER BY j, i) - 1 AS INT) AS pos, i, j, v FROM a")
