@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilefold.operators import scans as S
+from tilefold.operators import transforms as T
 from tilefold.queries import query
 
 #: The embeddings as an image: a row a vector, whole thousandths.
@@ -51,3 +52,42 @@ def box_sums(spark, d):
     i0, j0 = c * 7 % 480 - 10, c % 70 - 4
     boxes = spark.read.parquet(f"{d}/customer.parquet").select(c.alias("box"), i0.alias("i0"), j0.alias("j0"), (i0 + F.col("c_nationkey") * 3).alias("i1"), (j0 + c % 20).alias("j1"))
     return S.box_sums(S.summed_area(image(spark, d)), boxes).select("box", F.col("s").cast("bigint").alias("s"))
+
+
+@query(
+    "WITH x AS (SELECT CAST(o_orderkey AS BIGINT) AS i, CAST(o_custkey % 5 - 1 AS BIGINT) AS x FROM orders), k AS (SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey - 2 AS BIGINT) AS w FROM nation), "
+    "s AS (SELECT x.i + k.i AS i, sum(x * w) AS v FROM x, k GROUP BY 1), n AS (SELECT unnest(range((SELECT max(i) FROM x) + (SELECT max(i) FROM k) + 1)) AS i) SELECT n.i, CAST(coalesce(v, 0) AS BIGINT) AS x FROM n LEFT JOIN s USING (i)"
+)
+def fourier_convolution(spark, d):
+    """A sequence of the orders with one of the nations."""
+    x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("i"), (F.col("o_custkey") % 5 - 1).alias("x"))
+    k = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("i"), (F.col("n_regionkey") - 2).alias("x"))
+    return T.convolution(x, k).select("i", F.round("x").cast("bigint").alias("x"))
+
+
+@query(f"WITH {IMAGE}, w AS (SELECT unnest(range(64)) AS k), s AS (SELECT e.i, w.k, sum(v * cos(2 * pi() * ((e.j * w.k) % 64) / 64)) AS re, sum(-v * sin(2 * pi() * ((e.j * w.k) % 64) / 64)) AS im FROM e, w GROUP BY 1, 2) SELECT i AS batch, k AS i, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM s")
+def fourier_rows(spark, d):
+    """The transform of each embedding."""
+    x = image(spark, d).select(F.col("i").alias("batch"), F.col("j").alias("i"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return T.fourier(x, 64, ["batch"]).select("batch", "i", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("re", "im")))
+
+
+_COSINES = "b AS (SELECT u, k, sqrt((CASE WHEN u = 0 THEN 1 ELSE 2 END) / 8.0) * cos((2 * k + 1) * u * pi() / 16) AS b FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS k))"
+_FORWARD = "c AS (SELECT e.i // 8 AS bi, e.j // 8 AS bj, p.u AS u, q.u AS w, sum(e.v * p.b * q.b) AS v FROM e JOIN b p ON p.k = e.i % 8 JOIN b q ON q.k = e.j % 8 GROUP BY ALL), z AS (SELECT bi, bj, u, w, CAST(floor(v / (16 + 2 * (u + w)) + 0.5 + 1e-9) AS BIGINT) AS q FROM c)"
+
+
+def _step():
+    return F.lit(16) + 2 * (F.col("i") % 8 + F.col("j") % 8)
+
+
+@query(f"WITH {IMAGE}, {_COSINES}, {_FORWARD} SELECT bi * 8 + u AS i, bj * 8 + w AS j, q FROM z")
+def cosine_blocks(spark, d):
+    """Quantised coefficients of the image's 8x8 blocks."""
+    return T.quantised(T.cosine_blocks(image(spark, d)), _step())
+
+
+@query(f"WITH {IMAGE}, {_COSINES}, {_FORWARD}, r AS (SELECT z.bi, z.bj, p.k AS x, q.k AS y, sum(z.q * (16 + 2 * (z.u + z.w)) * p.b * q.b) AS v FROM z JOIN b p ON p.u = z.u JOIN b q ON q.u = z.w GROUP BY ALL) SELECT bi * 8 + x AS i, bj * 8 + y AS j, round(v, 4) + 0.0 AS v FROM r")
+def cosine_round_trip(spark, d):
+    """The image that the quantised coefficients stand for."""
+    q = T.quantised(T.cosine_blocks(image(spark, d)), _step())
+    return T.cosine_blocks(T.dequantised(q, _step()), inverse=True).select("i", "j", (F.round("v", 4) + F.lit(0.0)).alias("v"))
