@@ -161,6 +161,14 @@ def test_store(spark, odd):
     bad = store._replace(recipes=store.recipes + "-bad")
     changed.write.parquet(bad.recipes)
     assert not op5_content_store.verify(spark, bad)
+    for read in (op5_content_store.check_sums, op5_content_store.read_ids):
+        with pytest.raises(ValueError, match="damaged"):
+            read(spark, bad, 2)
+    fewer = store._replace(recipes=store.recipes + "-fewer")
+    part = spark.read.parquet(store.recipes).agg(F.min("__part")).first()[0]
+    spark.read.parquet(store.recipes).where(F.col("__part") != part).write.parquet(fewer.recipes)
+    with pytest.raises(ValueError, match="damaged"):
+        op5_content_store.recipes(spark, fewer)
     empty = op5_content_store.write_store(docs.limit(0), C.new_path(spark, "test"), public_tokenizers.path("byte_bpe_50k.json"))
     assert op5_content_store.check_sums(spark, empty, 2).count() == 0
 

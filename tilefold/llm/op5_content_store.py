@@ -216,8 +216,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
 
 
 def recipes(spark: SparkSession, store: Store) -> DataFrame:
-    """doc_id, start, rank, n_tokens, recipe: the parts' places come from the manifest, of one row a part."""
-    rows = spark.read.parquet(store.manifest).select("__part", "n_tokens", "n_docs").orderBy("__part").collect()
+    """doc_id, start, rank, n_tokens, recipe: the parts' places come from the manifest, of one row a part. Each part's
+    recipes must still have the Merkle root in it, or the read stops."""
+    rows = spark.read.parquet(store.manifest).select("__part", "n_tokens", "n_docs", "root").orderBy("__part").collect()
+    found = {r["__part"]: bytes(r["root"]) for r in _roots(spark.read.parquet(store.recipes)).collect()}
+    if found != {r["__part"]: bytes(r["root"]) for r in rows}:
+        raise ValueError("recipes and manifest differ: the store is damaged")
     at, rank, first = 0, 0, []
     for r in rows:
         first.append((r["__part"], at, rank))
@@ -268,11 +272,30 @@ def check_sums(spark: SparkSession, store: Store, width: int) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, store: Store, width: int) -> DataFrame:
-    """doc_id, start, ids: each document put together again from its chunks (one document's chunks meet in one row)."""
-    joined = _references(recipes(spark, store)).join(spark.read.parquet(store.chunks), "hash")
-    rows = joined.groupBy("rank").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("chunks"))
-    unpack = F.udf(lambda chunks: np.frombuffer(b"".join(bytes(c["ids"]) for c in chunks), "<u2" if width == 2 else "<u4").tolist(), "array<int>")
-    return rows.select("doc_id", "start", unpack("chunks").alias("ids"))
+    """doc_id, start, ids: each document put together again from its chunks, which a task meets in order."""
+    C.tune(spark)
+    joined = _references(recipes(spark, store)).join(spark.read.parquet(store.chunks).select("hash", "ids"), "hash")
+    ordered = joined.select("rank", "doc_id", "start", "seq", "ids").repartition("rank").sortWithinPartitions("rank", "seq")
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype, last, held = np.dtype("<u2" if width == 2 else "<u4"), None, []
+
+        def row():
+            ids = np.frombuffer(b"".join(held), dtype).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], schema=schema)
+
+        for b in batches:
+            for rank, doc_id, start, _, ids in zip(*(c.to_pylist() for c in b.columns)):
+                if last is not None and rank != last[0]:
+                    yield row()
+                    held = []
+                last = (rank, doc_id, start)
+                held.append(ids)
+        if last is not None:
+            yield row()
+
+    return ordered.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
 
 
 def verify(spark: SparkSession, store: Store) -> bool:
