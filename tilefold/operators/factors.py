@@ -124,3 +124,62 @@ def _all(tables: list[DataFrame], none: DataFrame) -> DataFrame:
     for t in tables:
         out = out.unionByName(t)
     return out
+
+
+def _inverted_tiles(t: DataFrame, side: int) -> DataFrame:
+    """(i, j, v): the inverse of each lower triangular diagonal tile; rows without an entry count as those of 1."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tilefold.operators import batched
+    from tilefold.operators.matrix import blocks
+
+    own = blocks(t.where(F.floor(F.col("i") / side) == F.floor(F.col("j") / side)), side).select("bi", "vals")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a = b.column("vals").flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side).copy()
+            absent = ~a.any(2)
+            n, k = np.nonzero(absent)
+            a[n, k, k] = 1.0
+            unit = np.broadcast_to(np.eye(side), a.shape)
+            inverse = np.stack([batched.triangular(a, unit[:, :, c]) for c in range(side)], 2)
+            inverse[absent] = 0.0
+            n, r, c = np.nonzero(inverse)
+            at = b.column("bi").to_numpy()[n] * side
+            yield pa.RecordBatch.from_arrays([pa.array(at + r), pa.array(at + c), pa.array(inverse[n, r, c])], names=["i", "j", "v"])
+
+    return own.mapInArrow(run, "i bigint, j bigint, v double")
+
+
+def block_triangular_solve(t: DataFrame, b: DataFrame, side: int = 16, lower: bool = True) -> DataFrame:
+    """X (i, c, x) with T X = B for a triangular T (i, j, v) with a full diagonal and right sides B (i, c, x), c being the
+    right side, with an entry for every row and side.
+
+    T is cut into tiles, and those on the diagonal are inverted at once. A row of tiles is solved once all that its
+    other tiles meet are: their products are taken from B, and the inverted tile is multiplied by the rest. So rounds
+    follow the longest chain of tiles and not of rows, whatever the number of right sides.
+    """
+    if not lower:
+        turned = block_triangular_solve(t.select((-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "v"), b.select((-F.col("i")).alias("i"), "c", "x"), side)
+        return turned.select((-F.col("i")).alias("i"), "c", "x")
+    tile = lambda c: F.floor(F.col(c) / side)
+    if not t.where("j > i").isEmpty():
+        raise ValueError("the matrix is not triangular")
+    inverse = saved(_inverted_tiles(t, side), "factors")
+    order, rounds = elimination_rounds(t.select(tile("i").alias("i"), tile("j").alias("j")).distinct())
+    placed = order.select(F.col("node").alias("tile"), "round")
+    off = saved(t.where(tile("i") != tile("j")).withColumn("tile", tile("i")).join(placed, "tile").select("i", "j", "v", "round"), "factors")
+    rows = saved(b.withColumn("tile", tile("i")).join(placed, "tile").select("i", "c", "x", "round"), "factors")
+    known = None
+    for k in range(rounds):
+        own = rows.where(F.col("round") == k).select("i", "c", "x")
+        if known is not None:
+            met = off.where(F.col("round") == k).join(known.select(F.col("i").alias("j"), "c", "x"), "j").select("i", "c", (-F.col("v") * F.col("x")).alias("x"))
+            own = own.unionByName(met).groupBy("i", "c").agg(F.sum("x").alias("x"))
+        new = own.select(F.col("i").alias("j"), "c", "x").join(inverse, "j").groupBy("i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+        new = saved(new, "factors")
+        known = new if known is None else known.unionByName(new)
+    return known if known is not None else b.select("i", "c", "x")

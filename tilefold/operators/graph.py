@@ -122,3 +122,54 @@ def bandwidth_order(edges: DataFrame, start: int) -> DataFrame:
     deepest = known.agg(F.coalesce(F.max("level"), F.lit(-1))).scalar()
     turned = known.select("node", F.coalesce(deepest - F.col("level") + 1, F.lit(0)).cast("bigint").alias("turn"), F.when(F.col("level").isNull(), 0).otherwise(-F.col("degree")).alias("by"))
     return M.ranked(turned, "turn", "by", F.col("node").desc()).select("node", F.col("rank").alias("place"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, root) from (node, parent), where following the parents ends at two nodes that point at each other, the lesser
+    of which is the root, or at a node that points at itself. Each round doubles how far a node looks."""
+    of = parents.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
+    mutual = (F.col("over") == F.col("node")) & (F.col("node") < F.col("parent"))
+    now = _saved(parents.join(of, "parent").select("node", F.when(mutual, F.col("node")).otherwise(F.col("parent")).alias("root")))
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        after = saved(now.join(above, "root").select("node", F.col("over").alias("root"), (F.col("over") != F.col("root")).alias("moved")), "graph", instead_of=now)
+        if after.where("moved").isEmpty():
+            return after.select("node", "root")
+        now = after.select("node", "root")
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest (src, dst, w, round) of weighted edges (src, dst, w), and its tree of segments (round,
+    segment, parent): what each segment of a round is merged into.
+
+    In each round every segment takes its least outgoing edge, by weight and then by ends, what is so joined becomes one
+    segment, and of parallel edges the least stays; so rounds are at most the logarithm of the nodes. Least edges are
+    found with a partial aggregation, so a segment with very many edges is no hot key.
+    """
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.struct("w", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).alias("e"))
+    e = _saved(e.groupBy("u", "v").agg(F.min("e").alias("e")))
+    forest = e.select("e.src", "e.dst", "e.w", F.lit(0).alias("round")).limit(0)
+    tree = e.select(F.lit(0).alias("round"), F.col("u").alias("segment"), F.col("v").alias("parent")).limit(0)
+    k = 0
+    while not e.isEmpty():
+        sides = e.select(F.col("u").alias("node"), F.struct("e", F.col("v").alias("to")).alias("m")).unionByName(e.select(F.col("v").alias("node"), F.struct("e", F.col("u").alias("to")).alias("m")))
+        best = _saved(sides.groupBy("node").agg(F.min("m").alias("m")))
+        taken = best.select("m.e.src", "m.e.dst", "m.e.w").distinct().withColumn("round", F.lit(k))
+        roots = _roots(best.select("node", F.col("m.to").alias("parent")))
+        forest = forest.unionByName(taken)
+        tree = tree.unionByName(roots.select(F.lit(k).alias("round"), F.col("node").alias("segment"), F.col("root").alias("parent")))
+        named = e.join(roots.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("node").alias("v"), F.col("root").alias("b")), "v").where("a <> b")
+        e = saved(named.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("e").alias("e")), "graph", instead_of=e)
+        k += 1
+    return forest, tree
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with an edge to another, a component being named by one of its nodes."""
+    _, tree = spanning_forest(edges.select("src", "dst", F.lit(0).alias("w")))
+    rounds = (tree.agg(F.max("round")).first()[0] if not tree.isEmpty() else None) or 0
+    out = tree.where("round = 0").select(F.col("segment").alias("node"), F.col("parent").alias("component"))
+    for k in range(1, rounds + 1):
+        above = tree.where(F.col("round") == k).select(F.col("segment").alias("component"), F.col("parent").alias("over"))
+        out = out.join(above, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+    return out

@@ -22,17 +22,17 @@ class Operation:
 
     over: Callable[[Column], Column]
     both: Callable[[Column, Column], Column]
-    empty: Column | None = None
+    empty: int | None = None
 
 
 def _either(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
     return lambda a, b: F.coalesce(f(a, b), a, b)
 
 
-SUM = Operation(F.sum, _either(lambda a, b: a + b), F.lit(0))
+SUM = Operation(F.sum, _either(lambda a, b: a + b), 0)
 LARGEST = Operation(F.max, F.greatest)
 LEAST = Operation(F.min, F.least)
-ANY = Operation(F.bit_or, _either(lambda a, b: a.bitwiseOR(b)), F.lit(0))
+ANY = Operation(F.bit_or, _either(lambda a, b: a.bitwiseOR(b)), 0)
 
 
 def scan(rows: DataFrame, order: list[str | Column], value: str | Column, into: str, operation: Operation = SUM, by: list[str] | None = None, inclusive: bool = True) -> DataFrame:
@@ -54,7 +54,7 @@ def scan(rows: DataFrame, order: list[str | Column], value: str | Column, into:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     joined = placed.withColumn("__own", own).join(F.broadcast(ahead), same, "left")
     both = operation.both(F.col("__ahead"), F.col("__own"))
-    return joined.withColumn(into, F.coalesce(both, operation.empty) if operation.empty is not None else both).drop("__v", "__range", "__own", "__at", "__ahead", *(f"__{c}" for c in by))
+    return joined.withColumn(into, F.coalesce(both, F.lit(operation.empty)) if operation.empty is not None else both).drop("__v", "__range", "__own", "__at", "__ahead", *(f"__{c}" for c in by))
 
 
 def completed(a: DataFrame) -> DataFrame:

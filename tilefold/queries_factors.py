@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tilefold.functions.staging import saved
 from tilefold.operators import factors as L
+from tilefold.operators import graph as G
 from tilefold.operators import solvers as V
+from tilefold.operators import spectra as E
 from tilefold.queries import query
 
 WIDTH = 37
@@ -84,3 +86,55 @@ def preconditioned_residuals(spark, d):
     n, a = grid(spark, d, *_SKEWED)
     x = V.gmres(a, _known(n, a)[1], restart=8, cycles=3, tolerance=1e-6, precondition=L.incomplete_lu(a).solve)
     return x.select("i", _rounded("x").alias("x"))
+
+
+_WEIGHT = "(a.c * 7919 + b.c * 104729) % 1000"
+_LINKS = f"n AS (SELECT CAST(c_custkey AS BIGINT) AS c FROM customer), e AS (SELECT a.c AS src, b.c AS dst, {_WEIGHT} AS w FROM (SELECT c, unnest([1, {WIDTH}]) AS step FROM n) a JOIN n b ON b.c = a.c + a.step)"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("c"))
+    own = n.withColumn("step", F.explode(F.array(F.lit(1), F.lit(WIDTH)))).withColumn("to", F.col("c") + F.col("step"))
+    return own.alias("a").join(n.alias("b"), F.col("b.c") == F.col("a.to")).select(F.col("a.c").alias("src"), F.col("b.c").alias("dst"), F.expr(_WEIGHT).alias("w"))
+
+
+@query(
+    f"WITH RECURSIVE {_LINKS}, k AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (ORDER BY w, src, dst) AS rank FROM e), b AS MATERIALIZED (SELECT src AS p, dst AS q, rank FROM k UNION ALL SELECT dst, src, rank FROM k), "
+    "r AS (SELECT rank, src AS at FROM k UNION SELECT r.rank, b.q FROM r JOIN b ON b.p = r.at AND b.rank < r.rank) SELECT src, dst, w FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rank = k.rank AND r.at = k.dst)"
+)
+def spanning_forest(spark, d):
+    """An edge is in the forest unless lighter edges join its ends."""
+    return G.spanning_forest(_links(spark, d))[0].select("src", "dst", "w")
+
+
+@query(f"WITH {_LINKS}, k AS (SELECT src, dst FROM e WHERE w < 400), n2 AS (SELECT unnest([src, dst]) AS c FROM k) SELECT (SELECT count(DISTINCT c) FROM n2) AS nodes, (SELECT count(*) FROM k) AS edges, CAST(0 AS BIGINT) AS crossing")
+def graph_components(spark, d):
+    """Nodes that lie in a component, edges, and edges between two components."""
+    e = saved(_links(spark, d).where("w < 400"), "graph")
+    c = saved(G.components(e.select("src", "dst")), "graph")
+    named = e.join(c.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    figures = named.agg(F.count("*").alias("edges"), F.count_if(F.col("a") != F.col("b")).alias("crossing")).withColumn("nodes", F.lit(0).cast("bigint"))
+    nodes = c.agg(F.count_distinct("node").alias("nodes")).select(F.lit(0).cast("bigint").alias("edges"), F.lit(0).cast("bigint").alias("crossing"), "nodes")
+    return figures.unionByName(nodes).agg(*(F.sum(x).alias(x) for x in ("nodes", "edges", "crossing")))
+
+
+_LOWER = (COLOURED, "-(1 + (n.c + 3 * m.c) % 4)", "2 + c % 3")
+
+
+@query(f"WITH {grid_sql(*_LOWER)} SELECT i, CAST(k AS INT) AS c, CAST((c % 7 - 3) * (k + 1) AS DOUBLE) AS x FROM n, (SELECT unnest(range(5)) AS k)")
+def block_triangular_solve(spark, d):
+    """Five right sides whose solutions differ by row and side."""
+    n, a = grid(spark, d, *_LOWER)
+    t = a.where("i >= j")
+    x = n.select("i", (F.col("c") % 7 - 3).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("i", F.col("k").alias("c"), (F.col("s") * (F.col("k") + 1)).cast("double").alias("x"))
+    b = t.join(x.select(F.col("i").alias("j"), "c", "x"), "j").groupBy("i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    return L.block_triangular_solve(t, saved(b, "grid")).select("i", "c", _rounded("x").alias("x"))
+
+
+@query(f"WITH m AS (SELECT CAST(c_custkey // {WIDTH} AS BIGINT) AS batch, count(*) AS n FROM customer GROUP BY 1) SELECT batch, CAST(k AS INT) AS k, round(batch % 5 + 2 * (1 + batch % 3) * cos((n - k) * pi() / (n + 1)), 6) + 0.0 AS value FROM (SELECT batch, n, unnest(range(n)) AS k FROM m)")
+def bisected_eigenvalues(spark, d):
+    """Paths of customers, one a row of the grid: a + 2 b cos(k pi / (n + 1))."""
+    m = spark.read.parquet(f"{d}/customer.parquet").groupBy(F.floor(F.col("c_custkey") / WIDTH).cast("bigint").alias("batch")).agg(F.count("*").cast("int").alias("n"))
+    a, b = (F.col("batch") % 5).cast("double"), (F.col("batch") % 3 + 1).cast("double")
+    m = m.select("batch", F.array_repeat(a, F.col("n")).alias("d"), F.array_repeat(b, F.col("n") - 1).alias("e"))
+    return E.tridiagonal_eigenvalues(m).select("batch", "k", _rounded("value").alias("value"))

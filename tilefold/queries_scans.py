@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilefold.operators import images as I
 from tilefold.operators import scans as S
 from tilefold.operators import transforms as T
 from tilefold.queries import query
@@ -91,3 +92,26 @@ def cosine_round_trip(spark, d):
     """The image that the quantised coefficients stand for."""
     q = T.quantised(T.cosine_blocks(image(spark, d)), _step())
     return T.cosine_blocks(T.dequantised(q, _step()), inverse=True).select("i", "j", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+@query(
+    f"WITH {IMAGE}, o AS (SELECT a, b FROM (SELECT CAST(unnest(range(-2, 3)) AS BIGINT) AS a), (SELECT CAST(unnest(range(-2, 3)) AS BIGINT) AS b)), w AS (SELECT e.i, e.j, n.v, exp(-(a * a + b * b) / 8.0 - (n.v - e.v) * (n.v - e.v) / 5000.0) AS w FROM (SELECT e.*, a, b FROM e, o) e JOIN e n ON n.i = e.i + e.a AND n.j = e.j + e.b) "
+    "SELECT i, j, round(sum(w * v) / sum(w), 4) + 0.0 AS v FROM w GROUP BY i, j"
+)
+def bilateral_filter(spark, d):
+    return I.bilateral(image(spark, d)).select("i", "j", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+LOW, HIGH = 4000, 8000
+_CANNY = f"""{IMAGE}, o AS (SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
+  s AS MATERIALIZED (SELECT e.i, e.j, sum(n.v * (2 - abs(a)) * (2 - abs(b))) AS v FROM (SELECT e.*, a, b FROM e, o) e JOIN e n ON n.i = e.i + e.a AND n.j = e.j + e.b GROUP BY e.i, e.j),
+  g AS (SELECT s.i, s.j, sum(n.v * a * (2 - abs(b))) AS gi, sum(n.v * b * (2 - abs(a))) AS gj FROM (SELECT s.*, a, b FROM s, o) s JOIN s n ON n.i = s.i + s.a AND n.j = s.j + s.b GROUP BY s.i, s.j),
+  m AS MATERIALIZED (SELECT i, j, abs(gi) + abs(gj) AS size, CASE WHEN 12 * abs(gi) <= 5 * abs(gj) THEN 0 ELSE 1 END AS a, CASE WHEN 12 * abs(gi) <= 5 * abs(gj) THEN 1 WHEN 12 * abs(gj) <= 5 * abs(gi) THEN 0 WHEN gi * gj > 0 THEN 1 ELSE -1 END AS b FROM g),
+  t AS MATERIALIZED (SELECT m.i, m.j, m.size FROM m LEFT JOIN m p ON p.i = m.i + m.a AND p.j = m.j + m.b LEFT JOIN m q ON q.i = m.i - m.a AND q.j = m.j - m.b WHERE m.size > coalesce(p.size, 0) AND m.size >= coalesce(q.size, 0) AND m.size >= {LOW})"""
+
+
+@query(
+    f"WITH RECURSIVE {_CANNY}, r AS (SELECT i, j FROM t WHERE size >= {HIGH} UNION SELECT t.i, t.j FROM (SELECT r.i + o.a AS i, r.j + o.b AS j FROM r, o) n JOIN t ON t.i = n.i AND t.j = n.j) SELECT i, j, CAST(size AS BIGINT) AS size FROM t JOIN r USING (i, j)"
+)
+def canny_edges(spark, d):
+    return I.edges(image(spark, d), LOW, HIGH)
