@@ -205,7 +205,7 @@ def matrix_difference(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> Dat
 def blocks(a: DataFrame, side: int) -> DataFrame:
     """(bi, bj, vals): dense square blocks, by rows, of all places with an entry; absent entries are 0."""
     summed = a.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    place = ((F.col("i") % side) * side + F.col("j") % side).cast("int")
+    place = (F.pmod("i", F.lit(side)) * side + F.pmod("j", F.lit(side))).cast("int")
     at = summed.groupBy(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).alias("bj")).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("p"), "v"))).alias("e"))
     return at.select("bi", "bj", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda p: F.coalesce(F.try_element_at("e", p), F.lit(0.0))).alias("vals"))
 

@@ -87,9 +87,9 @@ def box_sums(area: DataFrame, boxes: DataFrame) -> DataFrame:
     i0, j0 = F.col("i0") - 1, F.col("j0") - 1
     four = F.array(corner(F.col("i1"), F.col("j1"), 1), corner(i0, F.col("j1"), -1), corner(F.col("i1"), j0, -1), corner(i0, j0, 1))
     real = (F.col("i0") <= F.col("i1")) & (F.col("j0") <= F.col("j1"))
-    asked = named.select("__box", F.explode(F.when(real, four).otherwise(F.slice(four, 1, 0))).alias("e")).select("__box", "e.i", "e.j", "e.sign")
+    asked = named.select("__box", F.explode(F.when(real, four).otherwise(F.slice(four, 1, 0))).alias("e")).select("__box", "e.i", "e.j", "e.sign").distinct()
     found = asked.join(area, ["i", "j"]).groupBy("__box").agg(F.sum(F.col("sign") * F.col("s")).alias("s"))
-    out = named.dropDuplicates(boxes.columns).join(found, "__box", "left")
+    out = named.join(found, "__box", "left")
     return out.select(*boxes.columns, F.coalesce("s", F.lit(0)).alias("s"))
 
 
