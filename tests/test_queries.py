@@ -29,7 +29,7 @@ def test_equals_sql(spark, duck, sf, name):
 def test_independent_set(spark, sf):
     """No two nodes within two steps, and every other node within two steps of one."""
     near = {}
-    for e in queries._graph(spark, sf).collect():
+    for e in queries.graph_of_parts(spark, sf).collect():
         near.setdefault(e["src"], set()).add(e["dst"])
         near.setdefault(e["dst"], set()).add(e["src"])
     taken = {r["node"] for r in queries.QUERIES["graph_independent_set"](spark, sf).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +83,20 @@ def quadrant_bit(row: Column | str, column: Column | str) -> Column:
     return F.shiftright(r, 3) * 128 + F.shiftright(c, 3) * 64 + r.bitwiseAND(F.lit(7)) * 8 + c.bitwiseAND(F.lit(7))
 
 
+def quadrants(masks: Column | str) -> Column:
+    """The four words of 64 bits of the layout of quadrant_bit(), from row masks."""
+    m = col(masks)
+    half = lambda q, r: F.call_function("shiftright", F.element_at(m, q // 2 * 8 + r + 1), F.lit(q % 2 * 8)).bitwiseAND(F.lit(255)).cast("bigint")
+    return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", half(q, r), F.lit(8 * r)) for r in range(8))) for q in range(4)))
+
+
+def masks_of_quadrants(words: Column | str) -> Column:
+    """The row masks of quadrants()."""
+    w = col(words)
+    half = lambda q, r: F.call_function("shiftright", F.element_at(w, q + 1), F.lit(8 * r)).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    return F.array(*(half(r // 8 * 2, r % 8).bitwiseOR(F.call_function("shiftleft", half(r // 8 * 2 + 1, r % 8), F.lit(8))) for r in range(SIDE)))
+
+
 def pack_nibbles(values: Column | str) -> Column:
     """4-bit values, two a byte, the first in the high half."""
     v = col(values)

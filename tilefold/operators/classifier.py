@@ -16,10 +16,21 @@ def activations(x: Column, whole: Column) -> dict[str, Column]:
     return {"relu": F.greatest(x, F.lit(0.0)), "relu_slope": F.when(x > 0, 1.0).otherwise(0.0), "tanh": F.tanh(x), "tanh_slope": 1 - F.tanh(x) * F.tanh(x), "softmax": F.exp(x) / total}
 
 
+def _moments() -> tuple[Column, Column]:
+    mean = F.col("nnz") / 256
+    return mean.alias("mean"), F.sqrt(mean * (1 - mean)).alias("deviation")
+
+
 def tile_moments(tiles: DataFrame) -> DataFrame:
     """(ti, tj, mean, deviation) of the 256 bits of tiles(): the figures that image() scales by."""
-    mean = F.col("nnz") / 256
-    return tiles.select("ti", "tj", mean.alias("mean"), F.sqrt(mean * (1 - mean)).alias("deviation"))
+    return tiles.select("ti", "tj", *_moments())
+
+
+def tile_images(tiles: DataFrame) -> DataFrame:
+    """(ti, tj, pixels): the 256 bits of tiles() scaled to mean 0 and deviation 1, as image() does, in column expressions."""
+    one = lambda p: F.call_function("getbit", F.element_at("masks", F.shiftright(p, 4) + 1), p.bitwiseAND(F.lit(15))).cast("double")
+    scaled = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda p: (one(p) - F.col("mean")) / F.greatest(F.col("deviation"), F.lit(1e-6)))
+    return tiles.select("ti", "tj", "masks", *_moments()).select("ti", "tj", scaled.alias("pixels"))
 
 
 def image(bits: str) -> np.ndarray:

@@ -60,6 +60,11 @@ def square_guard(m: int, n: int) -> None:
         raise ValueError("A times A needs a square matrix")
 
 
+def guarded_square(a: DataFrame, rows: Column, cols: Column) -> DataFrame:
+    """A, with a check when it runs that its sizes (columns or literals) are equal."""
+    return a.where(F.assert_true(rows == cols, F.lit("A times A needs a square matrix")).isNull())
+
+
 def symbolic(a: DataFrame, b: DataFrame) -> DataFrame:
     """Entries of each row of A B, cancelled ones included."""
     return _inner(a, b).select("i", "j").distinct().groupBy("i").agg(F.count("*").alias("nnz"))
@@ -126,6 +131,22 @@ SELECTORS = {
 }
 
 
+#: A tree of predictors over tile_figures(): (figure, threshold, where it is at most that, where it is more); leaves are formats.
+TREE = ("z", 11, "COO", ("z", 191, ("rows", 3, "DRW", ("cols", 3, "DCL", ("longest", 4, ("tail", 0, "ELL", "HYB"), "CSR"))), "DNS"))
+
+
+def predicted_by_tree(figures: DataFrame, tree=TREE) -> DataFrame:
+    """(ti, tj, fmt): the format at the leaf that a tile's figures lead to, as one expression."""
+
+    def at(node) -> Column:
+        if isinstance(node, str):
+            return F.lit(B.FORMATS.index(node))
+        name, most, low, high = node
+        return F.when(F.col(name) <= most, at(low)).otherwise(at(high))
+
+    return figures.select("ti", "tj", at(tree).alias("fmt"))
+
+
 def footprint(a: DataFrame) -> DataFrame:
     """Bytes of plain row storage (4-byte indexes) and of the chosen tile formats."""
     chosen = choose_format(format_costs(tile_figures(tiles(a))))

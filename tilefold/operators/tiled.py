@@ -26,35 +26,47 @@ def _dense(places: pa.ListArray, values: pa.ListArray) -> tuple[np.ndarray, np.n
     return block.reshape(n, SIDE, SIDE), has.reshape(n, SIDE, SIDE)
 
 
+#: Result tiles that a task adds up at once: 4 kB each.
+HELD = 4096
+
+
 def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v) of A B as small dense products: tiles are joined on the inner tile index, pairs of one result tile meet
-    in order, and a task adds them up batch by batch, so it holds one result tile beside a batch. For matrices with many
+    """(i, j, v) of A B as small dense products: tiles are joined on the inner tile index, a task adds up the products of a
+    result tile as it meets them, HELD tiles at a time, and only these sums are shuffled and added. For matrices with many
     entries a tile; the element-wise product is better for few."""
     ta = M.tile_values(a).select("ti", F.col("tj").alias("k"), F.col("places").alias("ap"), F.col("vals").alias("av"))
     tb = M.tile_values(b).select(F.col("ti").alias("k"), "tj", F.col("places").alias("bp"), F.col("vals").alias("bv"))
-    pairs = ta.join(tb, "k").repartition("ti", "tj").sortWithinPartitions("ti", "tj").select("ti", "tj", "ap", "av", "bp", "bv")
+    pairs = ta.join(tb, "k").select("ti", "tj", "ap", "av", "bp", "bv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, count = None, None, None
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = _entries(list(held), np.stack([h[0] for h in held.values()]), np.stack([h[1] for h in held.values()]))
+            held.clear()
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             ti, tj = (batch.column(c).to_numpy() for c in ("ti", "tj"))
+            order = np.lexsort((tj, ti))
+            batch, ti, tj = batch.take(pa.array(order)), ti[order], tj[order]
             (x, hx), (y, hy) = _dense(batch.column("ap"), batch.column("av")), _dense(batch.column("bp"), batch.column("bv"))
             first = np.flatnonzero(np.concatenate([[True], (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])]))
             sums, counts = np.add.reduceat(x @ y, first), np.add.reduceat(hx @ hy, first)
-            keys = list(zip(ti[first].tolist(), tj[first].tolist()))
-            if keys[0] == last:
-                sums[0] += total
-                counts[0] += count
-            elif last is not None:
-                yield _entries([last], total[None], count[None])
-            last, total, count = keys[-1], sums[-1], counts[-1]
-            yield _entries(keys[:-1], sums[:-1], counts[:-1])
-        if last is not None:
-            yield _entries([last], total[None], count[None])
-
-    return pairs.mapInArrow(run, "i bigint, j bigint, v double")
+            for key, s, n in zip(zip(ti[first].tolist(), tj[first].tolist()), sums, counts):
+                if key in held:
+                    held[key][0] += s
+                    held[key][1] += n
+                else:
+                    held[key] = [s.copy(), n.copy()]
+                    if len(held) == HELD:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return pairs.mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def _entries(keys: list[tuple[int, int]], sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:

@@ -378,26 +378,30 @@ def encoded_slots(spark, d):
     return t.select("ti", "tj", *(F.size(tiled.coded(n)[1]).alias(n.lower()) for n in B.FORMATS))
 
 
-_EDGES_SQL = "e AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM s WHERE i <> j AND v > 45), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+#: A graph of parts: those of consecutive lines of an order are linked.
+EDGES = "e AS (SELECT DISTINCT CAST(least(x.l_partkey, y.l_partkey) AS BIGINT) AS src, CAST(greatest(x.l_partkey, y.l_partkey) AS BIGINT) AS dst FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 WHERE x.l_partkey <> y.l_partkey)"
+_EDGES_SQL = EDGES + ", b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
-def _graph(spark, d):
-    return G.of_matrix(square(spark, d).where("v > 45"))
+def graph_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    own = lines(spark, d).select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("bigint").alias("i"))
+    after = own.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("i").alias("j"))
+    return G.of_matrix(own.join(after, ["l_orderkey", "l_linenumber"]))
 
 
-@query(ctes("s", more=_EDGES_SQL) + "SELECT src AS node, CAST(count(*) AS BIGINT) AS degree FROM b GROUP BY 1")
+@query(f"WITH {_EDGES_SQL} " + "SELECT src AS node, CAST(count(*) AS BIGINT) AS degree FROM b GROUP BY 1")
 def graph_degrees(spark, d):
-    return G.degrees(_graph(spark, d))
+    return G.degrees(graph_of_parts(spark, d))
 
 
-@query(ctes("s", more=_EDGES_SQL) + "SELECT x.src AS node, CAST(count(*) // 2 AS BIGINT) AS triangles FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src GROUP BY 1")
+@query(f"WITH {_EDGES_SQL} " + "SELECT x.src AS node, CAST(count(*) // 2 AS BIGINT) AS triangles FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src GROUP BY 1")
 def graph_triangles(spark, d):
-    return G.triangles(_graph(spark, d))
+    return G.triangles(graph_of_parts(spark, d))
 
 
-@query(ctes("s", more=_EDGES_SQL).replace("WITH", "WITH RECURSIVE") + ", l AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS level UNION SELECT b.dst, level + 1 FROM l JOIN b ON b.src = l.node WHERE level < 40) SELECT node, CAST(min(level) AS INT) AS level FROM l GROUP BY 1")
+@query(f"WITH RECURSIVE {_EDGES_SQL}" + ", l AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS level UNION SELECT b.dst, level + 1 FROM l JOIN b ON b.src = l.node WHERE level < 40) SELECT node, CAST(min(level) AS INT) AS level FROM l GROUP BY 1")
 def graph_levels(spark, d):
-    return G.levels(_graph(spark, d), 5)
+    return G.levels(graph_of_parts(spark, d), 5)
 
 
 @query(ctes("a") + "SELECT CAST(sum(y) AS DOUBLE) AS one, CAST(max(y) AS DOUBLE) AS largest, CAST(sum(y * y) AS DOUBLE) AS squares FROM (SELECT i, sum(v) AS y FROM a GROUP BY i)")
@@ -530,16 +534,16 @@ def sobel_gradient(spark, d):
     return W.convolve(square(spark, d), {(-1, -1): -1, (-1, 1): 1, (0, -1): -2, (0, 1): 2, (1, -1): -1, (1, 1): 1})
 
 
-@query("WITH " + SQL["s"] + ", e AS (SELECT DISTINCT least(i // 16, j // 16) AS src, greatest(i // 16, j // 16) AS dst FROM s WHERE v > 45) SELECT src, dst FROM e WHERE src <> dst")
+@query(f"WITH {EDGES}, c AS (SELECT DISTINCT src // 16 AS src, dst // 16 AS dst FROM e) SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM c WHERE src <> dst")
 def graph_coarsen(spark, d):
-    e = _graph(spark, d)
+    e = graph_of_parts(spark, d)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return G.coarsen(e, nodes.select("node", F.shiftright("node", 4).alias("label")))
 
 
 @query()
 def graph_independent_set(spark, d):
-    return G.independent_set(_graph(spark, d))
+    return G.independent_set(graph_of_parts(spark, d))
 
 
 def small_matrices(spark: SparkSession, d: str) -> DataFrame:

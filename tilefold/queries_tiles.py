@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilefold.functions import bits as B
+from tilefold.functions.staging import saved
+from tilefold.operators import classifier
 from tilefold.operators import graph as G
 from tilefold.operators import matrix as M
 from tilefold.operators import tiled
-from tilefold.queries import SQL, _formats, a_op, a_sp, ctes, dense, query, square, vector
+from tilefold.queries import EDGES, ORACLES, SQL, _formats, a_op, a_sp, ctes, dense, graph_of_parts, query, square, vector
 
 _B = "b AS (SELECT j, c, CAST((CAST(j AS DOUBLE) * (c + 1)) % 7 AS DOUBLE) AS b FROM x, (SELECT CAST(unnest(range(8)) AS INT) AS c))"
 
@@ -159,13 +161,21 @@ def gflops(spark, d):
     return runs.select("i", M.gflops(F.col("n"), F.col("ms")).alias("gflops"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS conflicts, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT DISTINCT l_suppkey, 0 AS side FROM lineitem UNION ALL SELECT DISTINCT l_partkey, 1 FROM lineitem)")
+@query("SELECT CAST(0 AS BIGINT) AS conflicts, true AS within, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT DISTINCT l_suppkey, 0 AS side FROM lineitem UNION ALL SELECT DISTINCT l_partkey, 1 FROM lineitem)")
 def graph_colouring(spark, d):
-    """Colours of the graph of suppliers and their parts, told as the edges between nodes of one colour (none) and the
-    coloured nodes; parts have odd numbers and suppliers even ones."""
+    """Colours of the graph of suppliers and their parts, told as the edges between nodes of one colour (none), whether the
+    colours are at most one more than the greatest degree and none is left out, and the coloured nodes; parts have odd numbers and suppliers even ones."""
     e = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") * 2).cast("bigint").alias("a"), (F.col("l_partkey") * 2 + 1).cast("bigint").alias("b"))
     e = e.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    return G.conflicts(e, G.colouring(e))
+    return _coloured(e)
+
+
+def _coloured(e):
+    """Conflicts, coloured nodes, and whether there are at most as many colours as the greatest degree and one."""
+    c = saved(G.colouring(e), "colours")
+    most = G.degrees(e).agg(F.max("degree")).first()[0]
+    last, n = c.agg(F.max("colour"), F.count_distinct("colour")).first()
+    return G.conflicts(e, c).withColumn("within", F.lit(last <= most and n == last + 1))
 
 
 _GRID = "g AS (SELECT DISTINCT o_custkey // 5 AS src, o_custkey // 5 + 1 AS dst FROM orders), e AS (SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM g)"
@@ -182,23 +192,23 @@ def graph_within_two(spark, d):
     return G.within_two(_path(spark, d))
 
 
-@query(f"WITH {_GRID} SELECT CAST(0 AS BIGINT) AS conflicts, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT src FROM e UNION SELECT dst FROM e)")
+@query(f"WITH {_GRID} SELECT CAST(0 AS BIGINT) AS conflicts, true AS within, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT src FROM e UNION SELECT dst FROM e)")
 def graph_colouring_two(spark, d):
     """A colouring at distance two, told by its conflicts at one and two steps."""
     near = G.within_two(_path(spark, d))
-    return G.conflicts(near, G.colouring(near))
+    return _coloured(near)
 
 
-@query(ctes("s", more="e AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM s WHERE i <> j AND v > 45), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1)").replace("WITH", "WITH RECURSIVE") + ", l AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS level UNION SELECT b.dst, level + 1 FROM l JOIN b ON b.src = l.node WHERE level < 40), k AS (SELECT node, degree, level FROM n LEFT JOIN (SELECT node, min(level) AS level FROM l GROUP BY 1) USING (node)) SELECT node, CAST(row_number() OVER (ORDER BY level IS NOT NULL, -level, CASE WHEN level IS NULL THEN 0 ELSE -degree END, node DESC) - 1 AS BIGINT) AS place FROM k")
+@query(f"WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1)" + ", l AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS level UNION SELECT b.dst, level + 1 FROM l JOIN b ON b.src = l.node WHERE level < 40), k AS (SELECT node, degree, level FROM n LEFT JOIN (SELECT node, min(level) AS level FROM l GROUP BY 1) USING (node)) SELECT node, CAST(row_number() OVER (ORDER BY level IS NOT NULL, -level, CASE WHEN level IS NULL THEN 0 ELSE -degree END, node DESC) - 1 AS BIGINT) AS place FROM k")
 def graph_bandwidth_order(spark, d):
-    order = G.bandwidth_order(G.of_matrix(square(spark, d).where("v > 45")), 5)
+    order = G.bandwidth_order(graph_of_parts(spark, d), 5)
     return order.select("node", F.col("place").cast("bigint").alias("place"))
 
 
-@query("WITH " + SQL["s"] + ", e AS (SELECT DISTINCT least(i, j) AS src, greatest(i, j) AS dst FROM s WHERE i <> j AND v > 45) SELECT CAST(0 AS BIGINT) AS near, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT src FROM e UNION SELECT dst FROM e)")
+@query(f"WITH {EDGES} SELECT CAST(0 AS BIGINT) AS near, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT src FROM e UNION SELECT dst FROM e)")
 def graph_independent_set_figures(spark, d):
     """Of a set at distance two: members with a member next to them, and nodes that are members or within two steps of one."""
-    e = G.of_matrix(square(spark, d).where("v > 45"))
+    e = graph_of_parts(spark, d)
     out, chosen = G.both_ways(e), G.saved(G.independent_set(e), "independent")
     one = out.join(chosen.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     two = out.join(one.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"))
@@ -207,3 +217,49 @@ def graph_independent_set_figures(spark, d):
     return near.unionByName(reached).agg(F.sum("near").alias("near"), F.sum("nodes").alias("nodes"))
 
 
+
+
+@query(ORACLES["tile_row_masks"])
+def masks_of_quadrants(spark, d):
+    """Row masks out of the words of the four quadrants, which are made from row masks."""
+    t = M.tiles(a_sp(spark, d)).select("ti", "tj", B.quadrants("masks").alias("words"))
+    return t.select("ti", "tj", F.posexplode(B.masks_of_quadrants("words")).alias("lr", "mask")).where("mask <> 0").withColumn("n", F.bit_count("mask").cast("int"))
+
+
+@query(ctes("a") + ", p AS (SELECT i // 16 AS ti, j // 16 AS tj, (i % 16) // 8 * 2 + (j % 16) // 8 AS q, i % 8 * 8 + j % 8 AS b FROM a) SELECT ti, tj, CAST(q AS INT) AS quadrant, bit_or(CASE WHEN b = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(b AS INT) END) AS word FROM p GROUP BY 1, 2, 3")
+def quadrant_words(spark, d):
+    t = M.tiles(a_sp(spark, d)).select("ti", "tj", F.posexplode(B.quadrants("masks")).alias("quadrant", "word"))
+    return t.where("word <> 0")
+
+
+@query(ctes("a", more="t AS (SELECT i // 16 AS ti, j // 16 AS tj, i % 16 * 16 + j % 16 AS p FROM a), m AS (SELECT ti, tj, count(*) / 256 AS m FROM t GROUP BY 1, 2), g AS (SELECT ti, tj, m, p FROM m, (SELECT unnest(range(256)) AS p))") + "SELECT g.ti, g.tj, CAST(g.p AS INT) AS p, CAST(round(1e6 * ((CASE WHEN t.p IS NULL THEN 0 ELSE 1 END) - m) / greatest(sqrt(m * (1 - m)), 1e-6)) AS BIGINT) AS pixel FROM g LEFT JOIN t ON g.ti = t.ti AND g.tj = t.tj AND g.p = t.p")
+def tile_images(spark, d):
+    """Pixels in millionths."""
+    images = classifier.tile_images(M.tiles(a_sp(spark, d)))
+    return images.select("ti", "tj", F.posexplode("pixels").alias("p", "v")).select("ti", "tj", "p", F.round(F.col("v") * 1e6).cast("bigint").alias("pixel"))
+
+
+_RULES = {"least_bytes": ("fmt", "bytes"), **{f"force_{n}": (str(k), f'"{n}"') for k, n in enumerate(B.FORMATS)}, "heuristic": ("CASE WHEN z >= 192 THEN 6 WHEN z < 12 THEN 0 ELSE 1 END", 'CASE WHEN z >= 192 THEN "DNS" WHEN z < 12 THEN "COO" ELSE "CSR" END')}
+
+
+@query(_formats("a") + ", b AS (SELECT y.*, fmt, bytes FROM y JOIN c USING (ti, tj)) " + " UNION ALL ".join(f"SELECT '{n}' AS selector, ti, tj, CAST({f} AS INT) AS fmt, CAST({b} AS BIGINT) AS bytes FROM b" for n, (f, b) in _RULES.items()))
+def format_selectors(spark, d):
+    """Each rule's choice for every tile."""
+    costs = M.format_costs(M.tile_figures(M.tiles(a_sp(spark, d))))
+    out = None
+    for name, choose in M.SELECTORS.items():
+        own = choose(costs).select(F.lit(name).alias("selector"), "ti", "tj", F.col("fmt").cast("int").alias("fmt"), F.col("bytes").cast("bigint").alias("bytes"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(_formats("o") + " SELECT ti, tj, CAST(CASE WHEN z <= 11 THEN 0 WHEN z > 191 THEN 6 WHEN rows <= 3 THEN 4 WHEN cols <= 3 THEN 5 WHEN longest > 4 THEN 1 WHEN tail > 0 THEN 3 ELSE 2 END AS INT) AS fmt FROM f")
+def formats_by_tree(spark, d):
+    return M.predicted_by_tree(M.tile_figures(M.tiles(a_op(spark, d))))
+
+
+@query(ctes("s") + "SELECT p.i, CAST(count(*) AS BIGINT) AS products FROM s p JOIN s q ON p.j = q.i GROUP BY 1")
+def guarded_products(spark, d):
+    """Products of A A, whose sizes are checked when it runs."""
+    s = M.guarded_square(square(spark, d), F.lit(512), F.lit(512))
+    return M.product_counts(s, s)
