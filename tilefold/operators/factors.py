@@ -183,3 +183,94 @@ def block_triangular_solve(t: DataFrame, b: DataFrame, side: int = 16, lower: bo
         new = saved(new, "factors")
         known = new if known is None else known.unionByName(new)
     return known if known is not None else b.select("i", "c", "x")
+
+
+def _products(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """(i, j, s): the sums over k below both i and j of l(i, k) u(k, j)."""
+    met = lower.select("i", F.col("j").alias("k"), F.col("v").alias("l")).join(upper.select(F.col("i").alias("k"), "j", F.col("v").alias("u")), "k").where("k < least(i, j)")
+    return met.groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
+
+
+def _sweep(a: DataFrame, both: DataFrame) -> DataFrame:
+    """All entries of L and U (i, j, v in one table) anew from those before: what A has there less the products of the
+    others, below the diagonal divided by the pivot."""
+    lower, upper = both.where("i > j"), both.where("i <= j")
+    pivots = upper.where("i = j").select("j", F.col("v").alias("d"))
+    now = both.select("i", "j").join(a, ["i", "j"], "left").join(_products(lower, upper), ["i", "j"], "left").join(pivots, "j")
+    value = F.coalesce("v", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))
+    return now.select("i", "j", F.when(F.col("i") > F.col("j"), value / F.col("d")).otherwise(value).alias("v"))
+
+
+def threshold_lu(a: DataFrame, fill: float = 1.5, steps: int = 2) -> Factors:
+    """L and U of as many entries as `fill` times the triangles of A have, at the places where the entries are largest.
+
+    Each step adds all places where L U departs from A, sweeps over all entries at once (each from the values before, so
+    a sweep is a join and not an elimination), keeps the largest entries of each triangle by an exact selection of the
+    threshold, equal ones together, with the diagonal, and sweeps again. The factors on the places that are left at the end are
+    incomplete_lu()'s, so L U equals A there.
+    """
+    from tilefold.operators.selection import kth_largest
+
+    a = saved(a.groupBy("i", "j").agg(F.sum("v").alias("v")), "factors")
+    sides = {"i > j": "", "i < j": ""}
+    most = {side: int(fill * a.where(side).count()) for side in sides}
+    diagonal = a.where("i = j").select("j", F.col("v").alias("d"))
+    both = saved(a.join(diagonal, "j").select("i", "j", F.when(F.col("i") > F.col("j"), F.col("v") / F.col("d")).otherwise(F.col("v")).alias("v")), "factors")
+    for _ in range(steps):
+        lower, upper = both.where("i > j"), both.where("i <= j")
+        pivots = upper.where("i = j").select("j", F.col("v").alias("d"))
+        new = _products(lower, upper).join(both.select("i", "j"), ["i", "j"], "left_anti").join(a, ["i", "j"], "left").join(pivots, "j")
+        rest = F.coalesce("v", F.lit(0.0)) - F.col("s")
+        new = new.where(rest != 0).select("i", "j", F.when(F.col("i") > F.col("j"), rest / F.col("d")).otherwise(rest).alias("v"))
+        both = saved(both.unionByName(new), "factors", instead_of=both)
+        both = saved(_sweep(a, both), "factors", instead_of=both)
+        kept = both.where("i = j")
+        for side, n in most.items():
+            own = both.where(side).withColumn("size", F.round(F.abs("v"), 12))
+            least = kth_largest(own, "size", n)
+            kept = kept.unionByName((own if least is None else own.where(F.col("size") >= least)).select("i", "j", "v"))
+        both = saved(kept, "factors", instead_of=both)
+        both = saved(_sweep(a, both), "factors", instead_of=both)
+    return incomplete_lu(a, levels=both)
+
+
+def discarded_fill(a: DataFrame, pattern: DataFrame) -> DataFrame:
+    """(node, discarded): the root of the sum of squares of what elimination of a node would put at places outside the
+    pattern: a(i, m) a(m, j) / a(m, m) for i and j other than m and each other."""
+    off = a.where("i <> j")
+    pivots = a.where("i = j").select(F.col("i").alias("m"), F.col("v").alias("d"))
+    met = off.select("i", F.col("j").alias("m"), F.col("v").alias("p")).join(off.select(F.col("i").alias("m"), "j", F.col("v").alias("q")), "m").where("i <> j")
+    lost = met.join(pattern.select("i", "j"), ["i", "j"], "left_anti").join(pivots, "m")
+    sums = lost.groupBy("m").agg(F.sqrt(F.sum((F.col("p") * F.col("q") / F.col("d")) ** 2)).alias("discarded"))
+    return pivots.join(sums, "m", "left").select(F.col("m").alias("node"), F.coalesce("discarded", F.lit(0.0)).alias("discarded"))
+
+
+def least_fill_order(a: DataFrame) -> DataFrame:
+    """(node, round, discarded): an order of elimination in which little is discarded outside the places of A, by rounds.
+
+    In each round those nodes go whose discarded fill is the least of all open nodes within two links (to nine digits,
+    then by id). They do not touch each other's rows, so they go at once; the entries that they change are updated on A's
+    places, and what the rest would discard is found anew.
+    """
+    work = saved(a.groupBy("i", "j").agg(F.sum("v").alias("v")), "factors")
+    out, n = None, 0
+    while True:
+        links = work.where("i <> j").select("i", "j")
+        links = saved(links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "factors")
+        keys = discarded_fill(work, work).select("node", F.struct(F.round("discarded", 9).alias("discarded"), "node").alias("key"))
+        keys = saved(keys, "factors")
+        if keys.isEmpty():
+            return out if out is not None else keys.select("node", F.lit(0).alias("round"), "key.discarded")
+        near = keys
+        for _ in range(2):
+            sent = links.join(near.select(F.col("node").alias("i"), "key"), "i").select(F.col("j").alias("node"), "key")
+            near = near.unionByName(sent).groupBy("node").agg(F.min("key").alias("key"))
+        gone = saved(keys.join(near.select("node", F.col("key").alias("least")), "node").where("key = least").select("node", F.lit(n).alias("round"), "key.discarded"), "factors")
+        out, n = gone if out is None else out.unionByName(gone), n + 1
+        at = lambda c: gone.select(F.col("node").alias(c))
+        column, row = work.where("i <> j").join(at("j"), "j"), work.where("i <> j").join(at("i"), "i")
+        pivots = work.where("i = j").select(F.col("i").alias("m"), F.col("v").alias("d"))
+        steps = column.select("i", F.col("j").alias("m"), F.col("v").alias("p")).join(row.select(F.col("i").alias("m"), "j", F.col("v").alias("q")), "m").join(pivots, "m")
+        taken = steps.groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q") / F.col("d")).alias("s"))
+        rest = work.join(at("i"), "i", "left_anti").join(at("j"), "j", "left_anti").join(taken, ["i", "j"], "left")
+        work = saved(rest.select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v")), "factors", instead_of=work)

@@ -10,6 +10,7 @@ from tilefold.operators import factors as L
 from tilefold.operators import graph as G
 from tilefold.operators import solvers as V
 from tilefold.operators import spectra as E
+from tilefold.operators.selection import kth_largest as kth
 from tilefold.queries import query
 
 WIDTH = 37
@@ -138,3 +139,51 @@ def bisected_eigenvalues(spark, d):
     a, b = (F.col("batch") % 5).cast("double"), (F.col("batch") % 3 + 1).cast("double")
     m = m.select("batch", F.array_repeat(a, F.col("n")).alias("d"), F.array_repeat(b, F.col("n") - 1).alias("e"))
     return E.tridiagonal_eigenvalues(m).select("batch", "k", _rounded("value").alias("value"))
+
+
+@query("SELECT l_returnflag AS flag, CAST(x AS DOUBLE) AS price FROM (SELECT l_returnflag, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS k FROM lineitem) WHERE k = 1000")
+def kth_largest(spark, d):
+    """The thousandth price of each flag."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    flags = sorted(r[0] for r in rows.select("l_returnflag").distinct().collect())  # a few
+    out = None
+    for f in flags:
+        found = kth(rows.where(F.col("l_returnflag") == f), "l_extendedprice", 1000)
+        own = rows.where(F.col("l_returnflag") == f).limit(1).select(F.col("l_returnflag").alias("flag"), F.lit(found).cast("double").alias("price")).where("price is not null")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"WITH {grid_sql(*_SKEWED)} SELECT CAST((SELECT count(*) FROM n) AS BIGINT) AS diagonal, true AS bounded, true AS grown, CAST(0 AS DOUBLE) AS departure")
+def threshold_lu(spark, d):
+    """Of the factors: diagonal entries, whether they have as many entries as asked and more than A, and how far L U is from
+    A at their places."""
+    _, a = grid(spark, d, *_SKEWED)
+    f = L.threshold_lu(a, 1.5, steps=1)
+    asked = a.where("i <> j").count()
+    places = saved(f.lower.select("i", "j").unionByName(f.upper.select("i", "j")), "grid")
+    n = places.where("i <> j").count()
+    off = places.join(f.product(), ["i", "j"], "left").join(a.withColumnRenamed("v", "w"), ["i", "j"], "left")
+    worst = off.agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0)))).alias("w"), F.count_if(F.col("i") == F.col("j")).alias("diagonal"))
+    ties = 0.2 * asked  # entries as large as the threshold stay together
+    return worst.select("diagonal", F.lit(n <= 1.5 * asked + ties).alias("bounded"), F.lit(n > asked).alias("grown"), _rounded("w").alias("departure"))
+
+
+_DISCARDED = "m AS (SELECT p.j AS m, p.i, q.j, p.v * q.v AS v FROM l p JOIN l q ON q.i = p.j WHERE p.i <> q.j), k AS (SELECT m.m, sum((m.v / d.v) * (m.v / d.v)) AS s FROM m JOIN a d ON d.i = m.m AND d.j = m.m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.i = m.i AND l.j = m.j) GROUP BY 1)"
+
+
+@query(f"WITH {grid_sql(*_SKEWED)}, {_DISCARDED} SELECT n.i AS node, round(coalesce(sqrt(s), 0), 6) + 0.0 AS discarded FROM n LEFT JOIN k ON k.m = n.i")
+def discarded_fill(spark, d):
+    _, a = grid(spark, d, *_SKEWED)
+    return L.discarded_fill(a, a).select("node", _rounded("discarded").alias("discarded"))
+
+
+@query(f"WITH {grid_sql(*_SKEWED)} SELECT CAST((SELECT count(*) FROM n) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS touching")
+def least_fill_order(spark, d):
+    """Of the order: its nodes, and links within a round."""
+    _, a = grid(spark, d, *_SKEWED)
+    order = saved(L.least_fill_order(a), "grid")
+    of = lambda c: order.select(F.col("node").alias(c), F.col("round").alias(f"r{c}"))
+    touching = a.where("i <> j").join(of("i"), "i").join(of("j"), "j").where("ri = rj").agg(F.count("*").alias("touching")).select(F.lit(0).cast("bigint").alias("nodes"), "touching")
+    nodes = order.agg(F.count_distinct("node").alias("nodes")).select("nodes", F.lit(0).cast("bigint").alias("touching"))
+    return nodes.unionByName(touching).agg(F.sum("nodes").alias("nodes"), F.sum("touching").alias("touching"))
