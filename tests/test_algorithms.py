@@ -233,3 +233,95 @@ def test_image_filters(spark):
                 reached.add(p)
                 todo.append(p)
     assert 0 < len(reached) < n * m and {(q["i"], q["j"]) for q in images.edges(df, low, high).collect()} == reached
+
+
+def test_kth_largest(spark):
+    from tilefold.operators.selection import kth_largest
+
+    r = random.Random(12)
+    x = [r.choice([r.gauss(0, 1), r.gauss(0, 1e12), 5.0, 5.0 + 2**-50, float(r.randrange(9))]) for _ in range(20_000)] + [7.0] * 9000
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double").repartition(5)
+    order = sorted(x, reverse=True)
+    for k in (1, 2, 3000, 9000, 14_000, 20_000, len(x)):
+        assert kth_largest(df, "v", k) == order[k - 1]
+    assert kth_largest(df, "v", len(x) + 1) is None and kth_largest(df.limit(0), "v", 1) is None and kth_largest(df, "v", 0) is None
+
+
+def slow_threshold(a, fill, steps):
+    n = len(a)
+    low, up = np.tril(np.ones((n, n), bool), -1), np.triu(np.ones((n, n), bool))
+    most = {0: int(fill * (a * low != 0).sum()), 1: int(fill * (np.triu(a, 1) != 0).sum())}
+    place, w = a != 0, np.where(low, a / np.diag(a)[None, :], a)
+
+    def products():
+        s = np.zeros((n, n))
+        for i in range(n):
+            for j in range(n):
+                k = min(i, j)
+                s[i, j] = (w[i, :k] * place[i, :k]) @ (w[:k, j] * place[:k, j])
+        return s
+
+    def sweep():
+        v = a - products()
+        return np.where(place, np.where(low, v / np.diag(w)[None, :], v), 0)
+
+    for _ in range(steps):
+        rest = np.where(place, 0, a - products())
+        rest[np.abs(rest) < 1e-14] = 0
+        w, place = w + np.where(low, rest / np.diag(w)[None, :], rest), place | (rest != 0)
+        w = sweep()
+        for side, mask in ((0, low), (1, np.triu(np.ones((n, n), bool), 1))):
+            size = np.where(mask & place, np.round(np.abs(w), 12), -1)
+            values = np.sort(size[mask & place])[::-1]
+            if most[side] >= 1 and most[side] <= len(values):
+                place &= ~mask | (size >= values[most[side] - 1])
+        w = np.where(place, w, 0)
+        w = sweep()
+    return place
+
+
+def test_threshold_lu(spark):
+    r = np.random.default_rng(13)
+    n = 26
+    a = np.where(r.random((n, n)) < 0.12, r.normal(size=(n, n)), 0)
+    np.fill_diagonal(a, 5 + r.random(n))
+    df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i bigint, j bigint, v double")
+    f = factors.threshold_lu(df, 1.4, steps=2)
+    got = {(x["i"], x["j"]) for x in [*f.lower.collect(), *f.upper.collect()]}
+    assert got == set(zip(*(q.tolist() for q in np.nonzero(slow_threshold(a, 1.4, 2)))))
+    made = {(x["i"], x["j"]): x["v"] for x in f.product().collect()}
+    assert all(math.isclose(made.get(p, 0), a[p], abs_tol=1e-9) for p in got)
+
+
+def slow_least_fill(a):
+    given = a != 0
+    a, open_, out = a.copy(), set(range(len(a))), {}
+    linked = (a != 0) | (a != 0).T
+    k = 0
+    while open_:
+        key = {}
+        for m in open_:
+            near = [i for i in open_ if i != m]
+            lost = sum((a[i, m] * a[m, j] / a[m, m]) ** 2 for i in near for j in near if i != j and not given[i, j])
+            key[m] = (round(math.sqrt(lost), 9), m)
+        one = {m: {m} | {i for i in open_ if linked[m, i]} for m in open_}
+        gone = [m for m in open_ if key[m] == min(key[q] for p in one[m] for q in one[p])]
+        for m in gone:
+            out[m] = (k, key[m][0])
+            for i in open_:
+                for j in open_:
+                    if i != m and j != m and given[i, j]:
+                        a[i, j] -= a[i, m] * a[m, j] / a[m, m]
+            open_.remove(m)
+        k += 1
+    return out
+
+
+def test_least_fill_order(spark):
+    r = np.random.default_rng(14)
+    n = 22
+    a = np.where(r.random((n, n)) < 0.1, r.normal(size=(n, n)), 0)
+    np.fill_diagonal(a, 5 + r.random(n))
+    df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i bigint, j bigint, v double")
+    assert {x["node"]: (x["round"], round(x["discarded"], 9)) for x in factors.least_fill_order(df).collect()} == slow_least_fill(a)
+    assert factors.least_fill_order(df.limit(0)).count() == 0
