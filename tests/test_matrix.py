@@ -308,3 +308,32 @@ def test_batched(spark):
     assert np.allclose((np.triu(np.tril(m, 1), -1) @ x[:, :, None])[:, :, 0], v)
     c = {r["batch"]: r["c"] for r in batched.gemm(df, df, n, 2.0).collect()}
     assert c[30] is None and all(np.allclose(np.reshape(c[k], (n, n)), 2 * m[k] @ m[k]) for k in range(30))
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tilefold import cli
+
+    folder, log = tmp_path / "mtx", str(tmp_path / "log")
+    folder.mkdir()
+    (folder / "five.mtx").write_text(GOLDEN)
+    (folder / "_hidden.mtx").write_text(GOLDEN)
+    (folder / "kron_big.mtx").write_text(GOLDEN)
+    (folder / "broken.mtx").write_text("no banner\n")
+    assert cli.main(["spgemm", str(folder / "five.mtx"), "--repeat", "1"]).split(",")[1:4] == ["5", "5", "9"]
+    run = ["mrun", str(folder), "--log", log, "--leave-out", "kron", "--repeat", "1"]
+    assert cli.main(run) == "broken,five"
+    (folder / "later.mtx").write_text(GOLDEN)
+    assert cli.main(run) == "later" and cli.main(run) == ""
+    got = {r["name"]: (r["rows"], r["nnz"], r["ms"]) for r in spark.read.schema(cli.LOG).csv(log).collect()}
+    assert set(got) == {"broken", "five", "later"} and got["five"][:2] == (5, 9) and got["five"][2] > 0 and got["broken"] == (None, None, None)
+    assert cli.main([*run, "--operation", "formats"]) == "broken,five,later"
+    tiles = tmp_path / "tiles"
+    tiles.mkdir()
+    (tiles / "COO.txt").write_text("3\n" + ("1" + "0" * 255 + "\n") * 2)
+    (tiles / "DNS.txt").write_text("1" * 256 + "\n")
+    again = mm.read_tiles(spark, cli.main(["fmt_data", str(tiles), str(tmp_path / "again")]))
+    assert sorted(map(tuple, again.select("bits", "label").collect())) == [("1" + "0" * 255, "COO"), ("1" * 256, "DNS")]
+    (tmp_path / "tasks.csv").write_text("task,platform,op\n1,a,x\n2,b,x\n3,b,y\n")
+    (tmp_path / "models.csv").write_text("platform,op,model\na,x,own\n,x,all\n")
+    out = cli.main(["switch_model", str(tmp_path / "tasks.csv"), str(tmp_path / "models.csv"), str(tmp_path / "switched")])
+    assert {r["task"]: r["model"] for r in spark.read.option("header", True).csv(out).collect()} == {"1": "own", "2": "all", "3": None}

@@ -254,3 +254,16 @@ def matrix_difference(spark, d):
 @query(ctes("x") + ", g AS (SELECT tj, unnest(range(16)) AS lane FROM (SELECT DISTINCT j // 16 AS tj FROM x)) SELECT tj, CAST(lane AS INT) AS lane, coalesce(x, 0) AS x FROM g LEFT JOIN x ON j = tj * 16 + lane")
 def vector_slices(spark, d):
     return M.vector_slices(vector(spark, d)).select("tj", F.posexplode("slice").alias("lane", "x"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 0")
+def matrices_listed(spark, d):
+    """A file for each nation, those of one region under a name with an underscore ahead, which hides them."""
+    folder = new_path(spark, "matrices")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for n in spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey").collect():  # 25 rows at any scale
+        at = hadoop(f"{folder}/{'_' if n['n_regionkey'] == 0 else ''}{n['n_name']}.mtx")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(b"%%MatrixMarket matrix coordinate real general\n0 0 0\n"))
+        out.close()
+    return S.list_matrices(spark, folder)
