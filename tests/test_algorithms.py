@@ -325,3 +325,15 @@ def test_least_fill_order(spark):
     df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i bigint, j bigint, v double")
     assert {x["node"]: (x["round"], round(x["discarded"], 9)) for x in factors.least_fill_order(df).collect()} == slow_least_fill(a)
     assert factors.least_fill_order(df.limit(0)).count() == 0
+
+
+def test_product_figures(spark):
+    from tilefold.plans import products
+
+    r = random.Random(15)
+    a, b = ([(r.randrange(60), r.randrange(90), 1.0) for _ in range(400)], [(r.randrange(20, 200), r.randrange(70), 1.0) for _ in range(500)])
+    frame = lambda m: spark.createDataFrame(m, "i bigint, j bigint, v double")
+    tiles = lambda m: {(i // 16, j // 16) for i, j, _ in m}
+    inner_a, inner_b = {j for _, j, _ in a}, {i for i, _, _ in b}
+    want = (sum(x[1] == y[0] for x in a for y in b), sum(x[1] == y[0] for x in tiles(a) for y in tiles(b)), len(inner_a & inner_b), len(inner_a))
+    assert products.figures(frame(a), frame(b)) == want and products.figures(frame(a).limit(0), frame(b)) == (0, 0, 0, 0)
