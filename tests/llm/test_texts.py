@@ -511,3 +511,34 @@ def test_compression_verdict_by_other_means(spark, sf):
         parts = [raw[k : k + 16384] for k in range(0, len(raw), 16384)]
         outside = sum(len(x) for x in parts if not inside(x)) if len(raw) > 16384 else 0
         assert r["kept"] == (not r["base_failed"] and inside(raw) and outside <= len(raw) / 4)
+
+
+def test_benchmarks_beyond_a_block(spark, odd, sf, monkeypatch):
+    """Seeds joined by shuffle give the rows that one broadcast index gives: odd texts, planted passages, short, repeated,
+    null and empty items, and very repetitive texts."""
+    import random
+
+    r = random.Random(31)
+    docs, _ = odd
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([1, 3, 4, 6, 9, 12, 13, 20, 60])))) for k in range(40)] + [(100, None), (101, ""), (102, "x " * 300), (103, "alpha be gamma delta"), (None, "été foo. bar")]
+    texts = []
+    for k in range(200):
+        own = [r.choice(words) for _ in range(r.randrange(0, 40))]
+        if r.random() < 0.7:
+            planted = (r.choice(items)[1] or "").split()
+            for _ in range(r.randrange(0, 4)):
+                if planted:
+                    planted[r.randrange(len(planted))] = "other"
+            own[len(own) // 2 : len(own) // 2] = planted
+        texts.append((r.choice([k, k, None]), " ".join(own)))
+    texts += [(900, "x " * 40_000), (901, None), (902, "")] + texts[:5]
+    df = C.documents(docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id bigint, text string"))).unionByName(C.documents(C.read(spark, sf, "documents").limit(60)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string").unionByName(C.read(spark, sf, "benchmark").select("item_id", "text"))
+    whole = df.withColumn("key", F.lit("own")).withColumn("item", F.lit(1))
+    one, kept = op2_decontamination.overlaps(df, bench).collect(), op2_decontamination.clean_only(whole, bench).collect()
+    monkeypatch.setattr(op2_decontamination, "BLOCK", 10)
+    assert op2_decontamination.index_of(bench) is None
+    assert ordered(op2_decontamination.overlaps(df, bench).collect()) == ordered(one) and len(one) > 60
+    assert ordered(op2_decontamination.clean_only(whole, bench).collect()) == ordered(kept) and 0 < len(kept) < df.count()
+    assert op2_decontamination.overlaps(df.limit(0), bench).count() == 0

@@ -8,8 +8,10 @@ laid on the document along the hit's diagonal and compared token by token. A doc
 best run (a match counts 1, a substitution -4, so a run above 0 has 80 % matches) is as long. That run is reported, or
 else the best 13 tokens.
 
-The test side is the bounded one: it is read in blocks of BLOCK tokens, and each block's index is broadcast and held
-against all documents. Training text is neither shuffled nor collected.
+Test items of BLOCK tokens at most are one index, which is broadcast; training text is then neither shuffled nor
+collected. Beyond, the seeds of both sides are tables joined by shuffle. Of the documents' seeds only those go there that
+a bitmap of the items' seeds (2^MAP_BITS bits, 16 MB, whatever the items) lets through, each document's text once by
+its hash; hits are put together by document and item, and only such pairs meet their texts. Both ways give the same rows.
 
 Cases: a null or empty text has no hits; items without tokens match nothing, those of fewer than 5 only as
 a whole; repeated documents are each
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +35,10 @@ from tilefold.llm import common as C
 #: Token positions that the masks select; found by search: every window of 13 with two substitutions keeps one of them whole.
 MASKS = ((0, 1, 2, 3, 5, 7, 8), (0, 3, 5, 6, 9, 10, 11), (0, 1, 4, 7, 8, 9, 10))
 OVERLAP, SIMILARITY = 13, 0.8
-#: Tokens of test items in one block.
+#: Tokens (four characters each and one) of test items in a broadcast index: some 50 MB of arrays.
 BLOCK = 1_000_000
+#: Bits of the map of the items' seeds where these are joined by shuffle.
+MAP_BITS = 27
 WORD = re.compile(r"[^\W_]+")
 _BITS = 20
 
@@ -101,22 +104,30 @@ class Index:
 
     def verified(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
         """(item id, document start, item start, run length, matches) in tokens, for each item the best run over its diagonals."""
+        return ((self.ids[n], *run) for n, *run in self.found(text))
+
+    def found(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
+        """verified() with the item's number in the index in place of its id, which other items may have too."""
         get = self.vocabulary.get
         x = np.array([get(w, 0) for w in tokens(text)], np.int64)
         best: dict[int, tuple[int, int, int, int]] = {}
         for n, d in self.hits(x):
-            item = self.items[n]
-            q0 = max(0, -d)
-            q1 = min(len(item), len(x) - d)
-            match, least = item[q0:q1] == x[q0 + d : q1 + d], min(OVERLAP, len(item))
-            s, e, m = best_run(match)
-            if e - s < least:
-                s, e, m = best_window(match, least)
-            if e > s:
-                run = (m, e - s, -(q0 + s + d), q0 + s)
+            run = along(self.items[n], x, d)
+            if run:
                 best[n] = max(best.get(n, run), run)
         for n, (m, length, minus_p, q) in sorted(best.items()):
-            yield self.ids[n], -minus_p, q, length, m
+            yield n, -minus_p, q, length, m
+
+
+def along(item: np.ndarray, x: np.ndarray, d: int) -> tuple[int, int, int, int] | None:
+    """Matches, length, minus the document start and item start of the best run on a diagonal (document less item place)."""
+    q0 = max(0, -d)
+    q1 = min(len(item), len(x) - d)
+    match, least = item[q0:q1] == x[q0 + d : q1 + d], min(OVERLAP, len(item))
+    s, e, m = best_run(match)
+    if e - s < least:
+        s, e, m = best_window(match, least)
+    return (m, e - s, -(q0 + s + d), q0 + s) if e > s else None
 
 
 def best_run(match: np.ndarray) -> tuple[int, int, int]:
@@ -144,17 +155,81 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
     return sorted({tuple((m - m[0]).tolist()) for m in kept})
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over the test items (item_id, text), BLOCK tokens at a time; one block is on the driver at once."""
+def index_of(benchmark: DataFrame) -> Index | None:
+    """The index of the test items (item_id, text), or None if they have more than BLOCK tokens."""
     held, size = [], 0
     for r in benchmark.toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"] or "") // 4 + 1
-        if size >= BLOCK:
-            yield Index(held)
-            held, size = [], 0
-    if held:
-        yield Index(held)
+        if size > BLOCK:
+            return None
+    return Index(held)
+
+
+def hashed(text: str) -> np.ndarray:
+    """The tokens of a text by 64 bits of hash."""
+    import xxhash
+
+    seen: dict[str, int] = {}
+    return np.array([seen.get(w) or seen.setdefault(w, xxhash.xxh64_intdigest(w)) for w in tokens(text)], np.uint64)
+
+
+def _all_masks(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(length, mask): 0 for items of any length, or that of the shorter items that a mask is for."""
+    return [(0, m) for m in MASKS] + [(n, m) for n in lengths for m in short_masks(n)]
+
+
+_SEED = pa.schema([("mask", pa.int32()), ("seed", pa.int64()), ("key", pa.string()), ("at", pa.int64())])
+
+
+def _seeds(rows: DataFrame, masks: list[tuple[int, tuple[int, ...]]], items: bool, bitmap=None) -> DataFrame:
+    """(mask, seed, key, at) of rows (key, text): of items the masks for their length, of documents those seeds of all masks
+    that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                x = hashed(text)
+                for k, (length, mask) in enumerate(masks):
+                    if items and length not in (0, len(x)):
+                        continue
+                    h = Index.seeds(x, mask, k)
+                    at = np.arange(len(h)) if bitmap is None else np.flatnonzero(bitmap.value[h >> np.uint64(67 - MAP_BITS)] >> (h >> np.uint64(64 - MAP_BITS) & np.uint64(7)).astype(np.uint8) & 1)
+                    for c in range(0, len(at), 8192):
+                        own = at[c : c + 8192]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(h[own].view(np.int64)), pa.array([key] * len(own), pa.string()), pa.array(own)], schema=_SEED)
+
+    C.tune(rows.sparkSession)
+    return rows.select("key", "text").mapInArrow(run, "mask int, seed bigint, key string, at bigint")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A byte for eight values of a seed's highest MAP_BITS bits; the bytes that are not 0 come to the driver, 2^(MAP_BITS - 3) at most."""
+    high = F.shiftrightunsigned("seed", 64 - MAP_BITS)
+    bit = F.call_function("shiftleft", F.lit(1), high.bitwiseAND(F.lit(7).cast("bigint")).cast("int"))
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in seeds.groupBy(F.shiftright(high, 3).alias("byte")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        out[r["byte"]] = r["bits"]
+    return out
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, item, diagonals) of texts, by their hash, and items that share a seed, and the items (item, item_id, text)."""
+    spark = docs.sparkSession
+    items, _ = C.stage(benchmark.where("text is not null").select(F.monotonically_increasing_id().cast("string").alias("item"), "item_id", "text"), "items")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens(t)) for t in b.column("text").to_pylist()], pa.int64())], names=["n"])
+
+    short = items.select("text").mapInArrow(sizes, "n bigint").where((F.col("n") > 0) & (F.col("n") < OVERLAP)).distinct()
+    masks = _all_masks(sorted(r["n"] for r in short.collect()))  # OVERLAP - 1 lengths at most
+    own, _ = C.stage(_seeds(items.select(F.col("item").alias("key"), "text"), masks, True), "seeds")
+    bitmap = spark.sparkContext.broadcast(_bitmap(own))
+    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), "text").where("text <> ''").dropDuplicates(["key"])
+    met = _seeds(texts, masks, False, bitmap).join(own.select("mask", "seed", F.col("key").alias("item"), F.col("at").alias("q")), ["mask", "seed"])
+    diagonals = met.select("key", "item", (F.col("at") - F.col("q")).alias("d")).groupBy("key", "item").agg(F.collect_set("d").alias("diagonals"))
+    return C.stage(diagonals, "hits")[0], items
 
 
 HITS = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "doc_start", "item_start", "overlap", "matches", "item_tokens")])
@@ -163,36 +238,60 @@ HITS_SQL = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint,
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each contaminated document and item: where the best run is, in tokens."""
-    spark = docs.sparkSession
-    out = []
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-        size = dict(zip(index.ids, map(len, index.items)))
+    index = index_of(benchmark)
+    if index is None:
+        return _joined(docs, benchmark).drop("key")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def make(shared=shared, size=size):
-            def rows(ids, texts):
-                for i, t in zip(ids, texts):
-                    for item, p, q, length, m in shared.value.verified(t):
-                        yield i, item, p, q, length, m, size[item]
+    def make():
+        def rows(ids, texts):
+            for i, t in zip(ids, texts):
+                for n, p, q, length, m in shared.value.found(t):
+                    yield i, shared.value.ids[n], p, q, length, m, len(shared.value.items[n])
 
-            return rows
+        return rows
 
-        out.append(C.map_documents(docs, make, HITS_SQL, HITS))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], HITS_SQL)
+    return C.map_documents(docs, make, HITS_SQL, HITS)
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that overlap with no item."""
+def _joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """overlaps() by joined seeds, and the key of the text: pairs of a document and an item meet their texts and are
+    verified along their diagonals."""
+    hits, items = _candidates(docs, benchmark)
+    named = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    pairs = named.join(hits, "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b):
+            for key, i, text, item_id, item_text, diagonals in zip(*(c.to_pylist() for c in b.columns)):
+                x, item = hashed(text), hashed(item_text)
+                best = max((r for d in diagonals if (r := along(item, x, d))), default=None)
+                if best:
+                    m, length, minus_p, q = best
+                    yield key, i, item_id, -minus_p, q, length, m, len(item)
+
+        for b in batches:
+            yield from C.record_batches(rows(b), pa.schema([("key", pa.string()), *HITS]))
+
     C.tune(docs.sparkSession)
-    for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    return pairs.select("key", "doc_id", "text", "item_id", "item_text", "diagonals").mapInArrow(run, f"key string, {HITS_SQL}")
 
-        @F.pandas_udf("boolean")
-        def leaks(texts, shared=shared):
-            return texts.map(lambda t: next(shared.value.verified(t or ""), None) is not None).astype(bool)
 
-        docs = docs.where(~leaks(F.col("text")))
-    return docs
+def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that overlap with no item."""
+    C.tune(docs.sparkSession)
+    index = index_of(benchmark)
+    if index is None:
+        texts = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").dropDuplicates(["text"])
+        found = _joined(texts, benchmark).select(F.col("key").alias("__leaking")).distinct()
+        return docs.join(found, F.md5(F.col("text").cast("binary")) == F.col("__leaking"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def leaks(texts):
+        return texts.map(lambda t: next(shared.value.verified(t or ""), None) is not None).astype(bool)
+
+    return docs.where(~leaks(F.col("text")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
