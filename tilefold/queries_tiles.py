@@ -10,7 +10,7 @@ from tilefold.operators import classifier
 from tilefold.operators import graph as G
 from tilefold.operators import matrix as M
 from tilefold.operators import tiled
-from tilefold.queries import EDGES, ORACLES, SQL, _formats, a_op, a_sp, ctes, dense, graph_of_parts, query, square, vector
+from tilefold.queries import EDGES, ORACLES, _formats, a_op, a_sp, ctes, dense, graph_of_parts, query, square, vector
 
 _B = "b AS (SELECT j, c, CAST((CAST(j AS DOUBLE) * (c + 1)) % 7 AS DOUBLE) AS b FROM x, (SELECT CAST(unnest(range(8)) AS INT) AS c))"
 
