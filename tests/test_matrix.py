@@ -337,3 +337,30 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "models.csv").write_text("platform,op,model\na,x,own\n,x,all\n")
     out = cli.main(["switch_model", str(tmp_path / "tasks.csv"), str(tmp_path / "models.csv"), str(tmp_path / "switched")])
     assert {r["task"]: r["model"] for r in spark.read.option("header", True).csv(out).collect()} == {"1": "own", "2": "all", "3": None}
+
+
+def test_quadrants_and_images(spark):
+    r = np.random.default_rng(4)
+    masks = [[65535] * 16, [0] * 15 + [1], [32768] + [0] * 15, *(r.integers(0, 65536, 16).tolist() for _ in range(30))]
+    df = spark.createDataFrame([(k, 0, m, sum(x.bit_count() for x in m)) for k, m in enumerate(masks)], "ti bigint, tj bigint, masks array<int>, nnz int")
+    words = df.withColumn("w", B.quadrants("masks")).withColumn("back", B.masks_of_quadrants("w")).collect()
+    for x in words:
+        m = x["masks"]
+        assert x["back"] == m
+        for q, w in enumerate(x["w"]):
+            bits = sum((m[q // 2 * 8 + k // 8] >> (q % 2 * 8 + k % 8) & 1) << k for k in range(64))
+            assert w % 2**64 == bits
+    pixels = {x["ti"]: x["pixels"] for x in classifier.tile_images(df).collect()}
+    for k, m in enumerate(masks):
+        bits = "".join(str(row >> c & 1) for row in m for c in range(16))
+        assert np.allclose(pixels[k], classifier.image(bits).ravel())
+
+
+def test_tree_and_guard(spark):
+    figures = spark.createDataFrame([(0, 0, 5, 9, 9, 9, 0), (1, 0, 200, 9, 9, 9, 0), (2, 0, 50, 2, 9, 9, 0), (3, 0, 50, 9, 3, 9, 0), (4, 0, 50, 9, 9, 5, 0), (5, 0, 50, 9, 9, 4, 1), (6, 0, 50, 9, 9, 4, 0)], "ti int, tj int, z int, rows int, cols int, longest int, tail int")
+    got = [B.FORMATS[f] for _, f in sorted((r["ti"], r["fmt"]) for r in M.predicted_by_tree(figures).collect())]
+    assert got == ["COO", "DNS", "DRW", "DCL", "CSR", "HYB", "ELL"]
+    a = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0)], "i bigint, j bigint, v double")
+    assert M.guarded_square(a, F.lit(2), F.lit(2)).count() == 2
+    with pytest.raises(Exception, match="square matrix"):
+        M.guarded_square(a, F.lit(2), F.lit(3)).collect()
