@@ -101,29 +101,21 @@ def incomplete_lu(a: DataFrame, k: int = 0, levels: DataFrame | None = None) ->
     at = lambda c: order.select(F.col("node").alias(c), F.col("round").alias(f"r{c}"))
     work = pattern.join(summed, ["i", "j"], "left").join(at("i"), "i").join(at("j"), "j")
     work = saved(work.select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "ri", "rj"), "factors")
-    lower, upper = [], []
+    done = None
     for r in range(rounds):
         row = work.where((F.col("ri") == r) & (F.col("j") >= F.col("i"))).select("i", "j", "v")
         pivots = row.where("i = j").select(F.col("i").alias("j"), F.col("v").alias("d"))
         column = work.where((F.col("rj") == r) & (F.col("i") > F.col("j"))).join(pivots, "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
-        lower.append(saved(column, "factors"))
-        upper.append(saved(row, "factors"))
+        gone = saved(column.unionByName(row), "factors")
+        done = gone if done is None else done.unionByName(gone)
         if r + 1 == rounds:
             break
-        steps = lower[-1].select("i", F.col("j").alias("m"), F.col("v").alias("l")).join(upper[-1].where("i < j").select(F.col("i").alias("m"), "j", F.col("v").alias("u")), "m")
+        steps = gone.where("i > j").select("i", F.col("j").alias("m"), F.col("v").alias("l")).join(gone.where("i < j").select(F.col("i").alias("m"), "j", F.col("v").alias("u")), "m")
         taken = steps.groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
         rest = work.where((F.col("ri") > r) & (F.col("rj") > r)).join(taken, ["i", "j"], "left")
         work = saved(rest.select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"), "ri", "rj"), "factors", instead_of=work)
-    none = work.select("i", "j", "v").limit(0)
-    union = lambda tables: saved(_all(tables, none), "factors")
-    return Factors(union(lower), union(upper), order, rounds)
-
-
-def _all(tables: list[DataFrame], none: DataFrame) -> DataFrame:
-    out = none
-    for t in tables:
-        out = out.unionByName(t)
-    return out
+    done = saved(done, "factors") if done is not None else work.select("i", "j", "v")
+    return Factors(done.where("i > j"), done.where("i <= j"), order, rounds)
 
 
 def _inverted_tiles(t: DataFrame, side: int) -> DataFrame:
