@@ -141,9 +141,10 @@ def batched_qr(spark, d):
 
 @query(_SMALL + "SELECT batch, CAST(round(sum(v * v) / 1000) AS BIGINT) AS energy FROM e GROUP BY 1")
 def batched_svd_energy(spark, d):
-    """The squares of the singular values are the squares of the entries."""
+    """The squares of the singular values are the squares of the entries, a whole number: it is made whole again before the
+    thousands are rounded, where half of one may be at stake."""
     s = batched.apply(small_matrices(spark, d), "svd", 8)
-    return s.select("batch", F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x * x) / 1000).cast("bigint").alias("energy"))
+    return s.select("batch", F.round(F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x * x)) / 1000).cast("bigint").alias("energy"))
 
 
 @query(_SMALL.rstrip() + _DEFINITE + " SELECT batch, CAST(sum(v) AS BIGINT) AS trace FROM f WHERE p // 8 = p % 8 GROUP BY 1")
