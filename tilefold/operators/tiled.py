@@ -83,81 +83,169 @@ def _col(p: Column) -> Column:
     return p.bitwiseAND(F.lit(15))
 
 
-def coded(fmt: str) -> tuple[Column, Column]:
-    """Codes and slots of a tile of tile_values() in one of the seven formats: the index numbers and the value slots,
-    absent places 0. Numbers are logical; functions.bits packs them into nibbles."""
-    p, v = F.col("places"), F.col("vals")
-    z = F.size(p)
-    every = F.sequence(F.lit(0), F.lit(15))
-    value_at = lambda q: F.coalesce(F.try_element_at(v, F.nullif(F.array_position(p, q), F.lit(0)).cast("int")), F.lit(0.0))
-    in_row = lambda r: F.filter(p, lambda x: _row(x) == r)
-    lengths = F.transform(every, lambda r: F.size(in_row(r)))
-    longest, least = F.array_max(lengths), F.array_min(F.transform(lengths, lambda n: F.greatest(n, F.lit(1))))
-    rows, cols = F.array_sort(F.array_distinct(F.transform(p, _row))), F.array_sort(F.array_distinct(F.transform(p, _col)))
-    padded = lambda w: F.flatten(F.transform(every, lambda r: F.transform(F.sequence(F.lit(1), w), lambda k: F.try_element_at(in_row(r), k))))
-    tail = lambda w: F.flatten(F.transform(every, lambda r: F.slice(in_row(r), w + 1, F.greatest(F.size(in_row(r)) - w, F.lit(0)))))
-    columns_of = lambda places: F.transform(places, lambda q: F.coalesce(_col(q), F.lit(0)))
-    values_of = lambda places: F.transform(places, lambda q: F.when(q.isNull(), 0.0).otherwise(value_at(q)))
-    head = lambda c: F.array(c.cast("int"))
-    forms = {
-        "COO": (F.concat(head(z - 1), p), v),
-        "CSR": (F.concat(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda r: F.size(F.filter(p, lambda x: _row(x) < r)) % 256), F.transform(p, _col)), v),
-        "ELL": (F.concat(head(longest - 1), columns_of(padded(longest))), values_of(padded(longest))),
-        "HYB": (F.concat(head(least - 1), head(F.size(tail(least))), columns_of(padded(least)), tail(least)), F.concat(values_of(padded(least)), values_of(tail(least)))),
-        "DRW": (F.concat(head(F.size(rows) - 1), rows), F.flatten(F.transform(rows, lambda r: F.transform(every, lambda c: value_at(r * 16 + c))))),
-        "DCL": (F.concat(head(F.size(cols) - 1), cols), F.flatten(F.transform(cols, lambda c: F.transform(every, lambda r: value_at(r * 16 + c))))),
-        "DNS": (F.array().cast("array<int>"), F.transform(F.sequence(F.lit(0), F.lit(255)), value_at)),
-    }
-    codes, slots = forms[fmt]
-    return F.transform(codes, lambda x: x.cast("int")), slots
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where lists of these lengths start, one after another, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def coded(fmt: str, z: np.ndarray, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and slots of many tiles in one of the seven formats, each with where the tiles' lists start: the index numbers
+    and the value slots, absent places 0. Tiles have z entries each, one after another, by places p, ascending. Numbers are
+    logical; functions.bits packs them into nibbles."""
+    n, t = len(z), np.repeat(np.arange(len(z)), z)
+    r, c, own = p >> 4, p & 15, np.arange(len(p)) - _starts(z)[t]
+    lengths = np.bincount(t * SIDE + r, minlength=n * SIDE).reshape(n, SIDE)
+    rank = np.arange(len(p)) - _starts(lengths.ravel())[t * SIDE + r]
+
+    def room(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts = _starts(codes), _starts(slots)
+        return starts[0], np.zeros(starts[0][-1], np.int32), starts[1], np.zeros(starts[1][-1])
+
+    if fmt == "COO":
+        at, codes, to, slots = room(z + 1, z)
+        codes[at[:-1]], codes[at[t] + 1 + own], slots[:] = z - 1, p, v
+    elif fmt == "CSR":
+        at, codes, to, slots = room(z + SIDE + 1, z)
+        codes[at[:-1, None] + np.arange(1, SIDE + 1)] = np.cumsum(lengths, 1) % 256
+        codes[at[t] + SIDE + 1 + own], slots[:] = c, v
+    elif fmt == "ELL":
+        w = lengths.max(1, initial=0)
+        at, codes, to, slots = room(w * SIDE + 1, w * SIDE)
+        k = r * w[t] + rank
+        codes[at[:-1]], codes[at[t] + 1 + k], slots[to[t] + k] = w - 1, c, v
+    elif fmt == "HYB":
+        w = np.maximum(lengths, 1).min(1, initial=SIDE)
+        tail = rank >= w[t]
+        more = np.bincount(t[tail], minlength=n)
+        at, codes, to, slots = room(w * SIDE + 2 + more, w * SIDE + more)
+        k = r * w[t] + rank
+        k[tail] = w[t[tail]] * SIDE + np.arange(np.count_nonzero(tail)) - _starts(more)[t[tail]]
+        codes[at[:-1]], codes[at[:-1] + 1] = w - 1, more
+        codes[at[t] + 2 + k], slots[to[t] + k] = np.where(tail, p, c), v
+    elif fmt in ("DRW", "DCL"):
+        line, across = (r, c) if fmt == "DRW" else (c, r)
+        has = np.bincount(t * SIDE + line, minlength=n * SIDE).reshape(n, SIDE) > 0
+        place, filled = np.cumsum(has, 1) - 1, has.sum(1)
+        at, codes, to, slots = room(filled + 1, filled * SIDE)
+        tile, which = np.nonzero(has)
+        codes[at[:-1]], codes[at[tile] + 1 + place[tile, which]] = filled - 1, which
+        slots[to[t] + place[t, line] * SIDE + across] = v
+    else:
+        at, codes, to, slots = room(np.zeros(n, np.int64), np.full(n, SIDE * SIDE))
+        slots[to[t] + p] = v
+    return at, codes, to, slots
+
+
+def places_of(fmt: str, at: np.ndarray, codes: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tile and the place of each of a format's value slots, by its codes; lists start as coded() says."""
+    size = np.diff(to)
+    t = np.repeat(np.arange(len(size)), size)
+    k, first = np.arange(to[-1]) - to[t], at[t]
+    if fmt == "DNS":
+        return t, k
+    if fmt == "COO":
+        return t, codes[first + 1 + k]
+    if fmt == "CSR":
+        ends = codes[at[:-1, None] + np.arange(SIDE)]
+        return t, ((ends[t] <= k[:, None]).sum(1) - 1) * SIDE + codes[first + SIDE + 1 + k]
+    if fmt == "DRW":
+        return t, codes[first + 1 + k // SIDE] * SIDE + k % SIDE
+    if fmt == "DCL":
+        return t, k % SIDE * SIDE + codes[first + 1 + k // SIDE]
+    width = codes[first] + 1
+    if fmt == "ELL":
+        return t, k // width * SIDE + codes[first + 1 + k]
+    return t, np.where(k < width * SIDE, k // width * SIDE, 0) + codes[first + 2 + k]
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists, and all their values."""
+    return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten()
+
+
+def _by_format(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for b in batches:
+        fmt = b.column("fmt").to_numpy()
+        for k in np.unique(fmt):
+            yield int(k), b.take(pa.array(np.flatnonzero(fmt == k)))
+
+
+def _entries_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of tile_values(): entries of each tile, places, values with nulls as 0, and which of those are null."""
+    (z, p), (_, v) = _lists(b.column("places")), _lists(b.column("vals"))
+    return z.astype(np.int64), p.to_numpy().astype(np.int64), v.fill_null(0.0).to_numpy(), ~v.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _list_array(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+
+
+def encode_as(told: DataFrame) -> DataFrame:
+    """(ti, tj, fmt, codes, slots) of tile_values() with the number `fmt` of a format beside each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in _by_format(batches):
+            z, p, v, null = _entries_of(b)
+            at, codes, to, slots = coded(B.FORMATS[k], z, p, v)
+            # where slots are the entries, null ones stay
+            made = pa.array(slots, mask=null) if null.any() and B.FORMATS[k] in ("COO", "CSR") else pa.array(slots)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ti", "tj", "fmt")), _list_array(at, pa.array(codes)), _list_array(to, made)], names=["ti", "tj", "fmt", "codes", "slots"])
+
+    kind = dict(told.dtypes)
+    own = told.select("ti", "tj", F.col("fmt").cast("int").alias("fmt"), F.col("places").cast("array<int>").alias("places"), F.col("vals").cast("array<double>").alias("vals"))
+    return own.mapInArrow(run, f"ti {kind['ti']}, tj {kind['tj']}, fmt int, codes array<int>, slots array<double>")
+
+
+def slots_of_each(tiles: DataFrame) -> DataFrame:
+    """(ti, tj, and a column for each format, in small letters): the slots that its encoder fills for each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                z, p, v, _ = _entries_of(b)
+                filled = [pa.array(np.diff(coded(n, z, p, v)[2]).astype(np.int32)) for n in B.FORMATS]
+                yield pa.RecordBatch.from_arrays([b.column("ti"), b.column("tj"), *filled], names=["ti", "tj", *map(str.lower, B.FORMATS)])
+
+    kind = dict(tiles.dtypes)
+    own = tiles.select("ti", "tj", F.col("places").cast("array<int>").alias("places"), F.col("vals").cast("array<double>").alias("vals"))
+    return own.mapInArrow(run, ", ".join([f"ti {kind['ti']}, tj {kind['tj']}", *(f"{n.lower()} int" for n in B.FORMATS)]))
 
 
 def encode(tiles: DataFrame, fmt: str) -> DataFrame:
     """(ti, tj, codes, slots) of tile_values() in one format."""
-    codes, slots = coded(fmt)
-    return tiles.select("ti", "tj", codes.alias("codes"), slots.alias("slots"))
+    return encode_as(tiles.withColumn("fmt", F.lit(B.FORMATS.index(fmt)))).drop("fmt")
 
 
 def encode_chosen(tiles: DataFrame, formats: DataFrame) -> DataFrame:
     """(ti, tj, fmt, codes, slots): each tile of tile_values() in the format (ti, tj, fmt) chosen for it."""
-    told = tiles.join(formats.select("ti", "tj", "fmt"), ["ti", "tj"])
-    codes, slots = (F.coalesce(*(F.when(F.col("fmt") == k, coded(n)[part]) for k, n in enumerate(B.FORMATS))) for part in (0, 1))
-    return told.select("ti", "tj", "fmt", codes.alias("codes"), slots.alias("slots"))
-
-
-def places_of(fmt: str) -> Column:
-    """The places of a format's value slots, by its codes."""
-    c, s = F.col("codes"), F.col("slots")
-    k = F.sequence(F.lit(0), F.size(s) - 1)
-    code = lambda n: F.element_at(c, n + 1)
-    width = code(F.lit(0)) + 1  # of a row in the padded formats, or how many rows or columns are full
-    regular = width * SIDE
-    places = {
-        "COO": lambda n: code(n + 1),
-        "CSR": lambda n: (F.size(F.filter(F.slice(c, 1, SIDE), lambda p: p <= n)) - 1) * SIDE + code(n + SIDE + 1),
-        "ELL": lambda n: F.floor(n / width).cast("int") * SIDE + code(n + 1),
-        "HYB": lambda n: F.when(n < regular, F.floor(n / width).cast("int") * SIDE + code(n + 2)).otherwise(code(n + 2)),
-        "DRW": lambda n: code(F.floor(n / SIDE).cast("int") + 1) * SIDE + n % SIDE,
-        "DCL": lambda n: n % SIDE * SIDE + code(F.floor(n / SIDE).cast("int") + 1),
-        "DNS": lambda n: n,
-    }
-    return F.transform(k, places[fmt])
+    return encode_as(tiles.join(formats.select("ti", "tj", "fmt"), ["ti", "tj"]))
 
 
 def decode(encoded: DataFrame, fmt: str) -> DataFrame:
     """(ti, tj, place, v) of encode()'s codes and slots; padding and zeros are left out."""
-    return _decoded(encoded, places_of(fmt))
+    return decode_each(encoded.withColumn("fmt", F.lit(B.FORMATS.index(fmt)))).drop("fmt")
+
 
+def decode_each(encoded: DataFrame) -> DataFrame:
+    """(ti, tj, fmt, place, v) of encode_as()'s codes and slots; padding and zeros are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in _by_format(batches):
+            (n, codes), (m, slots) = _lists(b.column("codes")), _lists(b.column("slots"))
+            t, place = places_of(B.FORMATS[k], _starts(n), codes.to_numpy().astype(np.int64), _starts(m))
+            v = slots.fill_null(0.0).to_numpy()
+            kept = np.flatnonzero(v != 0)
+            tile = pa.array(t[kept])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(tile) for c in ("ti", "tj", "fmt")), pa.array(place[kept].astype(np.int32)), pa.array(v[kept])], names=["ti", "tj", "fmt", "place", "v"])
 
-def _decoded(encoded: DataFrame, places: Column) -> DataFrame:
-    zipped = F.arrays_zip(places.alias("place"), F.col("slots").alias("v"))
-    e = encoded.where(F.size("slots") > 0).select("ti", "tj", F.explode(zipped).alias("e"))
-    return e.select("ti", "tj", F.col("e.place").alias("place"), F.col("e.v").alias("v")).where("v <> 0")
+    kind = dict(encoded.dtypes)
+    own = encoded.select("ti", "tj", F.col("fmt").cast("int").alias("fmt"), "codes", "slots")
+    return own.mapInArrow(run, f"ti {kind['ti']}, tj {kind['tj']}, fmt int, place int, v double")
 
 
 def decoded(encoded: DataFrame) -> DataFrame:
     """(i, j, v) of encode_chosen()."""
-    out = _decoded(encoded, F.coalesce(*(F.when(F.col("fmt") == k, places_of(n)) for k, n in enumerate(B.FORMATS))))
+    out = decode_each(encoded)
     return out.select((F.col("ti") * SIDE + _row(F.col("place"))).alias("i"), (F.col("tj") * SIDE + _col(F.col("place"))).alias("j"), "v")
 
 

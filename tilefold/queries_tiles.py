@@ -24,11 +24,10 @@ def _encoded(spark, d):
 @query(ctes("a") + "SELECT fmt, i, j, v FROM a, (SELECT unnest([" + ", ".join(f"'{n}'" for n in B.FORMATS) + "]) AS fmt)")
 def encoded_round_trip(spark, d):
     """Every tile in each of the seven formats, decoded again from codes and slots."""
-    t, out = M.tile_values(a_sp(spark, d)), None
-    for n in B.FORMATS:
-        own = tiled.decode(tiled.encode(t, n), n).select(F.lit(n).alias("fmt"), (F.col("ti") * 16 + F.shiftright("place", 4)).alias("i"), (F.col("tj") * 16 + F.col("place").bitwiseAND(F.lit(15))).alias("j"), "v")
-        out = own if out is None else out.unionByName(own)
-    return out
+    each = M.tile_values(a_sp(spark, d)).withColumn("fmt", F.explode(F.array(*map(F.lit, range(len(B.FORMATS))))))
+    out = tiled.decode_each(tiled.encode_as(each))
+    name = F.element_at(F.array(*map(F.lit, B.FORMATS)), F.col("fmt") + 1)
+    return out.select(name.alias("fmt"), (F.col("ti") * 16 + F.shiftright("place", 4)).alias("i"), (F.col("tj") * 16 + F.col("place").bitwiseAND(F.lit(15))).alias("j"), "v")
 
 
 @query(ctes("a", "x") + "SELECT i, CAST(sum(v * x) AS DOUBLE) AS y FROM a JOIN x USING (j) GROUP BY i")
