@@ -57,3 +57,19 @@ def test_encoders_in_arrays(spark):
         assert sorted(tuple(x) for x in back.collect()) == sorted(want)
     null = tiled.encode(M.tile_values(spark.createDataFrame([(0, 0, None), (0, 1, 2.0)], "i bigint, j bigint, v double")), "COO").first()
     assert null["slots"] == [None, 2.0]
+
+
+def test_common_tiles_by_cells(spark):
+    """Rows and words of several cells, against sets; pairs of rows are not made once for each word."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    tiles = sorted({(int(a), int(b)) for a, b in zip(r.choice([0, 3, 511, 512, 700, 1500], 60), r.choice([0, 31, 32, 2047, 2048, 5000], 60))})
+    a = spark.createDataFrame([(16 * i + 5, 16 * j + 9, 1.0) for i, j in tiles], "i bigint, j bigint, v double")
+    of = {}
+    for i, j in tiles:
+        of.setdefault(i, set()).add(j)
+    want = sorted((i, j, len(of[i] & of[j])) for i in of for j in of if of[i] & of[j])
+    got = M.common_tiles(a, a)
+    assert sorted((x["ti"], x["tj"], x["common"]) for x in got.collect()) == want
+    assert "bit_count" not in _plan(got)
