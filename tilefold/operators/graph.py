@@ -41,7 +41,7 @@ def _saved(df: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, start: int) -> DataFrame:
     """(node, level): steps from a node, breadth first; a round a level."""
-    spark, out = edges.sparkSession, both_ways(edges)
+    spark, out = edges.sparkSession, _saved(both_ways(edges))
     front, level = _saved(spark.createDataFrame([(start, 0)], "node bigint, level int")), 0
     seen = front  # the fronts so far, each written once
     while True:
@@ -56,7 +56,8 @@ def levels(edges: DataFrame, start: int) -> DataFrame:
 def colouring(edges: DataFrame) -> DataFrame:
     """(node, colour): adjacent nodes differ. In each round the nodes that precede all their uncoloured neighbours, by
     degree and then by hash, take the least colour that no neighbour has."""
-    out, d = both_ways(edges), degrees(edges)
+    out = _saved(both_ways(edges))
+    d = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     rank = F.struct(-F.col("degree"), F.xxhash64("node"), F.col("node"))
     nodes = _saved(d.select("node", rank.alias("rank"), F.lit(None).cast("int").alias("colour")))
     while not nodes.where("colour is null").isEmpty():
@@ -80,22 +81,30 @@ def independent_set(edges: DataFrame, distance: int = 2) -> DataFrame:
     In each round a node enters whose rank (hash, then id) is the least of all open nodes in reach, and what it reaches
     is closed. Ranks travel step by step, one row a node, so the pairs of a hub's neighbours are never made.
     """
-    out = both_ways(edges)
-    nodes = _saved(out.select(F.col("src").alias("node")).distinct().select("node", F.struct(F.xxhash64("node").alias("h"), "node").alias("rank"), F.lit(0).alias("state")))
+    links = _saved(both_ways(edges))
+    # the hash takes whole numbers of 64 bits one to one, and single numbers need no sort to find the least
+    rank = F.xxhash64("node") if dict(links.dtypes)["src"] == "bigint" else F.struct(F.xxhash64("node").alias("h"), "node")
+    nodes = _saved(links.select(F.col("src").alias("node")).distinct().select("node", rank.alias("r")))
+    chosen = None
 
     def nearest(values: DataFrame) -> DataFrame:
-        """(node, r): the least of a node's own value and its neighbours'; nulls are no values."""
-        for _ in range(distance):
-            sent = out.join(values.select(F.col("node").alias("src"), "r").where("r is not null"), "src").select(F.col("dst").alias("node"), "r")
+        """(node, r): the least of a node's own value and those of the nodes in reach. The last of several steps goes against the links,
+        since those that are left start from open nodes."""
+        for k in range(distance):
+            a, b = ("dst", "src") if 0 < k == distance - 1 else ("src", "dst")
+            sent = links.join(values.select(F.col("node").alias(a), "r"), a).select(F.col(b).alias("node"), "r")
             values = values.unionByName(sent).groupBy("node").agg(F.min("r").alias("r"))
         return values
 
-    while not nodes.where("state = 0").isEmpty():
-        least = nearest(nodes.select("node", F.when(F.col("state") == 0, F.col("rank")).alias("r")))
-        entered = _saved(nodes.join(least, "node").select("node", "rank", F.when((F.col("state") == 0) & (F.col("rank") == F.col("r")), 1).otherwise(F.col("state")).alias("state")))
-        reached = nearest(entered.select("node", F.when(F.col("state") == 1, F.lit(1)).alias("r")))
-        nodes = _saved(entered.join(reached, "node").select("node", "rank", F.when((F.col("state") == 0) & F.col("r").isNotNull(), 2).otherwise(F.col("state")).alias("state")))
-    return nodes.where("state = 1").select("node")
+    while not nodes.isEmpty():
+        least = nearest(nodes).withColumnRenamed("r", "least")
+        entered = _saved(nodes.join(least, "node").where(F.col("r") == F.col("least")).select("node"))
+        reached = nearest(entered.select("node", F.lit(1).alias("r"))).select("node")
+        nodes = saved(nodes.join(reached, "node", "left_anti"), "graph", instead_of=nodes)
+        if distance <= 2:  # no way of two steps between open nodes has a link between closed ones
+            links = saved(links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi"), "graph", instead_of=links)
+        chosen = entered if chosen is None else chosen.unionByName(entered)
+    return nodes.select("node") if chosen is None else chosen
 
 
 def conflicts(edges: DataFrame, colours: DataFrame) -> DataFrame:
@@ -117,8 +126,8 @@ def within_two(edges: DataFrame) -> DataFrame:
 def bandwidth_order(edges: DataFrame, start: int) -> DataFrame:
     """(node, place): breadth-first levels from a node, within a level by degree and id, turned round, so that neighbours
     stand near each other; nodes that are not reached come first, by id."""
-    n = both_ways(edges).select(F.col("src").alias("node")).distinct()
-    known = n.join(levels(edges, start), "node", "left").join(degrees(edges), "node")
+    edges = _saved(edges)
+    known = degrees(edges).join(levels(edges, start), "node", "left")
     deepest = known.agg(F.coalesce(F.max("level"), F.lit(-1))).scalar()
     turned = known.select("node", F.coalesce(deepest - F.col("level") + 1, F.lit(0)).cast("bigint").alias("turn"), F.when(F.col("level").isNull(), 0).otherwise(-F.col("degree")).alias("by"))
     return M.ranked(turned, "turn", "by", F.col("node").desc()).select("node", F.col("rank").alias("place"))

@@ -207,7 +207,7 @@ def graph_bandwidth_order(spark, d):
 @query(f"WITH {EDGES} SELECT CAST(0 AS BIGINT) AS near, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT src FROM e UNION SELECT dst FROM e)")
 def graph_independent_set_figures(spark, d):
     """Of a set at distance two: members with a member next to them, and nodes that are members or within two steps of one."""
-    e = graph_of_parts(spark, d)
+    e = saved(graph_of_parts(spark, d), "graph")
     out, chosen = G.both_ways(e), G.saved(G.independent_set(e), "independent")
     one = out.join(chosen.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     two = out.join(one.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node"))
