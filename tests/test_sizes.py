@@ -73,3 +73,16 @@ def test_common_tiles_by_cells(spark):
     got = M.common_tiles(a, a)
     assert sorted((x["ti"], x["tj"], x["common"]) for x in got.collect()) == want
     assert "bit_count" not in _plan(got)
+
+
+@pytest.mark.parametrize("name", ["independent_set", "levels", "colouring"])
+def test_links_are_written_once(spark, monkeypatch, name):
+    """Rounds start from a table of links and do not make the links again."""
+    from tilefold.operators import graph as G
+
+    plans = []
+    saved = G.saved
+    monkeypatch.setattr(G, "saved", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), saved(df, *a, **k))[1])
+    e = spark.createDataFrame([(k, k + s) for k in range(40) for s in (1, 7)], "src bigint, dst bigint")
+    (G.levels(e, 5) if name == "levels" else getattr(G, name)(e)).collect()
+    assert len(plans) > 2 and not any("LogicalRDD" in p and "Relation [" in p for p in plans)
