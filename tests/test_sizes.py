@@ -86,3 +86,33 @@ def test_links_are_written_once(spark, monkeypatch, name):
     e = spark.createDataFrame([(k, k + s) for k in range(40) for s in (1, 7)], "src bigint, dst bigint")
     (G.levels(e, 5) if name == "levels" else getattr(G, name)(e)).collect()
     assert len(plans) > 2 and not any("LogicalRDD" in p and "Relation [" in p for p in plans)
+
+
+def test_long_chains_are_swept(spark, monkeypatch):
+    """Factors by threshold of a path of 60 nodes take no round for each of them, and solve like any others."""
+    from tilefold.operators import factors
+
+    n = 60
+    rows = [(i, j, 9.0 + i % 3 if i == j else -1.0 - (i + 2 * j) % 4 / 4) for i in range(n) for j in range(n) if abs(i - j) <= 1]
+    a = spark.createDataFrame(rows, "i bigint, j bigint, v double")
+    written = []
+    saved = factors.saved
+    monkeypatch.setattr(factors, "saved", lambda df, *x, **k: (written.append(1), saved(df, *x, **k))[1])
+    f = factors.threshold_lu(a, 1.5, steps=1)
+    assert len(written) < 60
+    made = {(x["i"], x["j"]): x["v"] for x in f.product().collect()}
+    assert all(abs(made[i, j] - v) < 1e-11 for i, j, v in rows)
+
+
+def test_unsettled_sweeps_are_eliminated(spark, monkeypatch):
+    """Where sweeps do not settle in time the factors are those of the elimination."""
+    import math
+
+    from tilefold.operators import factors
+
+    heavy = [(i, j, 1.0 if i == j else 3.0 if i > j else -2.0) for i in range(8) for j in range(8) if abs(i - j) <= 1]
+    monkeypatch.setattr(factors, "SWEEPS", 3)
+    a = spark.createDataFrame(heavy, "i bigint, j bigint, v double")
+    assert factors.settled(a, a) is None
+    got = {(x["i"], x["j"]): x["v"] for x in factors.threshold_lu(a, 1.0, steps=0).product().collect()}
+    assert all(math.isclose(got[i, j], v, abs_tol=1e-9) for i, j, v in heavy)

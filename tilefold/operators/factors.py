@@ -54,12 +54,12 @@ def elimination_rounds(pattern: DataFrame) -> tuple[DataFrame, int]:
 @dataclass
 class Factors:
     """A unit lower and an upper triangle (i, j, v), the lower one without its diagonal, and the rounds (node, round) in
-    which their rows can be solved."""
+    which their rows can be solved; where these are not given, the first solve() finds them."""
 
     lower: DataFrame
     upper: DataFrame
-    order: DataFrame
-    rounds: int
+    order: DataFrame | None = None
+    rounds: int = 0
 
     def product(self) -> DataFrame:
         """(i, j, v) of L U."""
@@ -69,6 +69,8 @@ class Factors:
 
     def solve(self, r: DataFrame) -> DataFrame:
         """z with L U z = r, for r (i, x) with an entry for every row: down the rounds and up again."""
+        if self.order is None:
+            self.order, self.rounds = elimination_rounds(self.lower.unionByName(self.upper))
         placed = self.order.select(F.col("node").alias("i"), "round")
         y = _by_rounds(self.lower, None, r, placed, range(self.rounds))
         diagonal = self.upper.where("i = j").select("i", F.col("v").alias("d"))
@@ -183,14 +185,42 @@ def _products(lower: DataFrame, upper: DataFrame) -> DataFrame:
     return met.groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
 
 
-def _sweep(a: DataFrame, both: DataFrame) -> DataFrame:
-    """All entries of L and U (i, j, v in one table) anew from those before: what A has there less the products of the
-    others, below the diagonal divided by the pivot."""
-    lower, upper = both.where("i > j"), both.where("i <= j")
-    pivots = upper.where("i = j").select("j", F.col("v").alias("d"))
-    now = both.select("i", "j").join(a, ["i", "j"], "left").join(_products(lower, upper), ["i", "j"], "left").join(pivots, "j")
-    value = F.coalesce("v", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))
-    return now.select("i", "j", F.when(F.col("i") > F.col("j"), value / F.col("d")).otherwise(value).alias("v"))
+def _sweep(placed: DataFrame) -> DataFrame:
+    """(i, j, a, v, off): all entries v of L and U anew from those before, from their places with what A has there (i, j, a, v):
+    a less the products of the others, below the diagonal divided by the pivot. `off` is how far L U was from A there.
+
+    A column of L meets its row of U once, which gives it the products and the pivot."""
+    lower = placed.where("i > j").select("i", F.col("j").alias("k"), F.col("v").alias("l"))
+    upper = placed.where("i <= j").select(F.col("i").alias("k"), "j", F.col("v").alias("u"))
+    none = F.lit(None).cast("double")
+    met = lower.join(upper.hint("merge"), "k").select("i", "j", none.alias("a"), none.alias("v"), F.when(F.col("j") > F.col("k"), F.col("l") * F.col("u")).alias("p"), F.when(F.col("j") == F.col("k"), F.col("u")).alias("d"))
+    both = placed.select("i", "j", F.coalesce("a", F.lit(0.0)).alias("a"), "v", none.alias("p"), none.alias("d")).unionByName(met)
+    sums = both.groupBy("i", "j").agg(F.max("a").alias("a"), F.max("v").alias("v"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("p"), F.max("d").alias("d")).where("a is not null")
+    value, below = F.col("a") - F.col("p"), F.col("i") > F.col("j")
+    return sums.select("i", "j", "a", F.when(below, value / F.col("d")).otherwise(value).alias("v"), (value - F.when(below, F.col("v") * F.col("d")).otherwise(F.col("v"))).alias("off"))
+
+
+#: Sweeps after which settled() gives up, and how far L U may be from A, as a share of the largest entry of A.
+SWEEPS, SETTLED = 40, 1e-13
+
+
+def settled(a: DataFrame, start: DataFrame) -> Factors | None:
+    """incomplete_lu() on the places of start (i, j, v), by sweeps from its values until L U equals A there; None if SWEEPS
+    of them do not get there.
+
+    What elimination gives is the only table of entries that a sweep leaves as it is. Sweeps reach it after as many as an
+    elimination has rounds, and where the diagonal is heavy after a dozen, however long the chains of linked indexes are.
+    """
+    placed = saved(start.join(a.select("i", "j", F.col("v").alias("a")), ["i", "j"], "left").select("i", "j", F.coalesce("a", F.lit(0.0)).alias("a"), "v"), "factors")
+    largest = placed.agg(F.max(F.abs("a"))).first()[0] or 0.0
+    for _ in range(SWEEPS):
+        placed = saved(_sweep(placed), "factors", instead_of=placed)
+        off = placed.agg(F.max(F.abs("off"))).first()[0]  # of the entries before; a sweep more only makes it less
+        if off is None or off <= SETTLED * largest:
+            return Factors(placed.where("i > j").select("i", "j", "v"), placed.where("i <= j").select("i", "j", "v"))
+        if not off < float("inf"):
+            return None
+    return None
 
 
 def threshold_lu(a: DataFrame, fill: float = 1.5, steps: int = 2) -> Factors:
@@ -199,7 +229,7 @@ def threshold_lu(a: DataFrame, fill: float = 1.5, steps: int = 2) -> Factors:
     Each step adds all places where L U departs from A, sweeps over all entries at once (each from the values before, so
     a sweep is a join and not an elimination), keeps the largest entries of each triangle by an exact selection of the
     threshold, equal ones together, with the diagonal, and sweeps again. The factors on the places that are left at the end are
-    incomplete_lu()'s, so L U equals A there.
+    incomplete_lu()'s, so L U equals A there: found by further sweeps, or by its elimination where these do not settle.
     """
     from tilefold.operators.selection import kth_largest
 
@@ -208,6 +238,8 @@ def threshold_lu(a: DataFrame, fill: float = 1.5, steps: int = 2) -> Factors:
     most = {side: int(fill * a.where(side).count()) for side in sides}
     diagonal = a.where("i = j").select("j", F.col("v").alias("d"))
     both = saved(a.join(diagonal, "j").select("i", "j", F.when(F.col("i") > F.col("j"), F.col("v") / F.col("d")).otherwise(F.col("v")).alias("v")), "factors")
+    of_a = a.select("i", "j", F.col("v").alias("a"))
+    swept = lambda t: saved(_sweep(t.join(of_a, ["i", "j"], "left")).select("i", "j", "v"), "factors", instead_of=t)
     for _ in range(steps):
         lower, upper = both.where("i > j"), both.where("i <= j")
         pivots = upper.where("i = j").select("j", F.col("v").alias("d"))
@@ -215,15 +247,15 @@ def threshold_lu(a: DataFrame, fill: float = 1.5, steps: int = 2) -> Factors:
         rest = F.coalesce("v", F.lit(0.0)) - F.col("s")
         new = new.where(rest != 0).select("i", "j", F.when(F.col("i") > F.col("j"), rest / F.col("d")).otherwise(rest).alias("v"))
         both = saved(both.unionByName(new), "factors", instead_of=both)
-        both = saved(_sweep(a, both), "factors", instead_of=both)
+        both = swept(both)
         kept = both.where("i = j")
         for side, n in most.items():
             own = both.where(side).withColumn("size", F.round(F.abs("v"), 12))
             least = kth_largest(own, "size", n)
             kept = kept.unionByName((own if least is None else own.where(F.col("size") >= least)).select("i", "j", "v"))
         both = saved(kept, "factors", instead_of=both)
-        both = saved(_sweep(a, both), "factors", instead_of=both)
-    return incomplete_lu(a, levels=both)
+        both = swept(both)
+    return settled(a, both) or incomplete_lu(a, levels=both)
 
 
 def discarded_fill(a: DataFrame, pattern: DataFrame) -> DataFrame:
