@@ -116,3 +116,21 @@ def test_unsettled_sweeps_are_eliminated(spark, monkeypatch):
     assert factors.settled(a, a) is None
     got = {(x["i"], x["j"]): x["v"] for x in factors.threshold_lu(a, 1.0, steps=0).product().collect()}
     assert all(math.isclose(got[i, j], v, abs_tol=1e-9) for i, j, v in heavy)
+
+
+def test_solvers_send_no_vector_through_the_driver(spark, monkeypatch):
+    """Neither the solvers' own joins nor those of a factorisation and its solves are broadcasts, also of small tables."""
+    from tilefold.operators import factors, solvers
+
+    plans = []
+    for module in (factors, solvers):
+        monkeypatch.setattr(module, "saved", lambda df, *a, f=module.saved, **k: (plans.append(_plan(df)), f(df, *a, **k))[1])
+    a = spark.createDataFrame([(i, j, 4.0 if i == j else -1.0) for i in range(6) for j in range(6) if abs(i - j) <= 1], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(i, float(i + 1)) for i in range(6)], "i bigint, x double")
+    near = factors.incomplete_lu(a).solve
+    got = {r["i"]: r["x"] for r in solvers.gmres(a, b, restart=1, cycles=1, precondition=near).collect()}
+    solvers.conjugate_gradients(a, b, steps=1, precondition=near)
+    assert len(got) == 6 and len(plans) > 20 and not any("Broadcast" in p for p in plans)
+    monkeypatch.setattr(type(a), "first", lambda df, f=type(a).first: (plans.append(_plan(df)), f(df))[1])
+    solvers.dot(b, b)
+    assert "Broadcast" not in plans[-1]

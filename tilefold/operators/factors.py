@@ -37,7 +37,7 @@ def elimination_rounds(pattern: DataFrame) -> tuple[DataFrame, int]:
     links = saved(links, "factors")
     waits = links.groupBy("i").agg(F.count("*").alias("waits"))
     nodes = pattern.where("i = j").select("i").distinct()
-    left = saved(nodes.join(waits, "i", "left").select("i", F.coalesce("waits", F.lit(0).cast("bigint")).alias("waits")), "factors")
+    left = saved(nodes.join(waits.hint("merge"), "i", "left").select("i", F.coalesce("waits", F.lit(0).cast("bigint")).alias("waits")), "factors")
     out, n = None, 0
     while True:
         gone = saved(left.where("waits = 0").select(F.col("i").alias("node"), F.lit(n).alias("round")), "factors")
@@ -46,8 +46,8 @@ def elimination_rounds(pattern: DataFrame) -> tuple[DataFrame, int]:
                 return (out if out is not None else gone), n
             raise ValueError("an index is linked with one that has no diagonal")
         out, n = gone if out is None else out.unionByName(gone), n + 1
-        told = links.join(gone.select(F.col("node").alias("j")), "j", "left_semi").groupBy("i").agg(F.count("*").alias("n"))
-        rest = left.where("waits > 0").join(told, "i", "left")
+        told = links.join(gone.select(F.col("node").alias("j")).hint("merge"), "j", "left_semi").groupBy("i").agg(F.count("*").alias("n"))
+        rest = left.where("waits > 0").join(told.hint("merge"), "i", "left")
         left = saved(rest.select("i", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits")), "factors", instead_of=left)
 
 
@@ -79,15 +79,15 @@ class Factors:
 
 def _by_rounds(t: DataFrame, diagonal: DataFrame | None, r: DataFrame, placed: DataFrame, rounds: range) -> DataFrame:
     """x with (T + D) x = r, T being strictly triangular: one round's rows after another, each from those already known."""
-    rows = r.join(placed, "i")
-    rows = saved(rows.join(diagonal, "i") if diagonal is not None else rows.withColumn("d", F.lit(1.0)), "factors")
-    t = t.join(placed, "i")
+    rows = r.join(placed.hint("merge"), "i")
+    rows = saved(rows.join(diagonal.hint("merge"), "i") if diagonal is not None else rows.withColumn("d", F.lit(1.0)), "factors")
+    t = t.join(placed.hint("merge"), "i")
     known = None
     for k in rounds:
         own = rows.where(F.col("round") == k)
         if known is not None:
-            told = t.where(F.col("round") == k).join(known.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
-            own = own.join(told, "i", "left").withColumn("x", F.col("x") - F.coalesce("s", F.lit(0.0)))
+            told = t.where(F.col("round") == k).join(known.select(F.col("i").alias("j"), "x").hint("merge"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+            own = own.join(told.hint("merge"), "i", "left").withColumn("x", F.col("x") - F.coalesce("s", F.lit(0.0)))
         new = saved(own.select("i", (F.col("x") / F.col("d")).alias("x")), "factors")
         known = new if known is None else known.unionByName(new)
     return known if known is not None else r
@@ -101,20 +101,20 @@ def incomplete_lu(a: DataFrame, k: int = 0, levels: DataFrame | None = None) ->
     order = saved(order, "factors") if rounds else order
     summed = a.groupBy("i", "j").agg(F.sum("v").alias("v"))
     at = lambda c: order.select(F.col("node").alias(c), F.col("round").alias(f"r{c}"))
-    work = pattern.join(summed, ["i", "j"], "left").join(at("i"), "i").join(at("j"), "j")
+    work = pattern.join(summed.hint("merge"), ["i", "j"], "left").join(at("i").hint("merge"), "i").join(at("j").hint("merge"), "j")
     work = saved(work.select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "ri", "rj"), "factors")
     done = None
     for r in range(rounds):
         row = work.where((F.col("ri") == r) & (F.col("j") >= F.col("i"))).select("i", "j", "v")
         pivots = row.where("i = j").select(F.col("i").alias("j"), F.col("v").alias("d"))
-        column = work.where((F.col("rj") == r) & (F.col("i") > F.col("j"))).join(pivots, "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
+        column = work.where((F.col("rj") == r) & (F.col("i") > F.col("j"))).join(pivots.hint("merge"), "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
         gone = saved(column.unionByName(row), "factors")
         done = gone if done is None else done.unionByName(gone)
         if r + 1 == rounds:
             break
-        steps = gone.where("i > j").select("i", F.col("j").alias("m"), F.col("v").alias("l")).join(gone.where("i < j").select(F.col("i").alias("m"), "j", F.col("v").alias("u")), "m")
+        steps = gone.where("i > j").select("i", F.col("j").alias("m"), F.col("v").alias("l")).join(gone.where("i < j").select(F.col("i").alias("m"), "j", F.col("v").alias("u")).hint("merge"), "m")
         taken = steps.groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
-        rest = work.where((F.col("ri") > r) & (F.col("rj") > r)).join(taken, ["i", "j"], "left")
+        rest = work.where((F.col("ri") > r) & (F.col("rj") > r)).join(taken.hint("merge"), ["i", "j"], "left")
         work = saved(rest.select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"), "ri", "rj"), "factors", instead_of=work)
     done = saved(done, "factors") if done is not None else work.select("i", "j", "v")
     return Factors(done.where("i > j"), done.where("i <= j"), order, rounds)

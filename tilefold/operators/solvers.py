@@ -1,4 +1,5 @@
-"""Vector operations and iterative solvers; a vector is (i, x), and one number a step comes to the driver."""
+"""Vector operations and iterative solvers; a vector is (i, x), and one number a step comes to the driver: joins with
+vectors are merged, as a broadcast would send one through the driver in each step."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from tilefold.functions.staging import saved
 
 
 def dot(x: DataFrame, y: DataFrame) -> float:
-    return x.join(y.select("i", F.col("x").alias("y")), "i").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0))).first()[0]
+    return x.join(y.select("i", F.col("x").alias("y")).hint("merge"), "i").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0))).first()[0]
 
 
 def norms(x: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def axpby(alpha: float, x: DataFrame, beta: float, y: DataFrame) -> DataFrame:
 
 
 def times(a: DataFrame, x: DataFrame) -> DataFrame:
-    return a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    return a.join(x.select(F.col("i").alias("j"), "x").hint("merge"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
 def _saved(x: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def grid(spark: SparkSession, d: str, index: str, value: str, diagonal: str) ->
     """(c, i) and (i, j, v) as grid_sql() has them."""
     n = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("c")).withColumn("i", F.expr(index))
     own = n.withColumn("step", F.explode(F.array(*(F.lit(s) for s in (-WIDTH, -1, 1, WIDTH))))).withColumn("to", F.col("c") + F.col("step"))
-    met = own.alias("n").join(n.alias("m"), F.col("m.c") == F.col("n.to"))
+    met = own.alias("n").join(n.alias("m").hint("merge"), F.col("m.c") == F.col("n.to"))
     links = met.select(F.col("n.i").alias("i"), F.col("m.i").alias("j"), F.expr(value).cast("double").alias("v"))
     return n, saved(links.unionByName(n.select("i", F.col("i").alias("j"), F.expr(diagonal).cast("double").alias("v"))), "grid")
 
