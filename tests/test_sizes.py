@@ -134,3 +134,25 @@ def test_solvers_send_no_vector_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(a), "first", lambda df, f=type(a).first: (plans.append(_plan(df)), f(df))[1])
     solvers.dot(b, b)
     assert "Broadcast" not in plans[-1]
+
+
+def test_tiles_are_predicted_once(spark):
+    """Equal tiles go through the network once, and the label is the one that forward() gives."""
+    import numpy as np
+
+    from tilefold.operators import classifier
+
+    r = np.random.default_rng(5)
+    few = ["".join("01"[int(x)] for x in (r.random(256) < p)) for p in r.random(40)] + ["0" * 256, "1" * 256]
+    net = classifier.Network(7, conv=(4, 8, 8), full=(32, 16))
+    names = list("abcdefg")
+    want = {b: names[k] for b, k in zip(few, net.forward(np.array([classifier.image(b) for b in few])).argmax(1))}
+    assert (net.labels(np.array([classifier.image(b) for b in few])) == [names.index(want[b]) for b in few]).all()
+    got = classifier.predict(spark.createDataFrame([(b,) for b in few * 30], "bits string").coalesce(1), net, names).collect()
+    assert len(got) == 30 * len(few) and all(x["predicted"] == want[x["bits"]] for x in got) and len(set(want.values())) > 1
+
+
+def test_labels_need_no_join(spark, sf):
+    from tilefold.queries_sources import _labelled
+
+    assert "Join" not in _plan(_labelled(spark, sf))
