@@ -156,3 +156,23 @@ def test_labels_need_no_join(spark, sf):
     from tilefold.queries_sources import _labelled
 
     assert "Join" not in _plan(_labelled(spark, sf))
+
+
+def test_products_by_cells(spark, monkeypatch):
+    """Several cells and pieces, negative indexes, repeated places, nulls, cancelled and infinite entries: as the element-wise product."""
+    import random
+
+    from tilefold.plans import products
+
+    r = random.Random(4)
+    at = lambda: r.choice([-1025, -1, 0, 5, 1023, 1024, 3000])
+    a, b = (spark.createDataFrame([(at(), at() if n else r.randrange(2000), r.choice([1.0, -1.0, 2.5, None, float("inf")])) for _ in range(80)], "i bigint, j bigint, v double") for n in (1, 1))
+    monkeypatch.setattr(M, "AT_ONCE", 7)
+    rows = lambda df: sorted(repr(tuple(x)) for x in df.collect())
+    assert rows(M.cell_products(a, b)) == rows(M.spgemm(a, b)) and rows(M.cell_products(a, b, lengths=True)) == rows(M.symbolic(a, b))
+    dense = spark.range(4000).selectExpr("id div 40 as i", "id % 40 as j", "1D as v")
+    assert products.by_cells(dense, M.transpose(dense)) and "MapInArrow" in _plan(products.sparse_product(dense, M.transpose(dense)))
+    wide = dense.limit(12).selectExpr("(i * 40 + j) * 1024 as i", "i * 40 + j as j", "v")
+    assert not products.by_cells(wide, M.transpose(wide))
+    assert rows(products.sparse_product(wide, M.transpose(wide))) == rows(M.cell_products(wide, M.transpose(wide)))
+    assert products.by_cells(dense.limit(0), dense) and products.sparse_product(dense.limit(0), dense).count() == 0

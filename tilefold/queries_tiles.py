@@ -10,6 +10,7 @@ from tilefold.operators import classifier
 from tilefold.operators import graph as G
 from tilefold.operators import matrix as M
 from tilefold.operators import tiled
+from tilefold.plans import products as P
 from tilefold.queries import EDGES, ORACLES, _formats, a_op, a_sp, ctes, dense, graph_of_parts, query, square, vector
 
 _B = "b AS (SELECT j, c, CAST((CAST(j AS DOUBLE) * (c + 1)) % 7 AS DOUBLE) AS b FROM x, (SELECT CAST(unnest(range(8)) AS INT) AS c))"
@@ -67,7 +68,7 @@ def spgemm_tile_nnz(spark, d):
 def spgemm_columns(spark, d):
     """The column list of each row of the product."""
     a = a_sp(spark, d)
-    return M.spgemm(a, M.transpose(a)).select("i", "j")
+    return P.sparse_product(a, M.transpose(a)).select("i", "j")
 
 
 @query(ctes("s") + "SELECT i // 16 AS ti, j // 16 AS tj, CAST(i % 16 AS INT) AS lr, CAST(bit_or(CAST(1 << CAST(j % 16 AS INT) AS INT)) AS INT) AS mask FROM (SELECT DISTINCT p.i, q.j FROM s p JOIN s q ON p.j = q.i) GROUP BY 1, 2, 3")
