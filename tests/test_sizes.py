@@ -176,3 +176,17 @@ def test_products_by_cells(spark, monkeypatch):
     assert not products.by_cells(wide, M.transpose(wide))
     assert rows(products.sparse_product(wide, M.transpose(wide))) == rows(M.cell_products(wide, M.transpose(wide)))
     assert products.by_cells(dense.limit(0), dense) and products.sparse_product(dense.limit(0), dense).count() == 0
+
+
+def test_entries_are_written_as_often_as_rounds_halve(spark, monkeypatch):
+    """A path of 16 nodes takes 16 rounds; its entries are not written again in each of them."""
+    from tilefold.operators import factors
+
+    n = 16
+    rows = [(i, j, 9.0 + i % 3 if i == j else -1.0 - (i + 2 * j) % 4 / 4) for i in range(n) for j in range(n) if abs(i - j) <= 1]
+    written = []
+    monkeypatch.setattr(factors, "saved", lambda df, *x, f=factors.saved, **k: (t := f(df, *x, **k), "ri" in t.columns and written.append(t.count()))[0])
+    f = factors.incomplete_lu(spark.createDataFrame(rows, "i bigint, j bigint, v double"))
+    assert f.rounds == n and sum(written) < 5 * len(rows)
+    made = {(x["i"], x["j"]): x["v"] for x in f.product().collect()}
+    assert all(abs(made[i, j] - v) < 1e-12 for i, j, v in rows)

@@ -2,8 +2,9 @@
 
 Unknowns are eliminated in the order of their index. Two of them may go at once if no chain of smaller, linked indexes
 orders them, so an elimination takes as many rounds as the longest such chain: few for an index that colours or scatters
-the graph, many for one that walks along it. Each round is a join on the pivot, a grouped sum and a written table; only
-what is not yet eliminated is written again.
+the graph, many for one that walks along it. What the first half of the rounds takes from the entries of the second half
+is one join on the pivot and one grouped sum, and each half is done in the same way: an entry is written again as often as
+rounds can be halved, and not once a round.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilefold.functions.staging import saved
+from tilefold.functions.staging import dealt, saved, together
 
 
 def fill_levels(a: DataFrame, k: int) -> DataFrame:
@@ -35,20 +36,25 @@ def elimination_rounds(pattern: DataFrame) -> tuple[DataFrame, int]:
     """(node, round) and the number of rounds: an index goes once all smaller ones that it is linked with, either way, have gone."""
     links = pattern.where("i <> j").select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).distinct()
     links = saved(links, "factors")
+    most = links.count()
     waits = links.groupBy("i").agg(F.count("*").alias("waits"))
     nodes = pattern.where("i = j").select("i").distinct()
     left = saved(nodes.join(waits.hint("merge"), "i", "left").select("i", F.coalesce("waits", F.lit(0).cast("bigint")).alias("waits")), "factors")
-    out, n = None, 0
-    while True:
-        gone = saved(left.where("waits = 0").select(F.col("i").alias("node"), F.lit(n).alias("round")), "factors")
-        if gone.isEmpty():
-            if left.isEmpty():
-                return (out if out is not None else gone), n
-            raise ValueError("an index is linked with one that has no diagonal")
-        out, n = gone if out is None else out.unionByName(gone), n + 1
-        told = links.join(gone.select(F.col("node").alias("j")).hint("merge"), "j", "left_semi").groupBy("i").agg(F.count("*").alias("n"))
-        rest = left.where("waits > 0").join(told.hint("merge"), "i", "left")
-        left = saved(rest.select("i", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits")), "factors", instead_of=left)
+    held = dealt(links, most, "j").persist()  # dealt once, not in every round
+    out = []
+    try:
+        while True:
+            gone = saved(left.where("waits = 0").select(F.col("i").alias("node"), F.lit(len(out)).alias("round")), "factors")
+            if gone.isEmpty():
+                if left.isEmpty():
+                    return (together(out) if out else gone), len(out)
+                raise ValueError("an index is linked with one that has no diagonal")
+            out.append(gone)
+            told = held.join(dealt(gone.select(F.col("node").alias("j")), most, "j").hint("shuffle_hash"), "j", "left_semi").groupBy("i").agg(F.count("*").alias("n"))
+            rest = left.where("waits > 0").join(told.hint("merge"), "i", "left")
+            left = saved(rest.select("i", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits")), "factors", instead_of=left)
+    finally:
+        held.unpersist()
 
 
 @dataclass
@@ -103,23 +109,36 @@ def incomplete_lu(a: DataFrame, k: int = 0, levels: DataFrame | None = None) ->
     at = lambda c: order.select(F.col("node").alias(c), F.col("round").alias(f"r{c}"))
     work = pattern.join(summed.hint("merge"), ["i", "j"], "left").join(at("i").hint("merge"), "i").join(at("j").hint("merge"), "j")
     work = saved(work.select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"), "ri", "rj"), "factors")
-    done = None
-    for r in range(rounds):
-        row = work.where((F.col("ri") == r) & (F.col("j") >= F.col("i"))).select("i", "j", "v")
-        pivots = row.where("i = j").select(F.col("i").alias("j"), F.col("v").alias("d"))
-        column = work.where((F.col("rj") == r) & (F.col("i") > F.col("j"))).join(pivots.hint("merge"), "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
-        gone = saved(column.unionByName(row), "factors")
-        done = gone if done is None else done.unionByName(gone)
-        if r + 1 == rounds:
-            break
-        steps = gone.where("i > j").select("i", F.col("j").alias("m"), F.col("v").alias("l")).join(gone.where("i < j").select(F.col("i").alias("m"), "j", F.col("v").alias("u")).hint("merge"), "m")
-        taken = steps.groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
-        rest = work.where((F.col("ri") > r) & (F.col("rj") > r)).join(taken.hint("merge"), ["i", "j"], "left")
-        work = saved(rest.select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"), "ri", "rj"), "factors", instead_of=work)
-    done = saved(done, "factors") if done is not None else work.select("i", "j", "v")
+    if not rounds:
+        return Factors(work.select("i", "j", "v"), work.select("i", "j", "v"), order, rounds)
+    gone = _eliminated(work, 0, rounds, whole=True)
+    every = together(gone)
+    pivots = every.where("i = j").select(F.col("i").alias("j"), F.col("v").alias("d"))
+    column = every.where("i > j").join(pivots.hint("merge"), "j").select("i", "j", (F.col("v") / F.col("d")).alias("v"))
+    done = saved(column.unionByName(every.where("i <= j").select("i", "j", "v")), "factors", instead_of=gone)
     return Factors(done.where("i > j"), done.where("i <= j"), order, rounds)
 
 
+def _eliminated(work: DataFrame, first: int, last: int, whole: bool = False) -> list[DataFrame]:
+    """Of entries (i, j, v, ri, rj) from which all that rounds before `first` take has been taken, those whose row or column
+    goes in the rounds from `first` to `last` - 1, a table a round; columns are not yet divided by their pivots. A `whole`
+    table has no others and is not read again by the caller."""
+    at = F.least("ri", "rj")
+    if last - first == 1:
+        return [work if whole else saved(work.where(at == first), "factors")]
+    half = (first + last) // 2
+    early = _eliminated(work, first, half)
+    gone = together(early)
+    column = gone.where((F.col("i") > F.col("j")) & (F.col("ri") >= half)).select("i", F.col("j").alias("m"), F.col("v").alias("l"), "ri")
+    row = gone.where((F.col("i") < F.col("j")) & (F.col("rj") >= half)).select(F.col("i").alias("m"), "j", F.col("v").alias("u"), "rj")
+    pivots = gone.where("i = j").select(F.col("i").alias("m"), F.col("v").alias("d"))
+    steps = column.join(row.hint("merge"), "m").where(at < last).join(pivots.hint("merge"), "m")
+    taken = steps.groupBy("i", "j").agg(F.sum(F.col("l") / F.col("d") * F.col("u")).alias("s"))
+    rest = work.where((at >= half) & (at < last)).join(taken.hint("merge"), ["i", "j"], "left")
+    late = saved(rest.select("i", "j", (F.col("v") - F.coalesce("s", F.lit(0.0))).alias("v"), "ri", "rj"), "factors", instead_of=work if whole else None)
+    return early + _eliminated(late, half, last, whole=True)
+
+
 def _inverted_tiles(t: DataFrame, side: int) -> DataFrame:
     """(i, j, v): the inverse of each lower triangular diagonal tile; rows without an entry count as those of 1."""
     import numpy as np
