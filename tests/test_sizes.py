@@ -190,3 +190,30 @@ def test_entries_are_written_as_often_as_rounds_halve(spark, monkeypatch):
     assert f.rounds == n and sum(written) < 5 * len(rows)
     made = {(x["i"], x["j"]): x["v"] for x in f.product().collect()}
     assert all(abs(made[i, j] - v) < 1e-12 for i, j, v in rows)
+
+
+def test_long_signals_are_cut(spark, monkeypatch):
+    """Transforms follow the shorter signal and not the longer one, which is dealt once; places between far entries are 0."""
+    import re
+
+    import numpy as np
+
+    from tilefold.functions import staging
+    from tilefold.operators import transforms
+
+    monkeypatch.setattr(staging, "ROWS", 1000)
+    r = np.random.default_rng(4)
+    a, b = np.zeros(6000, int), r.integers(-9, 9, 25)
+    a[:40], a[-40:], b[-1] = r.integers(-9, 9, 40), 3, 2
+    frame = lambda v: spark.createDataFrame([(k, int(z)) for k, z in enumerate(v) if z] + [(None, 5)], "i bigint, x bigint")
+    sizes = []
+    monkeypatch.setattr(transforms, "fourier", lambda x, n, *y, f=transforms.fourier, **k: (sizes.append(n), f(x, n, *y, **k))[1])
+    for x, kernel in ((a, b), (b, a)):
+        made = transforms.convolution(frame(x), frame(kernel))
+        dealt = re.findall(r"Exchange hashpartitioning\(.*?piece", _plan(made))
+        got = {q["i"]: round(q["x"]) for q in made.collect()}
+        assert sorted(got) == list(range(6024)) and [got[k] for k in range(6024)] == np.convolve(a, b).tolist()
+        assert max(sizes) <= 1024 and len(dealt) == 1
+    monkeypatch.setattr(transforms, "PIECE", 32)  # too short for the kernel
+    got = {q["i"]: round(q["x"]) for q in transforms.convolution(frame(a), frame(b)).collect()}
+    assert [got[k] for k in range(6024)] == np.convolve(a, b).tolist() and sizes[-1] == 8192

@@ -7,11 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilefold.functions.staging import saved
+from tilefold.functions.staging import dealt, saved
 
 #: Inputs of one butterfly at most: a stage does three binary ones, so a transform of 2^30 takes ten shuffles.
 RADIX = 8
 
+#: Length at most of the transforms of one piece of a long signal, which is done within a task.
+PIECE = 1 << 16
+
 
 def _radices(n: int) -> list[int]:
     """Powers of two up to RADIX whose product is n, a power of two."""
@@ -45,7 +48,7 @@ def _stage(x: DataFrame, block: int, radix: int, by: list[str], inverse: bool) -
         x = x.select("i", *by, re.alias("re"), im.alias("im"))
     keys = x.select(*by, (F.floor(F.col("i") / block) * block + r).alias("__first"), digit.alias("__digit"), "re", "im")
     parts = [f(F.when(F.col("__digit") == d, F.col(c))).alias(f"{c}{d}") for d in range(radix) for c in ("re", "im") for f in (F.sum,)]
-    met = keys.groupBy(*by, "__first").agg(*parts).fillna(0.0)
+    met = keys.groupBy(*by, "__first").agg(*parts).fillna(0.0, [f"{c}{d}" for d in range(radix) for c in ("re", "im")])  # keys stay as they are, and with them how rows are dealt
     outputs = []
     for k in range(radix):
         turned = [_turned(F.col(f"re{d}"), F.col(f"im{d}"), sign * 2 * math.pi * (d * k % radix) / radix) for d in range(radix)]
@@ -88,21 +91,55 @@ def backward(x: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     return x.withColumns({c: F.col(c) / n for c in ("re", "im")})
 
 
+def _piece(taps: int, length: int) -> int | None:
+    """The length of transforms that takes the least stages for each place of a result of `length` places, if pieces overlap
+    by a kernel of `taps` places; None if those of PIECE are too short for it."""
+    whole = 1 << max(1, (length - 1).bit_length())
+    sizes = [n for n in (1 << k for k in range(1, PIECE.bit_length())) if n <= whole and (n >= 2 * taps or n == whole)]
+    return min(sizes, key=lambda n: (len(_radices(n)) * n / (n - taps + 1), -n), default=None)
+
+
 def convolution(x: DataFrame, kernel: DataFrame) -> DataFrame:
-    """(i, x): the sums over k of x(i - k) kernel(k), both being (i, x) with i from 0 on, by Fourier transforms of a length
-    that holds both. Both signals go forward in the same stages; values are rounded doubles, so results of whole numbers
-    are whole once rounded while they stay below 2^40 or so."""
+    """(i, x): the sums over k of x(i - k) kernel(k), both being (i, x) with i from 0 on, by Fourier transforms. Values are
+    rounded doubles, so results of whole numbers are whole once rounded while they stay below 2^40 or so.
+
+    The longer signal is cut into pieces that overlap by the shorter one, and a piece gives those places of the result that
+    it holds all of. Pieces are dealt to tasks once, and all stages of their transforms are done there. Where the shorter
+    signal is too long for that, both go forward in the same stages of a length that holds both.
+    """
+    x, kernel = (t.where("i is not null").groupBy("i").agg(F.sum("x").cast("double").alias("x")) for t in (x, kernel))
     ends = [t.agg(F.max("i")).first()[0] for t in (x, kernel)]
     if None in ends:
-        return x.select("i", F.col("x").cast("double").alias("x")).limit(0)
-    length = ends[0] + ends[1] + 1
-    n = 1 << max(1, (length - 1).bit_length())
-    signal = lambda t, name: t.groupBy("i").agg(F.sum("x").cast("double").alias("re")).select("i", F.lit(name).alias("of"), "re", F.lit(0.0).alias("im"))
-    both = saved(fourier(signal(x, "x").unionByName(signal(kernel, "k")), n, ["of"], ordered=False), "fourier")
-    one = lambda name, c: F.sum(F.when(F.col("of") == name, F.col(c)))
-    met = both.groupBy("i").agg(one("x", "re").alias("a"), one("x", "im").alias("b"), one("k", "re").alias("c"), one("k", "im").alias("d"))
-    product = met.select("i", (F.col("a") * F.col("c") - F.col("b") * F.col("d")).alias("re"), (F.col("a") * F.col("d") + F.col("b") * F.col("c")).alias("im"))
-    return backward(product, n).where(F.col("i") < length).select("i", F.col("re").alias("x"))
+        return x.limit(0)
+    if ends[0] < ends[1]:
+        x, kernel, ends = kernel, x, ends[::-1]
+    taps, length = ends[1] + 1, ends[0] + ends[1] + 1
+    n = _piece(taps, length)
+    signal = lambda t, *more: t.select("i", *more, F.col("x").alias("re"), F.lit(0.0).alias("im"))
+    if n is None:
+        n = 1 << max(1, (length - 1).bit_length())
+        both = saved(fourier(signal(x, F.lit("x").alias("of")).unionByName(signal(kernel, F.lit("k").alias("of"))), n, ["of"], ordered=False), "fourier")
+        one = lambda name, c: F.sum(F.when(F.col("of") == name, F.col(c)))
+        met = both.groupBy("i").agg(one("x", "re").alias("a"), one("x", "im").alias("b"), one("k", "re").alias("c"), one("k", "im").alias("d"))
+        return backward(_multiplied(met), n).where(F.col("i") < length).select("i", F.col("re").alias("x"))
+    step = n - taps + 1
+    pieces = -(-length // step)
+    last = F.least(F.floor((F.col("i") + taps - 1) / step), F.lit(pieces - 1))
+    cut = x.select("i", "x", F.explode(F.sequence(F.floor(F.col("i") / step), last)).alias("piece"))
+    cut = cut.select("piece", (F.col("i") - F.col("piece") * step + (taps - 1)).alias("i"), "x")
+    empty = x.sparkSession.range(pieces).select(F.col("id").alias("piece"), F.lit(0).cast("bigint").alias("i"), F.lit(0.0).alias("x"))
+    own = dealt(cut.unionByName(empty), pieces * n, "piece").groupBy("piece", "i").agg(F.sum("x").alias("x"))
+    ahead = fourier(signal(own, "piece"), n, ["piece"], ordered=False).withColumnsRenamed({"re": "a", "im": "b"})
+    turned = fourier(signal(kernel), n, ordered=False).withColumnsRenamed({"re": "c", "im": "d"})
+    back = backward(_multiplied(ahead.join(F.broadcast(turned), "i"), "piece"), n, ["piece"])  # PIECE rows at most
+    out = back.where(F.col("i") >= taps - 1).select((F.col("piece") * step + F.col("i") - (taps - 1)).alias("i"), F.col("re").alias("x"))
+    return out.where(F.col("i") < length)
+
+
+def _multiplied(met: DataFrame, *by: str) -> DataFrame:
+    """(i, ..., re, im): the products of the complex numbers a + b i and c + d i."""
+    a, b, c, d = (F.col(k) for k in "abcd")
+    return met.select("i", *by, (a * c - b * d).alias("re"), (a * d + b * c).alias("im"))
 
 
 def _basis(size: int) -> list[list[float]]:
