@@ -217,3 +217,35 @@ def test_long_signals_are_cut(spark, monkeypatch):
     monkeypatch.setattr(transforms, "PIECE", 32)  # too short for the kernel
     got = {q["i"]: round(q["x"]) for q in transforms.convolution(frame(a), frame(b)).collect()}
     assert [got[k] for k in range(6024)] == np.convolve(a, b).tolist() and sizes[-1] == 8192
+
+
+@pytest.mark.parametrize("lower", [True, False])
+def test_tasks_of_triangular_solves_are_bounded(spark, monkeypatch, lower):
+    """Tasks of a round hold few rows however many it has, and no table of factors or solutions is broadcast."""
+    import numpy as np
+
+    from tilefold.functions import staging
+    from tilefold.operators import factors
+
+    n, sides = 400, 3
+    t = np.diag(2.0 + np.arange(n) % 3)
+    t[np.arange(240, n), np.arange(240, n) - 200] = -1.0
+    t[np.arange(1, n, 2), np.arange(0, n, 2)] = 0.5
+    t = t if lower else t.T
+    x = np.add.outer(np.arange(n) % 7 - 3.0, np.arange(sides))
+    rows = [(int(i), int(j), float(t[i, j])) for i, j in zip(*np.nonzero(t))]
+    b = [(i, c, float(v)) for i, own in enumerate(t @ x) for c, v in enumerate(own)]
+    plans, tasks = [], []
+
+    def saved(df, *y, f=factors.saved, **k):
+        plans.append(_plan(df))
+        if "c" in df.columns:
+            tasks.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return f(df, *y, **k)
+
+    monkeypatch.setattr(staging, "ROWS", 100)
+    monkeypatch.setattr(factors, "saved", saved)
+    made = factors.block_triangular_solve(spark.createDataFrame(rows, "i bigint, j bigint, v double"), spark.createDataFrame(b, "i bigint, c int, x double"), side=8, lower=lower)
+    got = {(r["i"], r["c"]): r["x"] for r in made.collect()}
+    assert len(got) == n * sides and all(abs(got[i, c] - x[i, c]) < 1e-9 for i in range(n) for c in range(sides))
+    assert len(tasks) > 10 and max(tasks) <= 300 and not any("BroadcastHashJoin" in p for p in plans)

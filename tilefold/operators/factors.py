@@ -173,7 +173,8 @@ def block_triangular_solve(t: DataFrame, b: DataFrame, side: int = 16, lower: bo
 
     T is cut into tiles, and those on the diagonal are inverted at once. A row of tiles is solved once all that its
     other tiles meet are: their products are taken from B, and the inverted tile is multiplied by the rest. So rounds
-    follow the longest chain of tiles and not of rows, whatever the number of right sides.
+    follow the longest chain of tiles and not of rows, whatever the number of right sides. Tasks are as many as a round's
+    products ask for, so that the memory of one does not grow.
     """
     if not lower:
         turned = block_triangular_solve(t.select((-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "v"), b.select((-F.col("i")).alias("i"), "c", "x"), side)
@@ -181,21 +182,35 @@ def block_triangular_solve(t: DataFrame, b: DataFrame, side: int = 16, lower: bo
     tile = lambda c: F.floor(F.col(c) / side)
     if not t.where("j > i").isEmpty():
         raise ValueError("the matrix is not triangular")
-    inverse = saved(_inverted_tiles(t, side), "factors")
     order, rounds = elimination_rounds(t.select(tile("i").alias("i"), tile("j").alias("j")).distinct())
+    if not rounds:
+        return b.select("i", "c", "x")
     placed = order.select(F.col("node").alias("tile"), "round")
-    off = saved(t.where(tile("i") != tile("j")).withColumn("tile", tile("i")).join(placed, "tile").select("i", "j", "v", "round"), "factors")
-    rows = saved(b.withColumn("tile", tile("i")).join(placed, "tile").select("i", "c", "x", "round"), "factors")
-    known = None
+
+    def of_rounds(rows: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+        """Rows with the round of their tile, and how many a round has."""
+        own = dealt(rows.withColumn("tile", tile("i")), most, "tile").join(dealt(placed, most, "tile").hint("merge"), "tile").drop("tile")
+        own = saved(own, "factors")
+        return own, {r["round"]: r["count"] for r in own.groupBy("round").count().collect()}
+
+    entries, most = t.count(), b.count()
+    inverse, n_inverse = of_rounds(_inverted_tiles(t, side), entries)
+    off, n_off = of_rounds(t.where(tile("i") != tile("j")), entries)
+    rows, n_rows = of_rounds(b.select("i", "c", "x"), most)
+    sides = rows.select("c").distinct().count()
+    known, have = [], 0
     for k in range(rounds):
-        own = rows.where(F.col("round") == k).select("i", "c", "x")
-        if known is not None:
-            met = off.where(F.col("round") == k).join(known.select(F.col("i").alias("j"), "c", "x"), "j").select("i", "c", (-F.col("v") * F.col("x")).alias("x"))
-            own = own.unionByName(met).groupBy("i", "c").agg(F.sum("x").alias("x"))
-        new = own.select(F.col("i").alias("j"), "c", "x").join(inverse, "j").groupBy("i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-        new = saved(new, "factors")
-        known = new if known is None else known.unionByName(new)
-    return known if known is not None else b.select("i", "c", "x")
+        of = lambda x: x.where(F.col("round") == k).drop("round")  # noqa: B023, E731
+        size = n_rows.get(k, 0) + (n_inverse.get(k, 0) + n_off.get(k, 0)) * sides
+        own = of(rows)
+        if known:
+            met = dealt(of(off), max(size, have), "j").join(dealt(together(known).withColumnRenamed("i", "j"), max(size, have), "j").hint("merge"), "j")
+            own = own.unionByName(met.select("i", "c", (-F.col("v") * F.col("x")).alias("x")))
+        own = dealt(own, size, "i").groupBy("i", "c").agg(F.sum("x").alias("x")).withColumnRenamed("i", "j")
+        new = own.join(dealt(of(inverse), size, "j").hint("merge"), "j").select("i", "c", (F.col("v") * F.col("x")).alias("x"))
+        known.append(saved(dealt(new, size, "i").groupBy("i", "c").agg(F.sum("x").alias("x")), "factors"))
+        have += n_rows.get(k, 0)
+    return together(known)
 
 
 def _products(lower: DataFrame, upper: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilefold.functions.staging import saved
+from tilefold.functions.staging import dealt, saved
 from tilefold.operators import factors as L
 from tilefold.operators import graph as G
 from tilefold.operators import solvers as V
@@ -128,7 +128,9 @@ def block_triangular_solve(spark, d):
     n, a = grid(spark, d, *_LOWER)
     t = a.where("i >= j")
     x = n.select("i", (F.col("c") % 7 - 3).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("i", F.col("k").alias("c"), (F.col("s") * (F.col("k") + 1)).cast("double").alias("x"))
-    b = t.join(x.select(F.col("i").alias("j"), "c", "x"), "j").groupBy("i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    made = 5 * t.count()
+    met = dealt(t, made, "j").join(dealt(x.select(F.col("i").alias("j"), "c", "x"), made, "j").hint("merge"), "j").select("i", "c", (F.col("v") * F.col("x")).alias("x"))
+    b = dealt(met, made, "i").groupBy("i", "c").agg(F.sum("x").alias("x"))
     return L.block_triangular_solve(t, saved(b, "grid")).select("i", "c", _rounded("x").alias("x"))
 
 
