@@ -249,3 +249,19 @@ def test_tasks_of_triangular_solves_are_bounded(spark, monkeypatch, lower):
     got = {(r["i"], r["c"]): r["x"] for r in made.collect()}
     assert len(got) == n * sides and all(abs(got[i, c] - x[i, c]) < 1e-9 for i in range(n) for c in range(sides))
     assert len(tasks) > 10 and max(tasks) <= 300 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_pixels_are_picked_of_two_values(spark, sf):
+    """A tile's values are scaled and rounded before its rows are made, and not for each of them; also where all bits are set."""
+    import numpy as np
+
+    from tilefold.operators import classifier
+
+    plan = _plan(queries.QUERIES["tile_images"](spark, sf))
+    assert "transform(" not in plan and "round(" in plan and "round(" not in plan.split("Generate")[0]
+    masks = [[0xFFFF] * 16, [1 << 15] + [0] * 15, [0] * 15 + [1], [k * 4099 & 0xFFFF for k in range(16)]]
+    df = spark.createDataFrame([(t, -t, m, sum(x.bit_count() for x in m)) for t, m in enumerate(masks)], "ti bigint, tj bigint, masks array<int>, nnz int")
+    got = {(r["ti"], r["p"]): r["pixel"] for r in classifier.tile_pixels(df).collect()}
+    assert len(got) == 256 * len(masks)
+    for t, m in enumerate(masks):
+        assert np.allclose([got[t, p] for p in range(256)], classifier.image("".join(str(x >> c & 1) for x in m for c in range(16))).ravel())

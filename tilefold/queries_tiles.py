@@ -235,8 +235,7 @@ def quadrant_words(spark, d):
 @query(ctes("a", more="t AS (SELECT i // 16 AS ti, j // 16 AS tj, i % 16 * 16 + j % 16 AS p FROM a), m AS (SELECT ti, tj, count(*) / 256 AS m FROM t GROUP BY 1, 2), g AS (SELECT ti, tj, m, p FROM m, (SELECT unnest(range(256)) AS p))") + "SELECT g.ti, g.tj, CAST(g.p AS INT) AS p, CAST(round(1e6 * ((CASE WHEN t.p IS NULL THEN 0 ELSE 1 END) - m) / greatest(sqrt(m * (1 - m)), 1e-6)) AS BIGINT) AS pixel FROM g LEFT JOIN t ON g.ti = t.ti AND g.tj = t.tj AND g.p = t.p")
 def tile_images(spark, d):
     """Pixels in millionths."""
-    images = classifier.tile_images(M.tiles(a_sp(spark, d)))
-    return images.select("ti", "tj", F.posexplode("pixels").alias("p", "v")).select("ti", "tj", "p", F.round(F.col("v") * 1e6).cast("bigint").alias("pixel"))
+    return classifier.tile_pixels(M.tiles(a_sp(spark, d)), lambda v: F.round(v * 1e6).cast("bigint"))
 
 
 _RULES = {"least_bytes": ("fmt", "bytes"), **{f"force_{n}": (str(k), f'"{n}"') for k, n in enumerate(B.FORMATS)}, "heuristic": ("CASE WHEN z >= 192 THEN 6 WHEN z < 12 THEN 0 ELSE 1 END", 'CASE WHEN z >= 192 THEN "DNS" WHEN z < 12 THEN "COO" ELSE "CSR" END')}
