@@ -265,3 +265,25 @@ def test_pixels_are_picked_of_two_values(spark, sf):
     assert len(got) == 256 * len(masks)
     for t, m in enumerate(masks):
         assert np.allclose([got[t, p] for p in range(256)], classifier.image("".join(str(x >> c & 1) for x in m for c in range(16))).ravel())
+
+
+@pytest.mark.parametrize("at_once, block", [(7, 30), (40, 100), (1 << 20, 1 << 22)])
+def test_products_by_rows(spark, monkeypatch, at_once, block):
+    """Several blocks and pieces, a long row and a long inner index, negative, far and null indexes, repeated places, nulls,
+    cancelled and infinite entries: as the element-wise product; whole rows leave a task, so no sum is shuffled."""
+    import random
+
+    from tilefold.operators import rowwise
+    from tilefold.plans import products
+
+    r = random.Random(at_once)
+    at = lambda: r.choice([-(1 << 62), -1025, -1, 0, 5, 1023, 1024, 3000, 1 << 62, None])
+    a, b = (spark.createDataFrame([(at(), at(), r.choice([1.0, -1.0, 2.5, None, float("inf")])) for _ in range(80)] + [(5, k, 1.0) for k in range(60)] + [(k, 5, 2.0) for k in range(60)], "i bigint, j bigint, v double") for _ in (1, 1))
+    monkeypatch.setattr(rowwise, "AT_ONCE", at_once)
+    monkeypatch.setattr(rowwise, "BLOCK", block)
+    monkeypatch.setattr(products, "SENT", 1 << 40)
+    rows = lambda df: sorted(repr(tuple(x)) for x in df.collect())
+    made = products.sparse_product(a, b)
+    assert "Aggregate" not in _plan(made.drop("v")) and "Join" not in _plan(made)
+    assert rows(made) == rows(M.spgemm(a, b))
+    assert products.sparse_product(a.limit(0), b).count() == 0
