@@ -68,7 +68,7 @@ def spgemm_tile_nnz(spark, d):
 def spgemm_columns(spark, d):
     """The column list of each row of the product."""
     a = a_sp(spark, d)
-    return P.sparse_product(a, M.transpose(a)).select("i", "j")
+    return P.places(a, M.transpose(a))
 
 
 @query(ctes("s") + "SELECT i // 16 AS ti, j // 16 AS tj, CAST(i % 16 AS INT) AS lr, CAST(bit_or(CAST(1 << CAST(j % 16 AS INT) AS INT)) AS INT) AS mask FROM (SELECT DISTINCT p.i, q.j FROM s p JOIN s q ON p.j = q.i) GROUP BY 1, 2, 3")
