@@ -285,6 +285,6 @@ def test_products_by_rows(spark, monkeypatch, at_once, block):
     rows = lambda df: sorted(repr(tuple(x)) for x in df.collect())
     made = products.sparse_product(a, b)
     assert "Aggregate" not in _plan(made.drop("v")) and "Join" not in _plan(made)
-    assert rows(made) == rows(M.spgemm(a, b))
+    assert rows(made) == rows(M.spgemm(a, b)) and rows(products.symbolic(a, b)) == rows(M.symbolic(a, b))
     assert rows(products.places(a, b)) == rows(M.spgemm(a, b).select("i", "j"))
     assert products.sparse_product(a.limit(0), b).count() == 0
