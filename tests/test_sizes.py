@@ -288,3 +288,31 @@ def test_products_by_rows(spark, monkeypatch, at_once, block):
     assert rows(made) == rows(M.spgemm(a, b)) and rows(products.symbolic(a, b)) == rows(M.symbolic(a, b))
     assert rows(products.places(a, b)) == rows(M.spgemm(a, b).select("i", "j"))
     assert products.sparse_product(a.limit(0), b).count() == 0
+
+
+def test_network_is_fitted_on_all_tiles(spark, sf, monkeypatch):
+    """Every different tile is in one part, and the network that parts come to together tells the classes apart."""
+    import numpy as np
+
+    from tilefold import queries_sources
+    from tilefold.operators import classifier
+
+    r = np.random.default_rng(2)
+    rows = [("".join("01"[int(x)] for x in (r.random(256) < p)), c) for _ in range(150) for p, c in ((0.04, "COO"), (0.95, "DNS"))]
+    table = spark.createDataFrame(rows * 2, "bits string, label string")
+    monkeypatch.setattr(classifier, "PART", 60)
+    parts = classifier.parts_of(table, ["COO", "DNS"]).collect()
+    held = [(bytes(x["tiles"][k * 32 : k * 32 + 32]), x["labels"][k]) for x in parts for k in range(len(x["labels"]))]
+    assert len(parts) > 3 and sorted(held) == sorted({(np.packbits(np.array(list(b), np.uint8)).tobytes(), int(c == "DNS")) for b, c in rows})
+    nets = [classifier.fit(table.repartition(n), ["COO", "DNS"], epochs=8, rate=0.1, conv=(4, 8, 8), full=(16,)) for n in (1, 5)]
+    assert (nets[0].numbers() == nets[1].numbers()).all()
+    out = classifier.predict(table, nets[0], ["COO", "DNS"])
+    assert out.where("label = predicted").count() >= 0.97 * 600
+    assert classifier.fit(table.limit(0), ["COO", "DNS"]).labels(np.zeros((1, 16, 16))).shape == (1,)
+    given = []
+    monkeypatch.setattr(classifier, "parts_of", lambda t, c, f=classifier.parts_of: given.append(f(t, c)) or given[0])
+    larger = sf.replace("sf0.001", "sf0.01")
+    found = queries.QUERIES["predicted_formats"](spark, larger)
+    tiles = queries_sources._labelled(spark, larger)
+    assert sum(len(x["labels"]) for x in given[0].collect()) == tiles.select("bits").distinct().count() > 200
+    assert found.count() == tiles.count()
